@@ -1,0 +1,39 @@
+"""Connected components of an edge table, as rounds of joins and aggregations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .storage import materialize
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (columns a and b, bigint); root is the component's least node.
+
+    Alternates two steps until nothing changes: each node hands its larger neighbours to its least
+    neighbour, then its smaller ones. Either keeps the components and at most as many edges
+    as before; rounds grow with the logarithm of the component. Each round is written to the shared folder.
+    Nulls and loops are dropped; the result has only nodes that have an edge to another one.
+    """
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = materialize(edges, "edges")
+    before = _state(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.where("a <> b").distinct(), "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        after = _state(edges)
+        if after == before:
+            break
+        before = after
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
