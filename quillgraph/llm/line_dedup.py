@@ -86,12 +86,12 @@ WITH lined AS (
     string_split(text, chr(10)) AS raw
   FROM documents),
 windows AS (
-  SELECT doc_id, i AS at, [l[i], l[i + 1], l[i + 2]] AS w
+  SELECT doc_id, i AS place, [l[i], l[i + 1], l[i + 2]] AS w
   FROM lined, unnest(range(1, len(l) - 1)) AS r(i) WHERE len(l) >= 3),
-firsts AS (SELECT w, min(struct_pack(doc_id := doc_id, at := at)) AS f FROM windows GROUP BY w HAVING count(*) > 1),
+firsts AS (SELECT w, min({'doc_id': doc_id, 'place': place}) AS f FROM windows GROUP BY w HAVING count(*) > 1),
 gone AS (
-  SELECT DISTINCT doc_id, at + k AS line FROM windows JOIN firsts USING (w), unnest([0, 1, 2]) AS r(k)
-  WHERE doc_id <> f.doc_id OR at <> f.at),
+  SELECT DISTINCT doc_id, place + k AS line FROM windows JOIN firsts USING (w), unnest([0, 1, 2]) AS r(k)
+  WHERE doc_id <> f.doc_id OR place <> f.place),
 ranks AS (
   SELECT doc_id, i, raw[i] AS line, sum(CASE WHEN trim(raw[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> '' THEN 1 ELSE 0 END)
       OVER (PARTITION BY doc_id ORDER BY i) AS rank,

@@ -157,3 +157,39 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     counted = signals(docs.withColumnsRenamed(names)).withColumn("_row", F.monotonically_increasing_id())
     kept = judge(counted, cutoffs).where("kept AND _row >= 0")
     return kept.select(*[F.col(names.get(c, c)).alias(c) for c in columns])
+
+
+def sql(max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA, grid: tuple = GRID) -> str:
+    """DuckDB SQL of the registered query; the binomial tail is a sum of terms by their logarithms."""
+    rules, part = list(RULES), max_false_rejection / len(RULES)
+    shares = {r: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END" for r, (a, b) in RULES.items()}
+    tests = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {c}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER ({r} > {c}) AS k FROM good GROUP BY lang" for r in rules for c in grid)
+    cuts = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS max_{r}" for r in rules)
+    beyond = " OR ".join(f"coalesce({r} > max_{r}, false)" for r in rules)
+    return rf"""
+WITH words AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM words, unnest(range(1, len(w) - 1)) AS r(i)),
+repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM windows), unnest([0, 1, 2]) AS r(k)
+  WHERE c > 1 GROUP BY doc_id),
+counted AS (
+  SELECT words.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN repeats ON words.doc_id = repeats.doc_id),
+shares AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{v} AS {r}" for r, v in shares.items())} FROM counted),
+good AS (SELECT shares.* FROM shares JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+tests AS ({tests}),
+level AS (SELECT {delta} / (count(DISTINCT coalesce(lang, '')) * {len(rules) * len(grid)}) AS level FROM good),
+passed AS (
+  SELECT lang, rule, cutoff FROM tests, level
+  WHERE k < {part!r} * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({part!r}) + (n - i) * ln(1 - {part!r})))) <= level),
+cutoffs AS (SELECT lang AS stratum, {cuts} FROM passed GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
+FROM shares LEFT JOIN cutoffs ON lang IS NOT DISTINCT FROM stratum
+"""

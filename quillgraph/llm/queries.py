@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, sharding, simhash
+from . import decontaminate, line_dedup, mixing, pii_crf, quality_rules, sharding, simhash, site_style, suffix_dedup, window_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,11 +24,32 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return window_index.deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base_spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii_crf.joined("base_spans"), 256).alias("base_sha256"), pii_crf.joined("all_spans").alias("spans"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffle_to_shards(_table(spark, sf_dir, "documents"))
     return placed.select(
@@ -61,6 +82,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", *(f"p_{d}" for d in mixing.DOMAINS), "rate", "copies")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_style.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,6 +94,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_quality_rules, op5_simhash, op7_sharding, op8_decontamination, op9_mixing, pipeline)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_substring_dedup,
+        op3_line_dedup,
+        op4_pii,
+        op5_simhash,
+        op6_suffix_dedup,
+        op7_sharding,
+        op8_decontamination,
+        op9_mixing,
+        op10_html,
+        pipeline,
+    )
+}
+#: Where SQL can't express an operator, tests/llm compares it with a brute-force version.
+SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.sql(),
+    "op2_substring_dedup": window_index.SQL,
+    "op3_line_dedup": line_dedup.SQL,
+    "op8_decontamination": decontaminate.SQL,
 }
-SQL: dict[str, str] = {}

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packed import ENTRY, U64, batch_of, by_document, columns_of, entry_rows, grouped, mark_rows, passed_marks
 from .storage import materialize, new_path, remove
 from .textkit import Rolling, covered, find_words, slices, sliding_min, text_bytes
 
@@ -40,55 +40,7 @@ FAN_OUT = 2
 #: Marks of a batch are broadcast up to this size; beyond it they are joined by id.
 BROADCAST_BYTES = 48 << 20
 LAST = (1 << 63) - 1
-U64, NONE = np.uint64, np.zeros(0, np.uint64)
-ENTRY = "part int, role int, h1 binary, h2 binary, doc binary, at binary"
-NAMES = ["part", "role", "h1", "h2", "doc", "at"]
-
-
-def pack(x: np.ndarray, ascending: bool = False) -> bytes:
-    """64-bit values by planes of equal significance, as differences if they ascend."""
-    if ascending and len(x):
-        x = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack(b: bytes, ascending: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
-    x = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
-    return np.cumsum(x, dtype=np.uint64) if ascending else x
-
-
-def _entries(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray, role: int, parts: int) -> Iterator[tuple]:
-    """Rows of ENTRY for entries that are sorted by h1."""
-    part = (h1 >> U64(32)).astype(np.int64) * parts >> 32
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    for a, b in zip(cuts, [*cuts[1:], len(part)]):
-        yield int(part[a]), role, pack(h1[a:b], True), pack(h2[a:b]), pack(doc[a:b].view(U64)), pack(at[a:b].view(U64))
-
-
-def _marks(doc: np.ndarray, h1: np.ndarray, at: np.ndarray, parts: int) -> Iterator[tuple]:
-    """Rows of ENTRY with role 1, dealt by document and sorted by it."""
-    part = doc.view(U64) * U64(0x9E3779B97F4A7C15) >> U64(32)
-    part = (part.astype(np.int64) * parts) >> 32
-    order = np.lexsort((doc, part))
-    doc, h1, at, part = doc[order], h1[order], at[order], part[order]
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    for a, b in zip(cuts, [*cuts[1:], len(part)]):
-        yield int(part[a]), 1, pack(h1[a:b]), b"", pack(doc[a:b].view(U64)), pack(at[a:b].view(U64))
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], NAMES)
-
-
-def _groups(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple:
-    """Entries sorted by hash and document; where a hash begins; each entry's hash number and its least document."""
-    order = np.lexsort((doc, h2, h1))
-    h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
-    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])] if len(h1) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    return h1, h2, doc, at, group, doc[new][group] if len(h1) else doc
+NONE = np.zeros(0, np.uint64)
 
 
 class _Hasher:
@@ -130,43 +82,31 @@ def _scan(window: int, gram: int, parts: int):
                 docs.append(ids[doc[new]])
         if keys:
             key, doc = np.concatenate(keys), np.concatenate(docs).astype(np.int64)
-            key, _, doc, _, group, least = _groups(key, np.zeros(len(key), U64), doc, np.zeros(len(key), np.int64))
+            key, _, doc, _, group, least = grouped(key, np.zeros(len(key), U64), doc, np.zeros(len(key), np.int64))
             new = np.r_[True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1])] if len(key) else np.zeros(0, bool)
             key, doc, group, least = key[new], doc[new], group[new], least[new]
             first = doc == least
             many = np.bincount(group)[group] > 1 if len(group) else first
             zero = np.zeros(first.sum(), np.int64)
-            yield _batch([*_entries(key[first], zero.view(U64), doc[first], many[first].astype(np.int64), 0, parts), *_marks(doc[many], key[many], np.zeros(many.sum(), np.int64), parts)])
+            yield batch_of([*entry_rows(key[first], zero.view(U64), doc[first], many[first].astype(np.int64), 0, parts), *mark_rows(doc[many], key[many], np.zeros(many.sum(), np.int64), parts)])
 
     return run
 
 
-def _columns(table: pa.Table, role: tuple[int, ...], h2: bool = False) -> tuple:
-    rows = [r for r in table.to_pylist() if r["role"] in role]
-    h1 = [unpack(r["h1"], True) for r in rows]
-    docs, ats = [unpack(r["doc"]).view(np.int64) for r in rows], [unpack(r["at"]).view(np.int64) for r in rows]
-    join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)])
-    return join(h1, U64), join([unpack(r["h2"]) for r in rows], U64), join(docs, np.int64), join(ats, np.int64)
-
-
-def _pass_marks(table: pa.Table) -> list[tuple]:
-    return [tuple(r[n] for n in NAMES) for r in table.to_pylist() if r["role"] == 1]
-
-
 def _merge_keys(parts: int):
     """Of a part: marks of keys in two documents or more; other entries of the batch (role 0) go to the new run (role 3)."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, z, d, many = _columns(table, (0,))
-        old_h, old_z, old_d, _ = _columns(table, (2,))
+        h, z, d, many = columns_of(table, (0,))
+        old_h, old_z, old_d, _ = columns_of(table, (2,))
         fresh = np.r_[np.ones(len(h), bool), np.zeros(len(old_h), bool)].astype(np.int64)
-        key, zero, doc, at, group, _ = _groups(np.r_[h, old_h], np.r_[z, old_z], np.r_[d, old_d], np.r_[fresh + 2 * many.astype(np.int64) if len(old_h) == 0 else np.r_[fresh[: len(h)] + 2 * many, fresh[len(h) :]]])
+        key, zero, doc, at, group, _ = grouped(np.r_[h, old_h], np.r_[z, old_z], np.r_[d, old_d], np.r_[fresh + 2 * many.astype(np.int64) if len(old_h) == 0 else np.r_[fresh[: len(h)] + 2 * many, fresh[len(h) :]]])
         new = np.bincount(group, at & 1) > 0 if len(group) else np.zeros(0, bool)
         repeated = (np.bincount(group) > 1) if len(group) else new
         marked = (repeated & new)[group] if len(group) else np.zeros(0, bool)
         single = ~marked & (at == 1)
-        rows = [*_pass_marks(table), *_marks(doc[marked], key[marked], at[marked] * 0, parts), *_entries(key[single], zero[single], doc[single], at[single] * 0, 3, parts)]
-        return pa.Table.from_batches([_batch(rows)])
+        rows = [*passed_marks(table), *mark_rows(doc[marked], key[marked], at[marked] * 0, parts), *entry_rows(key[single], zero[single], doc[single], at[single] * 0, 3, parts)]
+        return pa.Table.from_batches([batch_of(rows)])
 
     return run
 
@@ -175,27 +115,13 @@ def _merge_windows(parts: int):
     """Of a part: places of windows that also start in a document with a smaller id."""
 
     def run(table: pa.Table) -> pa.Table:
-        h1, _, doc, at, _, least = _groups(*_columns(table, (0,)))
+        h1, _, doc, at, _, least = grouped(*columns_of(table, (0,)))
         hit = doc > least
-        return pa.Table.from_batches([_batch([*_pass_marks(table), *_marks(doc[hit], h1[hit], at[hit], parts)])])
+        return pa.Table.from_batches([batch_of([*passed_marks(table), *mark_rows(doc[hit], h1[hit], at[hit], parts)])])
 
     return run
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (id, h1, at) for each document of each mark."""
-    for batch in batches:
-        ids, keys, ats = [], [], []
-        for r in batch.to_pylist():
-            doc, h1, at = unpack(r["doc"]).view(np.int64), unpack(r["h1"]), unpack(r["at"])
-            cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-            for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-                ids.append(int(doc[a]))
-                keys.append(np.unique(h1[a:b]).tobytes())
-                ats.append(np.unique(at[a:b]).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(ats, pa.binary())], ["id", "h1", "at"])
-
-
 def _verify(window: int, gram: int, parts: int):
     """Of documents with candidate keys: full hashes of the windows filed under these."""
 
@@ -220,10 +146,10 @@ def _verify(window: int, gram: int, parts: int):
     def emit(h1, h2, doc, at, last=False, held=[]):  # noqa: B006
         held.append((h1, h2, doc, at))
         if last or sum(len(x[0]) for x in held) > 1 << 21:
-            h1, h2, doc, at, _, least = _groups(*(np.concatenate(x) for x in zip(*held)))
+            h1, h2, doc, at, _, least = grouped(*(np.concatenate(x) for x in zip(*held)))
             held.clear()
             first = doc == least
-            yield _batch([*_entries(h1[first], h2[first], doc[first], at[first], 0, parts), *_marks(doc[~first], h1[~first], at[~first], parts)])
+            yield batch_of([*entry_rows(h1[first], h2[first], doc[first], at[first], 0, parts), *mark_rows(doc[~first], h1[~first], at[~first], parts)])
 
     return run
 
@@ -268,16 +194,16 @@ def _left_entries(parts: int):
         key, doc = np.concatenate(keys), np.concatenate(docs)
         order = np.argsort(key, kind="stable")
         zero = np.zeros(len(key), np.int64)
-        yield _batch(list(_entries(key[order], zero.view(U64), doc[order], zero, 3, parts)))
+        yield batch_of(list(entry_rows(key[order], zero.view(U64), doc[order], zero, 3, parts)))
 
     return run
 
 
 def _compact(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        h1, h2, doc, at = _columns(table, (2, 3))
+        h1, h2, doc, at = columns_of(table, (2, 3))
         order = np.lexsort((doc, h1))
-        return pa.Table.from_batches([_batch(list(_entries(h1[order], h2[order], doc[order], at[order], 3, parts)))])
+        return pa.Table.from_batches([batch_of(list(entry_rows(h1[order], h2[order], doc[order], at[order], 3, parts)))])
 
     return run
 
@@ -296,7 +222,7 @@ class WindowIndex:
 
     def _marks(self, df: DataFrame, name: str) -> DataFrame:
         """(id, h1, at): lists of packed keys and places of each document; small ones are broadcast."""
-        rows = df.where("role = 1").select("doc", "h1", "at").mapInArrow(_by_document, "id long, h1 binary, at binary")
+        rows = df.where("role = 1").select("doc", "h1", "at").mapInArrow(by_document, "id long, h1 binary, at binary")
         lists = materialize(rows.groupBy("id").agg(F.collect_list("h1").alias("h1"), F.collect_list("at").alias("at")), name)
         size = lists.agg(F.sum(F.expr("aggregate(h1, 64L, (n, x) -> n + length(x)) + aggregate(at, 0L, (n, x) -> n + length(x))"))).first()[0]
         return F.broadcast(lists) if (size or 0) <= BROADCAST_BYTES else lists
@@ -351,3 +277,21 @@ def deduplicate(docs: DataFrame, batches: int = 2, **options) -> DataFrame:
         result = index.add(own, docs.where(F.col("doc_id") <= bounds[k - 1]) if k else None)
         out = result if out is None else out.unionByName(result)
     return out
+
+
+SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(l[i:i + 12], ' ') AS s FROM words, unnest(range(1, len(l) - 11)) AS r(i)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT i + k) AS places FROM windows JOIN firsts USING (s), unnest(range(0, 13)) AS r(k)
+  WHERE doc_id > first GROUP BY doc_id),
+judged AS (
+  SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: NOT coalesce(list_contains(places, i), false)) AS kept
+  FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(l)::BIGINT AS n_words, (len(l) - len(kept))::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(kept, lambda i: l[i]), ' '), '')) AS kept_sha256
+FROM judged
+"""
