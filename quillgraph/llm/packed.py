@@ -11,8 +11,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .storage import materialize
+from .textkit import sliding_min
 
 U64 = np.uint64
+#: Lists of marks are broadcast up to this size; beyond it they are joined by id.
+BROADCAST_BYTES = 48 << 20
+#: Bytes of text whose entries make a part of the key space.
+PART_BYTES = 8 << 20
+#: What the marks of anchors say: all its windows are hits, it is a candidate, or a hit whose windows are compared too.
+HIT, CANDIDATE, WITNESS = 1, 2, 3
 ENTRY = "part int, role int, h1 binary, h2 binary, doc binary, at binary"
 NAMES = ["part", "role", "h1", "h2", "doc", "at"]
 
@@ -63,27 +74,82 @@ def grouped(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray) ->
     return h1, h2, doc, at, group, doc[new][group] if len(h1) else doc
 
 
-def columns_of(table: pa.Table, role: tuple[int, ...], h2: bool = False) -> tuple:
-    rows = [r for r in table.to_pylist() if r["role"] in role]
-    h1 = [unpack(r["h1"], True) for r in rows]
-    docs, ats = [unpack(r["doc"]).view(np.int64) for r in rows], [unpack(r["at"]).view(np.int64) for r in rows]
-    join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)])
-    return join(h1, U64), join([unpack(r["h2"]) for r in rows], U64), join(docs, np.int64), join(ats, np.int64)
-
-
 def passed_marks(table: pa.Table) -> list[tuple]:
     return [tuple(r[n] for n in NAMES) for r in table.to_pylist() if r["role"] == 1]
 
 
-def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (id, h1, at) for each document of each mark."""
+def runs_of(table: pa.Table, role: int = 0) -> list[tuple]:
+    """The sorted runs of a part: (h1, h2, doc, at) for each row of ``role``."""
+    rows = [r for r in table.to_pylist() if r["role"] == role]
+    return [(unpack(r["h1"], True), unpack(r["h2"]), unpack(r["doc"]).view(np.int64), unpack(r["at"]).view(np.int64)) for r in rows]
+
+
+def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (id, at) for each document of each mark; ``at`` is packed."""
     for batch in batches:
-        ids, keys, ats = [], [], []
+        ids, ats = [], []
         for r in batch.to_pylist():
-            doc, h1, at = unpack(r["doc"]).view(np.int64), unpack(r["h1"]), unpack(r["at"])
+            doc, at = unpack(r["doc"]).view(np.int64), unpack(r["at"])
             cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
             for a, b in zip(cuts, [*cuts[1:], len(doc)]):
                 ids.append(int(doc[a]))
-                keys.append(np.unique(h1[a:b]).tobytes())
-                ats.append(np.unique(at[a:b]).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(ats, pa.binary())], ["id", "h1", "at"])
+                ats.append(pack(np.unique(at[a:b]), True))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.binary())], ["id", "at"])
+
+
+def mark_lists(merged: DataFrame, name: str, column: str) -> DataFrame:
+    """(id, ``column``): each document's marks, written once; a small table is broadcast."""
+    rows = merged.where("role = 1").select("doc", "at").mapInArrow(places, "id long, at binary")
+    lists = materialize(rows.groupBy("id").agg(F.collect_list("at").alias(column)), name)
+    size = lists.agg(F.sum(F.expr(f"aggregate({column}, 96L, (n, x) -> n + 16 + length(x))"))).first()[0]
+    return F.broadcast(lists) if (size or 0) <= BROADCAST_BYTES else lists
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Parts of the key space for entries of ``docs``, by their bytes of text."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return int(max(16, -(-total // PART_BYTES)))
+
+
+class Anchors:
+    """Anchors of sequences that lie one after another, between ``offsets``.
+
+    Of every ``gap`` consecutive places, the first one with the least hash is an anchor. ``starts`` has the places where
+    whole windows start, ``own`` the anchor of each, ``doc`` its sequence. Anchors are numbered within their sequence.
+    """
+
+    def place(self, offsets: np.ndarray, hashes: np.ndarray, window: int, gap: int) -> None:
+        self.edges, self.window, self.gap = offsets, window, gap
+        whole = np.maximum(0, np.diff(offsets) - window + 1)
+        first = np.cumsum(whole) - whole
+        self.doc = np.repeat(np.arange(len(whole)), whole)
+        self.starts = np.arange(whole.sum()) + np.repeat(offsets[:-1] - first, whole)
+        self.first, self.number = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.own, self.kept = self.starts, np.zeros(0, np.int64)
+        if len(self.starts):
+            bits = U64(max(len(hashes).bit_length(), 24))
+            least = sliding_min((hashes >> bits << bits) | np.arange(len(hashes)).astype(U64), gap)
+            self.own = (least[self.starts] & ((U64(1) << bits) - U64(1))).astype(np.int64)
+            new = np.r_[True, (np.diff(self.own) != 0) | (np.diff(self.doc) != 0)]
+            self.kept = np.flatnonzero(new)
+            self.number = np.cumsum(new) - 1
+            self.first = np.searchsorted(self.doc[self.kept], np.arange(len(whole)))
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, sequences and numbers of all anchors."""
+        doc = self.doc[self.kept]
+        return self.own[self.kept], doc, np.arange(len(doc)) - self.first[doc] if len(doc) else doc
+
+    def reach(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges that the windows of these anchors can reach."""
+        return np.maximum(self.edges[doc], at - self.gap + 1), np.minimum(self.edges[doc + 1], at + self.window)
+
+    def kinds(self, marks: list) -> np.ndarray:
+        """What the marks of each sequence (packed lists, or None) say of the anchors of ``starts``; 0: nothing."""
+        kind = np.zeros(len(self.kept) + 1, np.int8)
+        for d, blobs in enumerate(marks):
+            for blob in blobs or []:
+                at = unpack(blob, True).astype(np.int64)
+                place = (at >> 2) + self.first[d]
+                kind[place] = np.maximum(kind[place], at & 3)
+        return kind[self.number]

@@ -5,7 +5,7 @@ has the least hash is an anchor, so equal strings have equal anchors at equal pl
 under the hash of the bytes that all strings it is chosen for share (``window`` - ``gap`` + 1 of them),
 with a second hash of all bytes that these strings can reach. Sorted runs of these entries meet by parts of
 the key space. Where both hashes repeat, all strings of the anchor are hits; where only the first one does, it is a candidate.
-(2) Shards. The strings of candidates form segments of texts. Each shard (the segments of 2 MB of text) gets a
+(2) Shards. The strings of candidates form segments of texts. Each shard (the segments of 1 MB of text) gets a
 suffix array by Larsson-Sadakane refinement, then common prefixes by Kasai's rule; suffixes that share
 ``window`` bytes are one string of the shard. Of anchors that are hits already but share their first hash with a
 candidate, one for each second hash takes part as well.
@@ -29,66 +29,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packed import ENTRY, U64, batch_of, entry_rows, grouped, mark_rows, pack, passed_marks, unpack
-from .storage import materialize
-from .textkit import Rolling, covered, mixed, slices, sliding_min, text_bytes
+from .packed import CANDIDATE, ENTRY, HIT, U64, WITNESS, Anchors, batch_of, entry_rows, grouped, mark_lists, mark_rows, parts_for, passed_marks, runs_of, unpack
+from .textkit import Rolling, covered, mixed, slices, text_bytes
 
 WINDOW = 400
 GAP = 64
 GRAM = 16
-PARTS = 96
-#: Lists of marks are broadcast up to this size; beyond it they are joined by id.
-BROADCAST_BYTES = 48 << 20
+#: Bytes of text that are hashed at once: their arrays take some 100 bytes for each.
+SLICE = 1 << 20
 #: Entries that a task holds before it sends them.
 HELD = 1 << 21
-#: What the marks of anchors say: all its strings are hits, it is a candidate, or a hit that takes part in shards.
-HIT, CANDIDATE, WITNESS = 1, 2, 3
 
 
-class _Anchors:
-    """Anchors of a slice: ``own[s]`` is the anchor of the string at s, for the places ``starts`` of whole strings."""
+class _Anchors(Anchors):
+    """Anchors of a slice's texts, by bytes."""
 
     def __init__(self, window: int, gap: int) -> None:
-        self.window, self.gap = window, gap
+        self.size = (window, gap)
         self.rolls = [Rolling(s) for s in (31, 32)]
 
     def load(self, column: pa.Array) -> None:
         self.data, self.offsets = text_bytes(column)
-        n = len(self.data)
         self.sums = [r.byte_sums(self.data) for r in self.rolls]
-        size = np.diff(self.offsets)
-        whole = np.maximum(0, size - self.window + 1)
-        first = np.cumsum(whole) - whole
-        self.doc = np.repeat(np.arange(len(size)), whole)
-        self.starts = np.arange(whole.sum()) + np.repeat(self.offsets[:-1] - first, whole)
-        if not len(self.starts):
-            self.own = self.starts
-            return
-        at = np.arange(max(0, n - GRAM + 1))
-        bits = U64(max(n.bit_length(), 24))
-        ranked = (self.rolls[0].ranges(self.sums[0], at, at + GRAM) >> bits << bits) | at.astype(U64)
-        least = sliding_min(ranked, self.gap)
-        self.own = (least[self.starts] & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        at = np.arange(max(0, len(self.data) - GRAM + 1))
+        self.place(self.offsets, self.rolls[0].ranges(self.sums[0], at, at + GRAM), *self.size)
 
     def hashes(self, at: np.ndarray, length: int, which: int) -> np.ndarray:
         return self.rolls[which].ranges(self.sums[which], at, at + length)
 
-    def reach(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Hashes of the bytes that the strings of the anchors can reach, and of the anchors' places in them."""
-        first = np.maximum(self.offsets[doc], at - self.gap + 1)
-        last = np.minimum(self.offsets[doc + 1], at + self.window)
-        return mixed(self.rolls[1].ranges(self.sums[1], first, last) + (at - first).astype(U64))
-
-    def kinds(self, marks: list) -> np.ndarray:
-        """What the marks of each document (packed lists, or None) say of the anchors of ``starts``; 0: nothing."""
-        kind = np.zeros(len(self.data) + 1, np.int8)
-        for d, blobs in enumerate(marks):
-            for blob in blobs or []:
-                at = unpack(blob, True).astype(np.int64)
-                place = (at >> 2) + self.offsets[d]
-                kind[place] = np.maximum(kind[place], at & 3)
-        return kind[self.own]
-
 
 def _settled(h1, h2, doc, at, parts: int) -> Iterator[tuple]:
     """Rows of a task's anchors: each pair of hashes once, with whether it has it twice; its other places as hits."""
@@ -104,14 +72,14 @@ def _scan(window: int, gap: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, held = _Anchors(window, gap), []
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 anchors.load(part.column("text"))
                 if not len(anchors.starts):
                     continue
-                new = np.r_[True, (np.diff(anchors.own) != 0) | (np.diff(anchors.doc) != 0)]
-                at, doc = anchors.own[new], anchors.doc[new]
-                ids = part.column("id").to_numpy()
-                held.append((anchors.hashes(at, window - gap + 1, 0), anchors.reach(at, doc), ids[doc], at - anchors.offsets[doc]))
+                at, doc, number = anchors.anchors()
+                first, last = anchors.reach(at, doc)
+                second = mixed(anchors.rolls[1].ranges(anchors.sums[1], first, last) + (at - first).astype(U64))
+                held.append((anchors.hashes(at, window - gap + 1, 0), second, part.column("id").to_numpy()[doc], number))
                 if sum(len(x[0]) for x in held) > HELD:
                     yield batch_of(list(_settled(*(np.concatenate(x) for x in zip(*held)), parts)))
                     held = []
@@ -121,16 +89,11 @@ def _scan(window: int, gap: int, parts: int):
     return run
 
 
-def _runs(table: pa.Table) -> list[tuple]:
-    rows = [r for r in table.to_pylist() if r["role"] == 0]
-    return [(unpack(r["h1"], True), unpack(r["h2"]), unpack(r["doc"]).view(np.int64), unpack(r["at"]).view(np.int64)) for r in rows]
-
-
 def _merge_anchors(parts: int):
     """Of a part: marks of anchors whose first hash repeats."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, runs = passed_marks(table), _runs(table)
+        rows, runs = passed_marks(table), runs_of(table)
         h1, h2, doc, at = shared_entries(runs) if runs else (np.zeros(0, U64),) * 4
         if len(h1):
             outer = np.r_[True, h1[1:] != h1[:-1]]
@@ -251,7 +214,7 @@ def _shards(window: int, gap: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, held = _Anchors(window, gap), []
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 anchors.load(part.column("text"))
                 if not len(anchors.starts):
                     continue
@@ -294,7 +257,7 @@ def _merge_strings(parts: int):
     """Of a part: marks of strings that several shards have, or one has twice."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, runs = passed_marks(table), _runs(table)
+        rows, runs = passed_marks(table), runs_of(table)
         h1, h2, doc, at = shared_entries(runs) if runs else (np.zeros(0, U64),) * 4
         if len(h1):
             g = np.cumsum(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) - 1
@@ -305,33 +268,12 @@ def _merge_strings(parts: int):
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (id, at) for each document of each mark; ``at`` is packed."""
-    for batch in batches:
-        ids, ats = [], []
-        for r in batch.to_pylist():
-            doc, at = unpack(r["doc"]).view(np.int64), unpack(r["at"])
-            cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-            for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-                ids.append(int(doc[a]))
-                ats.append(pack(np.unique(at[a:b]), True))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.binary())], ["id", "at"])
-
-
-def _lists(merged: DataFrame, name: str, column: str) -> DataFrame:
-    """(id, ``column``): each document's marks; a small table is broadcast."""
-    rows = merged.where("role = 1").select("doc", "at").mapInArrow(_places, "id long, at binary")
-    lists = materialize(rows.groupBy("id").agg(F.collect_list("at").alias(column)), name)
-    size = lists.agg(F.sum(F.expr(f"aggregate({column}, 64L, (n, x) -> n + length(x))"))).first()[0]
-    return F.broadcast(lists) if (size or 0) <= BROADCAST_BYTES else lists
-
-
 def _cut(window: int, gap: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         anchors = _Anchors(window, gap)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 anchors.load(part.column("text"))
                 found = [anchors.starts[anchors.kinds(part.column("marks").to_pylist()) % 2 == 1]] if len(anchors.starts) else []
                 for d, blobs in enumerate(part.column("strings").to_pylist()):
@@ -350,16 +292,17 @@ def _cut(window: int, gap: int, names: list[str]):
     return run
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, gap: int = GAP, parts: int = PARTS) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, gap: int = GAP, parts: int | None = None) -> DataFrame:
     """``docs`` less text, with n_bytes, n_removed (long), spans (byte ranges) and kept (binary)."""
     added = ("n_bytes", "n_removed", "spans", "kept")
     names = [c for c in docs.columns if c != "text" and c not in added]
     own = docs.select(*names, "text").withColumn("_row", F.xxhash64("doc_id", "text"))
     texts = own.select(F.col("_row").alias("id"), "text").where(F.octet_length("text") >= window)
+    parts = parts or parts_for(texts)
     found = texts.mapInArrow(_scan(window, gap, parts), ENTRY).groupBy("part").applyInArrow(_merge_anchors(parts), ENTRY)
-    marks = _lists(found, "anchor-marks", "marks")
+    marks = mark_lists(found, "anchor-marks", "marks")
     shards = texts.join(marks, "id").mapInArrow(_shards(window, gap, parts), ENTRY)
-    strings = _lists(shards.groupBy("part").applyInArrow(_merge_strings(parts), ENTRY), "string-marks", "strings")
+    strings = mark_lists(shards.groupBy("part").applyInArrow(_merge_strings(parts), ENTRY), "string-marks", "strings")
     marked = own.join(marks.withColumnRenamed("id", "_row"), "_row", "left").join(strings.withColumnRenamed("id", "_row"), "_row", "left")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     kinds = [T.LongType(), T.LongType(), span, T.BinaryType()]
