@@ -1,20 +1,19 @@
 """Incremental deduplication of 13-word windows with a log-structured index of window hashes.
 
-Every window is filed under the least hash of the five-word windows inside it. Equal windows
-share that key, and neighbouring windows mostly share it too, so a document has about a fifth as many entries
-(key, document) as words. The index is a list of immutable runs: Parquet tables with a row of sorted entries
-for each part of the key space.
-
-A batch is added in three steps. (1) Its entries are sorted, grouped by part and merged with all
-runs; keys that occur in two documents make these candidates. (2) Candidates are verified: texts
-are read again, and the windows filed under their candidate keys are compared by two independent
-64-bit hashes of all 13 words; a window that also starts in a document with a smaller id is a hit. (3) The
-batch's entries become a new run, less the entries whose windows were all hits, so a passage or text that comes back
-again and again is filed once for each different window. When there are ``fan_out`` runs they
-are merged into one and removed. Batches must come in ascending order of ids.
-
-Tasks send a key, or a window, at most once for each part: documents that share it inside a task are settled there.
-So a key that a third of all documents holds reaches its part once for each task.
+Of every nine consecutive places of a text, the first one with the least five-word hash is an anchor: equal
+windows have equal anchors at equal places. An anchor is filed under the hash of its five words, with a second hash of
+all words that its windows can reach. The index is a list of immutable runs: Parquet tables with a row of
+sorted, packed entries for each part of the key space, one entry for each pair of hashes and its first document.
+
+A batch is added in three steps. (1) Its entries are sorted, grouped by part and merged with all runs. Where
+both hashes have an earlier document, all windows of the anchor are hits; where only the first hash is shared, the first
+document of each pair is a candidate. (2) Candidates are verified: texts are read again, and the windows of
+candidate anchors are compared by two independent 64-bit hashes of all 13 words; a window that also starts in a document
+with a smaller id is a hit. (3) New pairs become a run. When there would be ``fan_out`` runs, the same merge writes
+all entries as one run instead, and the old runs are removed. Batches must come in ascending order of ids.
+
+A task sends a pair, or a window, only for the least document that it has of it: other documents are settled there. So a
+passage that a third of all documents holds reaches its part once for each task.
 
 Defined cases: null texts have no words; a null id counts as the largest; rows with the same id don't
 remove each other's words, and hits of that id hold for all its rows; white space between words isn't compared.
@@ -29,181 +28,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packed import ENTRY, U64, batch_of, by_document, columns_of, entry_rows, grouped, mark_rows, passed_marks
-from .storage import materialize, new_path, remove
-from .textkit import Rolling, covered, find_words, slices, sliding_min, text_bytes
+from .packed import CANDIDATE, ENTRY, HIT, U64, Anchors, batch_of, entry_rows, grouped, mark_lists, mark_rows, parts_for, passed_marks, runs_of, unpack
+from .storage import new_path, remove
+from .textkit import Rolling, covered, find_words, mixed, slices, text_bytes
 
 WINDOW = 13
 GRAM = 5
-PARTS = 64
 FAN_OUT = 2
-#: Marks of a batch are broadcast up to this size; beyond it they are joined by id.
-BROADCAST_BYTES = 48 << 20
 LAST = (1 << 63) - 1
-NONE = np.zeros(0, np.uint64)
+SLICE = 1 << 20
+#: Entries that a task holds before it sends them.
+HELD = 1 << 21
+#: Roles of rows: entries of the batch, marks, entries of runs as read, entries of the run that is written.
+NEW, MARK, OLD, STORED = 0, 1, 2, 3
 
 
-class _Hasher:
-    """Keys and full hashes of a slice's windows. Windows are numbered by their first word."""
+class _Windows(Anchors):
+    """Anchors of a slice's texts, by words, and hashes of ranges of words."""
 
     def __init__(self, window: int, gram: int) -> None:
-        self.window, self.gram = window, gram
-        self.rolls = [Rolling(s) for s in (21, 22, 23, 24)]
+        self.size, self.gram = (window, window - gram + 1), gram
+        self.rolls = [(Rolling(a), Rolling(b)) for a, b in ((21, 22), (23, 24))]
 
     def load(self, column: pa.Array) -> None:
         data, offsets = text_bytes(column)
         self.words = words = find_words(data, offsets)
-        bytes1, words1, _, _ = self.rolls
-        self.single = bytes1.ranges(bytes1.byte_sums(data), words.start, words.end)
-        self.sums = words1.sums(self.single)
-        n, g, w = len(self.single), self.gram, self.window
-        at = np.arange(max(0, n - g + 1))
-        self.key = sliding_min(words1.ranges(self.sums, at, at + g), w - g + 1)
-        doc = words.doc
-        self.valid = np.flatnonzero(doc[: len(self.key)] == doc[w - 1 : w - 1 + len(self.key)]) if len(self.key) else np.zeros(0, np.int64)
-        self.doc = doc
-
-    def full(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, words1, bytes2, words2 = self.rolls
-        second = bytes2.ranges(bytes2.byte_sums(self.words.data), self.words.start, self.words.end)
-        return words1.ranges(self.sums, at, at + self.window), words2.ranges(words2.sums(second), at, at + self.window)
+        self.sums = [by_word.sums(by_byte.ranges(by_byte.byte_sums(data), words.start, words.end)) for by_byte, by_word in self.rolls]
+        at = np.arange(max(0, len(words.start) - self.gram + 1))
+        self.place(words.first, self.hashes(at, at + self.gram, 0), *self.size)
 
+    def hashes(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+        return self.rolls[which][1].ranges(self.sums[which], start, end)
 
-def _scan(window: int, gram: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, keys, docs = _Hasher(window, gram), [], []
-        for batch in batches:
-            for part in slices(batch):
-                hasher.load(part.column("text"))
-                ids = part.column("id").to_numpy()
-                key, doc = hasher.key[hasher.valid], hasher.doc[hasher.valid]
-                new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
-                keys.append(key[new])
-                docs.append(ids[doc[new]])
-        if keys:
-            key, doc = np.concatenate(keys), np.concatenate(docs).astype(np.int64)
-            key, _, doc, _, group, least = grouped(key, np.zeros(len(key), U64), doc, np.zeros(len(key), np.int64))
-            new = np.r_[True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1])] if len(key) else np.zeros(0, bool)
-            key, doc, group, least = key[new], doc[new], group[new], least[new]
-            first = doc == least
-            many = np.bincount(group)[group] > 1 if len(group) else first
-            zero = np.zeros(first.sum(), np.int64)
-            yield batch_of([*entry_rows(key[first], zero.view(U64), doc[first], many[first].astype(np.int64), 0, parts), *mark_rows(doc[many], key[many], np.zeros(many.sum(), np.int64), parts)])
 
-    return run
+def _least_only(h1, h2, doc, at, parts: int, mark: int) -> Iterator[tuple]:
+    """A task's entries of the least document of each pair of hashes; those of other documents are marks (times 4 plus ``mark``, if any)."""
+    h1, h2, doc, at, _, least = grouped(h1, h2, doc, at)
+    first = doc == least
+    yield from entry_rows(h1[first], h2[first], doc[first], at[first], NEW, parts)
+    yield from mark_rows(doc[~first], h1[~first], at[~first] * 4 + mark if mark else at[~first], parts)
 
 
-def _merge_keys(parts: int):
-    """Of a part: marks of keys in two documents or more; other entries of the batch (role 0) go to the new run (role 3)."""
+def _sent(pieces: Iterator[tuple], parts: int, mark: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for piece in pieces:
+        held.append(piece)
+        if sum(len(x[0]) for x in held) > HELD:
+            yield batch_of(list(_least_only(*(np.concatenate(x) for x in zip(*held)), parts, mark)))
+            held = []
+    if held:
+        yield batch_of(list(_least_only(*(np.concatenate(x) for x in zip(*held)), parts, mark)))
 
-    def run(table: pa.Table) -> pa.Table:
-        h, z, d, many = columns_of(table, (0,))
-        old_h, old_z, old_d, _ = columns_of(table, (2,))
-        fresh = np.r_[np.ones(len(h), bool), np.zeros(len(old_h), bool)].astype(np.int64)
-        key, zero, doc, at, group, _ = grouped(np.r_[h, old_h], np.r_[z, old_z], np.r_[d, old_d], np.r_[fresh + 2 * many.astype(np.int64) if len(old_h) == 0 else np.r_[fresh[: len(h)] + 2 * many, fresh[len(h) :]]])
-        new = np.bincount(group, at & 1) > 0 if len(group) else np.zeros(0, bool)
-        repeated = (np.bincount(group) > 1) if len(group) else new
-        marked = (repeated & new)[group] if len(group) else np.zeros(0, bool)
-        single = ~marked & (at == 1)
-        rows = [*passed_marks(table), *mark_rows(doc[marked], key[marked], at[marked] * 0, parts), *entry_rows(key[single], zero[single], doc[single], at[single] * 0, 3, parts)]
-        return pa.Table.from_batches([batch_of(rows)])
 
-    return run
+def _scan(window: int, gram: int, parts: int):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        windows = _Windows(window, gram)
+        for batch in batches:
+            for part in slices(batch, limit=SLICE):
+                windows.load(part.column("text"))
+                at, doc, number = windows.anchors()
+                first, last = windows.reach(at, doc)
+                second = mixed(windows.hashes(first, last, 1) + (at - first).astype(U64))
+                yield windows.hashes(at, at + gram, 0), second, part.column("id").to_numpy()[doc], number
 
+    return lambda batches: _sent(pieces(batches), parts, HIT)
 
-def _merge_windows(parts: int):
-    """Of a part: places of windows that also start in a document with a smaller id."""
+
+def _merge_anchors(parts: int, all_stored: bool):
+    """Of a part: marks of anchors, and the entries of the run that is written: new pairs, or all of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        h1, _, doc, at, _, least = grouped(*columns_of(table, (0,)))
-        hit = doc > least
-        return pa.Table.from_batches([batch_of([*passed_marks(table), *mark_rows(doc[hit], h1[hit], at[hit], parts)])])
+        rows = passed_marks(table)
+        new, old = runs_of(table, NEW), runs_of(table, OLD)
+        if new or old:
+            columns = [np.concatenate([r[i] for r in new + old]) for i in range(4)]
+            fresh = np.repeat([1, 0], [sum(len(r[0]) for r in new), sum(len(r[0]) for r in old)])
+            h1, h2, doc, at, pair, least = grouped(*columns[:3], columns[3] * 2 + fresh)
+            fresh, at = at & 1, at >> 1
+            outer = np.r_[True, h1[1:] != h1[:-1]]
+            key = np.cumsum(outer) - 1
+            pairs = np.bincount(key, np.r_[True, np.diff(pair) > 0])[key]
+            lowest, highest = np.minimum.reduceat(doc, np.flatnonzero(outer))[key], np.maximum.reduceat(doc, np.flatnonzero(outer))[key]
+            hit = (doc > least) & (fresh > 0)
+            candidate = (doc == least) & (pairs > 1) & (lowest < highest) & (np.bincount(key, fresh)[key] > 0)
+            marked = hit | candidate
+            rows += mark_rows(doc[marked], h1[marked], (at * 4 + np.where(hit, HIT, CANDIDATE))[marked], parts)
+            known = np.bincount(pair, 1 - fresh)[pair] > 0
+            kept = (doc == least) & ((fresh == 0) | ~known) & ((fresh > 0) | all_stored)
+            rows += entry_rows(h1[kept], h2[kept], doc[kept], at[kept], STORED, parts)
+        return pa.Table.from_batches([batch_of(rows)])
 
     return run
 
 
 def _verify(window: int, gram: int, parts: int):
-    """Of documents with candidate keys: full hashes of the windows filed under these."""
+    """Of documents with candidates: full hashes of the windows of these anchors, with their first words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, found = _Hasher(window, gram), []
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        windows = _Windows(window, gram)
         for batch in batches:
-            for part in slices(batch):
-                hasher.load(part.column("text"))
-                ids = part.column("id").to_numpy()
-                for d, blobs in enumerate(part.column("keys").to_pylist()):
-                    a, b = np.searchsorted(hasher.valid, hasher.words.first[d : d + 2])
-                    own = hasher.valid[a:b]
-                    at = own[np.isin(hasher.key[own], np.frombuffer(b"".join(blobs), U64))]
-                    found.append((at, d))
-                at = np.concatenate([x for x, _ in found])
-                d = np.repeat([d for _, d in found], [len(x) for x, _ in found]).astype(np.int64)
-                h1, h2 = hasher.full(at)
-                found = []
-                yield from emit(h1, h2, ids[d].astype(np.int64), at - hasher.words.first[d])
-        yield from emit(*(np.zeros(0, U64),) * 2, *(np.zeros(0, np.int64),) * 2, last=True)
-
-    def emit(h1, h2, doc, at, last=False, held=[]):  # noqa: B006
-        held.append((h1, h2, doc, at))
-        if last or sum(len(x[0]) for x in held) > 1 << 21:
-            h1, h2, doc, at, _, least = grouped(*(np.concatenate(x) for x in zip(*held)))
-            held.clear()
-            first = doc == least
-            yield batch_of([*entry_rows(h1[first], h2[first], doc[first], at[first], 0, parts), *mark_rows(doc[~first], h1[~first], at[~first], parts)])
+            for part in slices(batch, limit=SLICE):
+                windows.load(part.column("text"))
+                if not len(windows.starts):
+                    continue
+                own = np.flatnonzero(windows.kinds(part.column("marks").to_pylist()) == CANDIDATE)
+                s, doc = windows.starts[own], windows.doc[own]
+                yield windows.hashes(s, s + window, 0), windows.hashes(s, s + window, 1), part.column("id").to_numpy()[doc], s - windows.edges[doc]
 
-    return run
+    return lambda batches: _sent(pieces(batches), parts, 0)
 
 
-def _cut(window: int, gram: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher(window, gram)
-        for batch in batches:
-            for part in slices(batch):
-                hasher.load(part.column("text"))
-                words, texts, removed, spans, left = hasher.words, [], [], [], []
-                for d, (ats, keys) in enumerate(zip(part.column("ats").to_pylist(), part.column("keys").to_pylist())):
-                    first, n = words.first[d], int(words.first[d + 1] - words.first[d])
-                    starts = np.unique(np.frombuffer(b"".join(ats or []), np.uint32)).astype(np.int64)
-                    starts = starts[starts <= n - window]
-                    gone = covered(starts, window, n)
-                    texts.append(b" ".join(words.text(i) for i in (np.flatnonzero(~gone) + first).tolist()))
-                    removed.append(int(gone.sum()))
-                    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                    spans.append([{"first": int(a), "last": int(b)} for a, b in edges.reshape(-1, 2)])
-                    if keys:
-                        own = hasher.valid[slice(*np.searchsorted(hasher.valid, words.first[d : d + 2]))]
-                        own = own[~np.isin(own - first, starts)]
-                        left.append(np.intersect1d(hasher.key[own], np.frombuffer(b"".join(keys), U64)).tobytes())
-                    else:
-                        left.append(None)
-                own = [part.column(c) for c in names]
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-                arrays = [pa.array(np.diff(words.first)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(left, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*own, *arrays], [*names, "n_words", "n_removed", "spans", "kept_text", "left_keys"])
+def _merge_windows(parts: int):
+    """Of a part: places of windows that also start in a document with a smaller id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, runs = passed_marks(table), runs_of(table)
+        if runs:
+            h1, _, doc, at, _, least = grouped(*(np.concatenate([r[i] for r in runs]) for i in range(4)))
+            hit = doc > least
+            rows += mark_rows(doc[hit], h1[hit], at[hit], parts)
+        return pa.Table.from_batches([batch_of(rows)])
 
     return run
 
 
-def _left_entries(parts: int):
+def _cut(window: int, gram: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs = [NONE], [np.zeros(0, np.int64)]
+        windows = _Windows(window, gram)
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
-            for i, b in zip(batch.column("id").to_pylist(), batch.column("left_keys").to_pylist()):
-                keys.append(np.frombuffer(b, U64))
-                docs.append(np.full(len(keys[-1]), i, np.int64))
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(key, kind="stable")
-        zero = np.zeros(len(key), np.int64)
-        yield batch_of(list(entry_rows(key[order], zero.view(U64), doc[order], zero, 3, parts)))
-
-    return run
-
-
-def _compact(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        h1, h2, doc, at = columns_of(table, (2, 3))
-        order = np.lexsort((doc, h1))
-        return pa.Table.from_batches([batch_of(list(entry_rows(h1[order], h2[order], doc[order], at[order], 3, parts)))])
+            for part in slices(batch, limit=SLICE):
+                windows.load(part.column("text"))
+                edges, words = windows.edges, windows.words
+                found = [windows.starts[windows.kinds(part.column("marks").to_pylist()) == HIT]] if len(windows.starts) else []
+                for d, blobs in enumerate(part.column("places").to_pylist()):
+                    found += [unpack(b, True).astype(np.int64) + edges[d] for b in blobs or []]
+                gone = covered(np.concatenate([*found, np.zeros(0, np.int64)]), window, len(words.start))
+                texts, removed, spans = [], [], []
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    own = gone[a:b]
+                    texts.append(b" ".join(words.text(i) for i in (np.flatnonzero(~own) + a).tolist()))
+                    removed.append(int(own.sum()))
+                    turns = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8))).reshape(-1, 2)
+                    spans.append([{"first": int(x), "last": int(y)} for x, y in turns])
+                arrays = [pa.array(np.diff(edges)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *arrays], [*names, "n_words", "n_removed", "spans", "kept_text"])
 
     return run
 
@@ -211,69 +180,45 @@ def _compact(parts: int):
 class WindowIndex:
     """The runs of one corpus. ``add`` takes batches in ascending order of ids and returns their results."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, parts: int = PARTS, fan_out: int = FAN_OUT) -> None:
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, parts: int = 64, fan_out: int = FAN_OUT) -> None:
         self.spark, self.window, self.gram, self.parts, self.fan_out = spark, window, gram, parts, fan_out
-        self.runs: list[list[str]] = []
-
-    def _table(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        path = new_path(self.spark, name)
-        df.write.option("compression", "uncompressed").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def _marks(self, df: DataFrame, name: str) -> DataFrame:
-        """(id, h1, at): lists of packed keys and places of each document; small ones are broadcast."""
-        rows = df.where("role = 1").select("doc", "h1", "at").mapInArrow(by_document, "id long, h1 binary, at binary")
-        lists = materialize(rows.groupBy("id").agg(F.collect_list("h1").alias("h1"), F.collect_list("at").alias("at")), name)
-        size = lists.agg(F.sum(F.expr("aggregate(h1, 64L, (n, x) -> n + length(x)) + aggregate(at, 0L, (n, x) -> n + length(x))"))).first()[0]
-        return F.broadcast(lists) if (size or 0) <= BROADCAST_BYTES else lists
+        self.runs: list[str] = []
 
     def add(self, docs: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
         """``docs`` less text, with n_words, n_removed, spans (word ranges) and kept_text. ``earlier`` has the documents added before."""
-        keyed = lambda df: df.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-        docs = keyed(docs)
-        entries = docs.select("id", "text").mapInArrow(_scan(self.window, self.gram, self.parts), ENTRY)
-        for path in [p for run in self.runs for p in run]:
-            entries = entries.unionByName(self.spark.read.schema(entries.schema).parquet(path).where("role = 3").withColumn("role", F.lit(2)))
-        merged, path = self._table(entries.groupBy("part").applyInArrow(_merge_keys(self.parts), ENTRY), "window-run")
-        candidates = self._marks(merged, "candidates")
-        texts = docs.select("id", "text") if earlier is None else docs.select("id", "text").unionByName(keyed(earlier).select("id", "text"))
-        texts = texts.join(candidates.select("id", F.col("h1").alias("keys")), "id")
-        windows = texts.mapInArrow(_verify(self.window, self.gram, self.parts), ENTRY).groupBy("part").applyInArrow(_merge_windows(self.parts), ENTRY)
-        hits = self._marks(windows, "hits")
-        names = [c for c in docs.columns if c != "text"]
-        marked = docs.join(hits.select("id", F.col("at").alias("ats")), "id", "left").join(candidates.select("id", F.col("h1").alias("keys")), "id", "left")
-        schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_words long, n_removed long, spans array<struct<first: int, last: int>>, kept_text string, left_keys binary"])
-        result = materialize(marked.mapInArrow(_cut(self.window, self.gram, names), schema), "window-result")
-        left = result.where("left_keys is not null").select("id", "left_keys").mapInArrow(_left_entries(self.parts), ENTRY)
-        _, path_left = self._table(left, "window-run")
-        self.runs.append([path, path_left])
-        if len(self.runs) >= self.fan_out:
-            self.compact()
-        return result.drop("left_keys", "id")
-
-    def compact(self) -> None:
-        """Merge all runs into one and remove them."""
-        rows = None
-        for path in [p for run in self.runs for p in run]:
-            run = self.spark.read.parquet(path).where("role = 3")
-            rows = run if rows is None else rows.unionByName(run)
-        if rows is not None:
-            _, merged = self._table(rows.groupBy("part").applyInArrow(_compact(self.parts), ENTRY), "window-run")
-            for path in [p for run in self.runs for p in run]:
-                remove(self.spark, path)
-            self.runs = [[merged]]
+        size = (self.window, self.gram, self.parts)
+        keyed = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+        light = lambda df: keyed(df).select(F.col("_id").alias("id"), "text")
+        entries = light(docs).mapInArrow(_scan(*size), ENTRY)
+        for path in self.runs:
+            stored = self.spark.read.schema(entries.schema).parquet(path).where(f"role = {STORED}")
+            entries = entries.unionByName(stored.withColumn("role", F.lit(OLD)))
+        compacts = len(self.runs) + 1 >= self.fan_out
+        path = new_path(self.spark, "window-run")
+        entries.groupBy("part").applyInArrow(_merge_anchors(self.parts, compacts), ENTRY).write.option("compression", "uncompressed").parquet(path)
+        marks = mark_lists(self.spark.read.schema(entries.schema).parquet(path), "anchor-marks", "marks")
+        if compacts:
+            for old in self.runs:
+                remove(self.spark, old)
+        self.runs = [path] if compacts else [*self.runs, path]
+        texts = light(docs) if earlier is None else light(docs).unionByName(light(earlier))
+        windows = texts.join(marks, "id").mapInArrow(_verify(*size), ENTRY).groupBy("part").applyInArrow(_merge_windows(self.parts), ENTRY)
+        hits = mark_lists(windows, "window-marks", "places")
+        names = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "spans", "kept_text")]
+        marked = keyed(docs).join(marks.withColumnRenamed("id", "_id"), "_id", "left").join(hits.withColumnRenamed("id", "_id"), "_id", "left")
+        schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_words long, n_removed long, spans array<struct<first: int, last: int>>, kept_text string"])
+        return marked.select(*names, "text", "marks", "places").mapInArrow(_cut(self.window, self.gram, names), schema)
 
 
 def deduplicate(docs: DataFrame, batches: int = 2, **options) -> DataFrame:
     """All documents, added in ``batches`` ranges of ids."""
-    index = WindowIndex(docs.sparkSession, **options)
+    index = WindowIndex(docs.sparkSession, **{"parts": parts_for(docs), **options})
     cuts = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     bounds = sorted({int(c) for c in cuts})
     out = None
     for k in range(len(bounds) + 1):
-        low = F.col("doc_id") > bounds[k - 1] if k else F.lit(True)
-        high = F.col("doc_id") <= bounds[k] if k < len(bounds) else F.lit(True)
-        own = docs.where(low & high if k < len(bounds) else (low | F.col("doc_id").isNull() if k else F.lit(True)))
+        after = F.col("doc_id") > bounds[k - 1] if k else F.lit(True)
+        own = docs.where(after & (F.col("doc_id") <= bounds[k])) if k < len(bounds) else docs.where(after | F.col("doc_id").isNull())
         result = index.add(own, docs.where(F.col("doc_id") <= bounds[k - 1]) if k else None)
         out = result if out is None else out.unionByName(result)
     return out
