@@ -51,32 +51,33 @@ def marked_lines(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text of what stays, and n_lines and n_removed (long): lines with a word, and those that went."""
-    keyed = docs.withColumns(
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = docs.select(*columns).withColumns(
         {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_sha": F.xxhash64("text")}
     )
-    marks = marked_lines(docs)
-    joined = keyed.join(marks, (F.col("_id") == marks.id) & (F.col("_sha") == marks.sha), "left").drop("id", "sha")
+    marks = marked_lines(docs).toDF("_id", "_sha", "_starts")
+    joined = keyed.join(marks, ["_id", "_sha"], "left")
     # the lines with their rank among lines that have a word; then those whose rank no window covers
     ranked = joined.withColumn("_l", F.split("text", "\n")).withColumn("_b", F.expr(f"transform(_l, x -> btrim(x, '{BLANKS}') <> '')"))
     ranked = ranked.withColumn(
         "_gone",
         F.expr(
-            "CASE WHEN starts IS NULL THEN array() ELSE array_distinct(flatten(transform(starts, s -> sequence(s, s + "
+            "CASE WHEN _starts IS NULL THEN array() ELSE array_distinct(flatten(transform(_starts, s -> sequence(s, s + "
             f"{LINES - 1})))) END"
         ),
     ).withColumn(
-        "_at", F.expr("CASE WHEN starts IS NOT NULL THEN filter(transform(_b, (b, i) -> if(b, i, -1)), i -> i >= 0) END")
+        "_at", F.expr("CASE WHEN _starts IS NOT NULL THEN filter(transform(_b, (b, i) -> if(b, i, -1)), i -> i >= 0) END")
     )
-    ranked = ranked.withColumn("_cut", F.expr("CASE WHEN starts IS NOT NULL THEN transform(_gone, g -> get(_at, g)) END"))
-    ranked = ranked.withColumn("_kept", F.expr("CASE WHEN starts IS NOT NULL THEN array_except(sequence(0, size(_l) - 1), _cut) END"))
+    ranked = ranked.withColumn("_cut", F.expr("CASE WHEN _starts IS NOT NULL THEN transform(_gone, g -> get(_at, g)) END"))
+    ranked = ranked.withColumn("_kept", F.expr("CASE WHEN _starts IS NOT NULL THEN array_except(sequence(0, size(_l) - 1), _cut) END"))
     out = ranked.withColumns(
         {
             "n_lines": F.expr("CASE WHEN text IS NULL THEN 0L ELSE cast(size(filter(_b, b -> b)) AS bigint) END"),
             "n_removed": F.size("_gone").cast("long"),
-            "text": F.expr("CASE WHEN starts IS NULL THEN text ELSE array_join(transform(_kept, i -> get(_l, i)), '\n') END"),
+            "text": F.expr("CASE WHEN _starts IS NULL THEN text ELSE array_join(transform(_kept, i -> get(_l, i)), '\n') END"),
         }
     )
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    return out.select(*columns, "n_lines", "n_removed")
 
 
 #: The kept text is compared by its SHA-256.
