@@ -84,24 +84,25 @@ def runs_of(table: pa.Table, role: int = 0) -> list[tuple]:
     return [(unpack(r["h1"], True), unpack(r["h2"]), unpack(r["doc"]).view(np.int64), unpack(r["at"]).view(np.int64)) for r in rows]
 
 
-def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (id, at) for each document of each mark; ``at`` is packed."""
-    for batch in batches:
-        ids, ats = [], []
-        for r in batch.to_pylist():
-            doc, at = unpack(r["doc"]).view(np.int64), unpack(r["at"])
-            cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-            for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-                ids.append(int(doc[a]))
-                ats.append(pack(np.unique(at[a:b]), True))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.binary())], ["id", "at"])
+def _by_document(table: pa.Table) -> pa.Table:
+    """Of a part of documents: a row (id, at) for each document, with its marks packed."""
+    doc = np.concatenate([unpack(b).view(np.int64) for b in table.column("doc").to_pylist()])
+    at = np.concatenate([unpack(b) for b in table.column("at").to_pylist()])
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    lists = [pack(np.unique(at[a:b]), True) for a, b in zip(cuts, [*cuts[1:], len(doc)])]
+    return pa.table({"id": pa.array(doc[cuts], pa.int64()), "at": pa.array(lists, pa.binary())})
 
 
 def mark_lists(merged: DataFrame, name: str, column: str) -> DataFrame:
-    """(id, ``column``): each document's marks, written once; a small table is broadcast."""
-    rows = merged.where("role = 1").select("doc", "at").mapInArrow(places, "id long, at binary")
-    lists = materialize(rows.groupBy("id").agg(F.collect_list("at").alias(column)), name)
-    size = lists.agg(F.sum(F.expr(f"aggregate({column}, 96L, (n, x) -> n + 16 + length(x))"))).first()[0]
+    """(id, ``column``): each document's marks, written once; a small table is broadcast.
+
+    Marks travel packed and meet by parts of documents, so there is a row for each document, however many tasks marked it.
+    """
+    rows = merged.where("role = 1").select("part", "doc", "at").groupBy("part").applyInArrow(_by_document, "id long, at binary")
+    lists = materialize(rows.select("id", F.array("at").alias(column)), name)
+    size = lists.agg(F.sum(96 + F.length(F.col(column)[0]))).first()[0]
     return F.broadcast(lists) if (size or 0) <= BROADCAST_BYTES else lists
 
 
@@ -133,7 +134,7 @@ class Anchors:
             new = np.r_[True, (np.diff(self.own) != 0) | (np.diff(self.doc) != 0)]
             self.kept = np.flatnonzero(new)
             self.number = np.cumsum(new) - 1
-            self.first = np.searchsorted(self.doc[self.kept], np.arange(len(whole)))
+            self.first = np.searchsorted(self.doc[self.kept], np.arange(len(whole) + 1))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, sequences and numbers of all anchors."""
@@ -150,6 +151,7 @@ class Anchors:
         for d, blobs in enumerate(marks):
             for blob in blobs or []:
                 at = unpack(blob, True).astype(np.int64)
+                at = at[(at >> 2) < self.first[d + 1] - self.first[d]]  # another row of the same id may be longer
                 place = (at >> 2) + self.first[d]
                 kind[place] = np.maximum(kind[place], at & 3)
         return kind[self.number]

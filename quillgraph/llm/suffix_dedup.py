@@ -38,7 +38,7 @@ GRAM = 16
 #: Bytes of text that are hashed at once: their arrays take some 100 bytes for each.
 SLICE = 1 << 20
 #: Entries that a task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 19
 
 
 class _Anchors(Anchors):

@@ -15,8 +15,9 @@ all entries as one run instead, and the old runs are removed. Batches must come
 A task sends a pair, or a window, only for the least document that it has of it: other documents are settled there. So a
 passage that a third of all documents holds reaches its part once for each task.
 
-Defined cases: null texts have no words; a null id counts as the largest; rows with the same id don't
-remove each other's words, and hits of that id hold for all its rows; white space between words isn't compared.
+Defined cases: null texts have no words; null ids count as larger than all others (which are below 2**62), in the order of a
+hash of their texts; rows with the same id don't remove each other's words, and hits of that id hold for all its rows that have such
+places; white space between words isn't compared.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ from .textkit import Rolling, covered, find_words, mixed, slices, text_bytes
 WINDOW = 13
 GRAM = 5
 FAN_OUT = 2
-LAST = (1 << 63) - 1
+#: Null ids become numbers from here on, by a hash of the text.
+BEYOND = 1 << 62
 SLICE = 1 << 20
 #: Entries that a task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Roles of rows: entries of the batch, marks, entries of runs as read, entries of the run that is written.
 NEW, MARK, OLD, STORED = 0, 1, 2, 3
 
@@ -162,7 +164,9 @@ def _cut(window: int, gram: int, names: list[str]):
                 edges, words = windows.edges, windows.words
                 found = [windows.starts[windows.kinds(part.column("marks").to_pylist()) == HIT]] if len(windows.starts) else []
                 for d, blobs in enumerate(part.column("places").to_pylist()):
-                    found += [unpack(b, True).astype(np.int64) + edges[d] for b in blobs or []]
+                    for b in blobs or []:
+                        at = unpack(b, True).astype(np.int64)
+                        found.append(at[at <= edges[d + 1] - edges[d] - window] + edges[d])
                 gone = covered(np.concatenate([*found, np.zeros(0, np.int64)]), window, len(words.start))
                 texts, removed, spans = [], [], []
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -187,7 +191,7 @@ class WindowIndex:
     def add(self, docs: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
         """``docs`` less text, with n_words, n_removed, spans (word ranges) and kept_text. ``earlier`` has the documents added before."""
         size = (self.window, self.gram, self.parts)
-        keyed = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+        keyed = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(BEYOND - 1)) + F.lit(BEYOND)))
         light = lambda df: keyed(df).select(F.col("_id").alias("id"), "text")
         entries = light(docs).mapInArrow(_scan(*size), ENTRY)
         for path in self.runs:
