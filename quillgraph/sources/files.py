@@ -100,7 +100,7 @@ def markdown_parts(raw: DataFrame) -> DataFrame:
     body = F.regexp_replace("text", r"(?s)\A---\s*\n.*?\n---\s*\n", "")
     field = lambda k: F.nullif(F.trim(F.regexp_extract("_front", rf"(?m)^{k}:\s*(.*)$", 1)), F.lit(""))
     df = raw.withColumns({"_front": front, "_body": body})
-    paragraphs = F.filter(F.transform(F.split("_body", r"\n\s*\n"), F.trim), lambda p: (F.length(p) >= 20) & ~p.startswith("#"))
+    paragraphs = F.filter(F.transform(F.split("_body", r"\n\s*\n"), lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: (F.length(p) >= 20) & ~p.startswith("#"))
     heading = F.nullif(F.trim(F.regexp_extract("_body", r"(?m)^#\s+(.*)$", 1)), F.lit(""))
     cols = {"title": F.coalesce(field("title"), heading, F.col("filename")), "author": field("author"), "date": field("date"), "excerpt": F.substring(F.get(paragraphs, F.lit(0)), 1, 200)}
     return df.withColumns(cols).select("filename", "title", "author", "date", "excerpt", "text")
