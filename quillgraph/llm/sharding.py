@@ -33,7 +33,7 @@ def size() -> F.Column:
 
 
 def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
-    """``docs`` with shard and slot (int), written below ``path`` with a folder for each shard, and read again."""
+    """``docs`` with shard (int) and slot (long), written below ``path`` with a folder for each shard, and read again."""
     spark = docs.sparkSession
     path = path or new_path(spark, "shards")
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(size()).alias("b")).first()
@@ -45,7 +45,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
         counts[r._bucket + 1] = r["count"]
     offsets = np.cumsum(counts).tolist()
     starts = [-(-s * n // shards) for s in range(shards)]
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def fisher_yates(key: tuple, rows: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
@@ -55,7 +55,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
         shard = place * shards // max(n, 1)
         slot = place - np.asarray(starts, np.int64)[shard]
         out = rows.drop_columns(["_order", "_bucket"]).take(pa.array(order))
-        return out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(slot.astype(np.int32)))
+        return out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(slot))
 
     dealt = hashed.groupBy("_bucket").applyInArrow(fisher_yates, schema)
     dealt.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
