@@ -11,7 +11,8 @@ The items are cut into blocks of at most ``block_bytes`` of text; each block is
 documents that adds to their hits, so a large benchmark costs more passes and never more memory.
 
 Defined cases: null texts have no words; an item without words matches nothing; an item with a null id
-is listed with an empty id; rows of one item id are one item; documents keep their rows, repeated or not.
+is listed with an empty id; rows of one item id are one item; documents keep their rows, repeated or not; columns
+called like those that ``find_overlaps`` adds are replaced there and kept by ``remove_overlaps``.
 """
 
 from __future__ import annotations
@@ -227,7 +228,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """
     added = [T.StructField("n_match_words", T.LongType()), T.StructField("match_spans", SPANS), T.StructField("match_items", T.ArrayType(T.StringType()))]
     names = [f.name for f in added]
-    out = docs
+    out = docs = docs.drop(*names)
     for k, items in enumerate(_blocks(benchmark, block_bytes)):
 
         def scan(batches: Iterator[pa.RecordBatch], items=items, later=bool(k)) -> Iterator[pa.RecordBatch]:
@@ -261,7 +262,8 @@ def remove_overlaps(
     Rows of which more than ``max_coverage`` of the words are hit go. n_chars, where there is such a
     column, is counted again. Untouched texts stay as they are, null included.
     """
-    found = find_overlaps(docs, benchmark, window)
+    taken = {c: f"_in_{c}" for c in docs.columns if c in ("n_match_words", "match_spans", "match_items", "_was")}
+    found = find_overlaps(docs.withColumnsRenamed(taken), benchmark, window)
     found = found.where(f"{match_words()} <= {max_coverage!r} * n_match_words").withColumn("_was", F.col("text"))
     schema = T.StructType([f for f in found.schema.fields])
 
@@ -281,7 +283,7 @@ def remove_overlaps(
     clean = found.mapInArrow(cut, schema)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text") != F.col("_was"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+    return clean.select(*[F.col(taken.get(c, c)).alias(c) for c in docs.columns])
 
 
 SQL = r"""

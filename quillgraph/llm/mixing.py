@@ -11,7 +11,7 @@ Targets are ``weights`` of a budget; the default budget keeps ``headroom`` times
 
 Defined cases: without two labelled domains posteriors are the label shares (all clean if there are no labels);
 null or empty texts have no tokens and get a rate by their posteriors like others; equal rows get equal
-copies; a null id is hashed with the text, as all ids are.
+copies; a null id is hashed with the text, as all ids are; ``mix`` keeps columns called like those that ``rated`` adds.
 """
 
 from __future__ import annotations
@@ -191,5 +191,8 @@ def rated(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **option
 
 def mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say."""
-    out = rated(docs, labels, **options).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    added = ("n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies", "_copy")
+    taken = {c: f"_in_{c}" for c in docs.columns if c in added}
+    out = rated(docs.withColumnsRenamed(taken), labels, **options).where("copies > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(*[F.col(taken.get(c, c)).alias(c) for c in docs.columns])

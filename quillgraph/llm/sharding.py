@@ -7,7 +7,8 @@ positions are cut into ``shards`` ranges; row counts of shards differ by one at
 
 Hashes, orders and generators depend on nothing but rows and seed, so a task that runs again
 gives the same rows. Defined cases: a null text has size 1 and the checksum of an empty text; rows that
-are equal in all columns fall into one bucket and are interchangeable; an empty table gives no rows.
+are equal in all columns fall into one bucket and are interchangeable; an empty table gives no rows; columns
+of the input that are called shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import new_path
+from .storage import free_name, new_path
 
 SHARDS = 16
 SEED = 20240229
@@ -36,27 +37,29 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     """``docs`` with shard (int) and slot (long), written below ``path`` with a folder for each shard, and read again."""
     spark = docs.sparkSession
     path = path or new_path(spark, "shards")
+    docs = docs.drop("shard", "slot")
+    order_by, bucket_by = free_name("_order", docs.columns), free_name("_bucket", docs.columns)
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(size()).alias("b")).first()
     n, buckets = total.n, int(min(max(1, -(-(total.b or 0) // bucket_bytes)), MAX_BUCKETS))
-    hashed = docs.withColumn("_order", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]))
-    hashed = hashed.withColumn("_bucket", F.pmod(F.shiftright("_order", 7), F.lit(buckets)).cast("int"))
+    hashed = docs.withColumn(order_by, F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]))
+    hashed = hashed.withColumn(bucket_by, F.pmod(F.shiftright(order_by, 7), F.lit(buckets)).cast("int"))
     counts = np.zeros(buckets + 1, np.int64)
-    for r in hashed.groupBy("_bucket").count().toLocalIterator():
-        counts[r._bucket + 1] = r["count"]
+    for r in hashed.groupBy(bucket_by).count().toLocalIterator():
+        counts[r[bucket_by] + 1] = r["count"]
     offsets = np.cumsum(counts).tolist()
     starts = [-(-s * n // shards) for s in range(shards)]
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def fisher_yates(key: tuple, rows: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        order = np.argsort(rows.column("_order").to_numpy(), kind="stable")
+        order = np.argsort(rows.column(order_by).to_numpy(), kind="stable")
         order = order[np.random.default_rng([seed, bucket]).permutation(len(order))]
         place = offsets[bucket] + np.arange(len(order), dtype=np.int64)
         shard = place * shards // max(n, 1)
         slot = place - np.asarray(starts, np.int64)[shard]
-        out = rows.drop_columns(["_order", "_bucket"]).take(pa.array(order))
+        out = rows.drop_columns([order_by, bucket_by]).take(pa.array(order))
         return out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(slot))
 
-    dealt = hashed.groupBy("_bucket").applyInArrow(fisher_yates, schema)
+    dealt = hashed.groupBy(bucket_by).applyInArrow(fisher_yates, schema)
     dealt.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -30,6 +30,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that no later step reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

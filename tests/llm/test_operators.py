@@ -192,6 +192,21 @@ def test_binomial_bound_is_exact(spark):
         assert got == pytest.approx(1.0 if k >= a * n else sum(comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(k + 1)), rel=1e-9)
 
 
+def test_columns_called_like_added_ones(spark, labels):
+    names = ["shard", "Slot", "_order", "_bucket", "match_spans", "_was", "rate", "copies", "_copy"]
+    rows = [(k, f"{PASSAGE if k else 'x'} {k}", *range(k, k + len(names))) for k in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    items = spark.createDataFrame([(1, " ".join(PASSAGE.split()[:12]))], "item_id long, text string")
+    placed = sharding.shuffle_to_shards(docs, shards=2)
+    assert Counter((r.doc_id, r._order, r._bucket) for r in placed.collect()) == Counter((r[0], r[4], r[5]) for r in rows)
+    assert len(set(map(str.lower, placed.columns))) == len(placed.columns)
+    assert decontaminate.find_overlaps(docs, items).where("size(match_spans) > 0").count() == 5
+    cut = decontaminate.remove_overlaps(docs, items)
+    assert cut.columns == docs.columns and {tuple(r)[2:] for r in cut.collect()} == {r[2:] for r in rows}
+    mixed = mixing.mix(docs, labels)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= set(rows)
+
+
 def test_pages(spark):
     head = "<nav>menu</nav><div class='notice'>all the same</div>"
     rows = [(i, f"http://h.org/{i}", f"{head}<article><h1>T{i}</h1><p>a &amp; b<p>c  d</article><footer>f</footer>") for i in range(12)]
