@@ -8,7 +8,9 @@ comes back on page after page has little. The presentation importance is the ent
 blocks a page, in the same way; a node's importance is the larger of both. Branches of low importance on
 enough pages are removed from every page, and so are branches whose tags, classes, ids or roles name what isn't the
 article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers).
-If what stays has an <article> or <main>, the text is taken from there.
+If what stays has an <article> or <main>, the text is taken from there. Its blocks are nodes of the tree like
+all others; the tags are a prior only where the low nodes are all that an article has besides headings: then
+they are its body (pages that are copies of each other), and it stays whole.
 
 The tree is aggregated from (host, style, text hash) counts, so a host with a third of all pages is
 summed up before it meets; pages join the few low nodes of their host, never each other.
@@ -56,6 +58,8 @@ MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=\"'/>]+)")
+#: Styles of headings.
+HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -162,9 +166,12 @@ def blocks(source: str | None) -> list[tuple[str, str, bool]]:
 
 
 def main_text(source: str | None, low: set[str] = frozenset()) -> str:
-    """A page's article; ``low`` has the styles of its host that are removed."""
-    kept = [b for b in blocks(source) if b[0] not in low]
+    """A page's article; ``low`` has the styles of its host that are removed, but for an article that would have no more than headings left."""
+    found = blocks(source)
+    kept = [b for b in found if b[0] not in low]
     inside = [b for b in kept if b[2]]
+    if not any(HEADING.search(style) is None for style, _, _ in inside):
+        inside = [b for b in found if b[2]]
     return " ".join(text for _, text, _ in inside or kept)
 
 
@@ -175,9 +182,8 @@ def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, style, digest, count = [], [], [], []
         for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             own: dict[str, list[str]] = {}
-            for s, text, inside in blocks(page):
-                if not inside:
-                    own.setdefault(s, []).append(text)
+            for s, text, _ in blocks(page):
+                own.setdefault(s, []).append(text)
             for s, texts in own.items():
                 host.append(h)
                 style.append(s)
@@ -206,8 +212,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """``pages`` with ``text``, the article of each page. Blocks inside an <article> or <main> keep out of the tree: an article is
-    kept whole."""
+    """``pages`` with ``text``, the article of each page without the nodes that its host's tree finds low."""
     tree = style_tree(pages)
     low = tree.where((F.col("pages") >= min_pages) & (F.greatest("content", "presentation") < min_importance))
     low = materialize(low.groupBy("host").agg(F.sort_array(F.collect_set("style")).alias("_low")), "low-styles")

@@ -215,6 +215,17 @@ def test_pages(spark):
     assert got[3] == "T3 a & b c d" and got[90] == "" and got[91] == "only" and got[None] == ""
 
 
+def test_repeated_blocks_leave_articles(spark):
+    body = "<article><h1>T{0}</h1><p>words of {0}</p><div class='box'><p>read all of our stories every day</p></div></article>"
+    rows = [(i, f"http://a.org/{i}", body.format(i)) for i in range(12)]
+    rows += [(100 + i, f"http://few.org/{i}", body.format(i)) for i in range(3)]
+    rows += [(200 + i, f"http://copies.org/{i}", body.format(0)) for i in range(12)]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i} words of {i}" for i in range(12))
+    assert got[101] == "T1 words of 1 read all of our stories every day"
+    assert all(got[200 + i] == "T0 words of 0 read all of our stories every day" for i in range(12))
+
+
 def test_empty_tables(spark, labels):
     none = spark.createDataFrame([], SCHEMA)
     for df in (suffix_dedup.remove_repeated(none), window_index.deduplicate(none), simhash.near_duplicates(none), sharding.shuffle_to_shards(none), pii_crf.mark(none), mixing.mix(none, labels), quality_rules.keep_good(none, labels), line_dedup.drop_repeated_lines(none)):
