@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +13,8 @@ from pyspark.sql.window import Window
 from ..functions.text import cosine, dot, quantized, scale_of, tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: So many queries are sent to the executors at once, and so many vectors meet them at once.
+QUERY_BLOCK, ROW_BLOCK = 1024, 2048
 
 
 def searchable(nodes: DataFrame) -> DataFrame:
@@ -66,6 +72,112 @@ def ann(vectors: DataFrame, query: list[float], limit: int = 10, buckets: float
     return model.approxNearestNeighbors(unit, Vectors.dense([x / norm for x in query]), limit).select("id", F.col("distCol").alias("distance"))
 
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
+    return vectors.where("id IS NOT NULL AND exists(embedding, x -> x <> 0)")
+
+
+def _best(query: np.ndarray, ids: np.ndarray, key: np.ndarray, score: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
+    """For each query its ``limit`` rows of the greatest key, the least id of equals."""
+    order = np.lexsort((ids, -key, query))
+    start = np.searchsorted(query[order], query[order], side="left")
+    order = order[np.arange(len(order)) - start < limit]
+    return query[order], ids[order], key[order], score[order]
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, keep: int, compare) -> DataFrame:
+    """(query, id, key, score): for each row of ``queries`` the ``keep`` rows of the greatest key among all of ``vectors``.
+
+    Blocks of queries are sent to every task, which returns its own best rows of each; only these are shuffled. ``compare`` takes
+    columns of both sides as matrices to (key, score), each queries by rows; a key of -inf is no candidate.
+    """
+    columns = [c for c in vectors.columns if c != "id"]
+
+    def scan(names: np.ndarray, own: dict[str, np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROW_BLOCK):
+                    part = batch.slice(at, ROW_BLOCK)
+                    ids = part.column("id").to_numpy(zero_copy_only=False)
+                    key, score = compare(own, {c: _matrix(part.column(c)) for c in columns})
+                    key = np.round(key, 6)
+                    n = min(keep, len(ids))
+                    least = -np.partition(-key, n - 1, axis=1)[:, n - 1 : n]
+                    q, r = np.nonzero((key >= least) & (key > -np.inf))
+                    best = _best(*(np.concatenate(x) for x in zip(best, (q, ids[r], key[q, r], np.round(score[q, r], 6)))), keep)
+            yield pa.RecordBatch.from_arrays([pa.array(names[best[0]], pa.int64()), *map(pa.array, best[1:])], ["query", "id", "key", "score"])
+
+        return run
+
+    def block(rows: list) -> DataFrame:
+        own = {c: np.array([list(r[c]) for r in rows], dtype=np.float64) for c in columns}
+        return vectors.mapInArrow(scan(np.array([r.id for r in rows], dtype=np.int64), own), "query long, id long, key double, score double")
+
+    found, rows = None, []
+    for row in queries.select("id", *columns).toLocalIterator():
+        rows.append(row)
+        if len(rows) == QUERY_BLOCK:
+            found, rows = block(rows) if found is None else found.unionByName(block(rows)), []
+    if rows or found is None:
+        last = block(rows) if rows else vectors.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("key"), F.lit(0.0).alias("score")).limit(0)
+        found = last if found is None else found.unionByName(last)
+    return _first(found, "key", keep)
+
+
+def _first(found: DataFrame, by: str, limit: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(by), "id"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+
+
+def _cosines(own: dict, rows: dict) -> np.ndarray:
+    return _unit(own["embedding"]) @ _unit(rows["embedding"]).T
+
+
+def knn_block(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query, id, score): ``knn`` for every row of ``queries`` (id, embedding)."""
+
+    def compare(own: dict, rows: dict):
+        score = _cosines(own, rows)
+        return score, score
+
+    return _nearest(_usable(vectors), _usable(queries), limit, compare).select("query", "id", "score")
+
+
+def knn_int8_block(vectors: DataFrame, queries: DataFrame, limit: int = 10, widen: int = 10) -> DataFrame:
+    """(query, id, score): ``knn_int8`` for every row of ``queries`` (id, embedding); exact cosines are counted in the same scan."""
+
+    def compare(own: dict, rows: dict):
+        rough = own["q"] @ (rows["q"] / np.linalg.norm(rows["q"], axis=1, keepdims=True)).T
+        return rough, _cosines(own, rows)
+
+    stored, asked = (quantize(_usable(x).select("id", "embedding")).drop("q_scale") for x in (vectors, queries))
+    return _first(_nearest(stored, asked, limit * widen, compare), "score", limit).select("query", "id", "score")
+
+
+def ann_block(vectors: DataFrame, queries: DataFrame, limit: int = 10, buckets: float = 0.5, tables: int = 8) -> DataFrame:
+    """(query, id, distance) of unit vectors for every row of ``queries``, among the rows that share a bucket of a random projection."""
+
+    def compare(own: dict, rows: dict):
+        lines = np.random.default_rng(11).normal(size=(own["embedding"].shape[1], tables))
+        lines /= np.linalg.norm(lines, axis=0)
+        q, r = (np.floor(_unit(x["embedding"]) @ lines / buckets) for x in (own, rows))
+        shared = np.zeros((len(q), len(r)), dtype=bool)
+        for t in range(tables):
+            shared |= q[:, t, None] == r[None, :, t]
+        distance = np.sqrt(np.maximum(2 - 2 * _cosines(own, rows), 0))
+        return np.where(shared, -distance, -np.inf), distance
+
+    return _nearest(_usable(vectors), _usable(queries), limit, compare).select("query", "id", F.col("score").alias("distance"))
+
+
 def rank_fusion(*ranked: DataFrame, k: int = RRF_K, limit: int = 10) -> DataFrame:
     """(id, score): sum of 1 / (k + rank) over lists of (id, score), as from ``bm25`` and ``knn`` with a limit."""
     lists = None
@@ -76,6 +188,14 @@ def rank_fusion(*ranked: DataFrame, k: int = RRF_K, limit: int = 10) -> DataFram
     return fused.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def rank_fusion_block(texts: DataFrame, nearest: DataFrame, queries: DataFrame, k: int = RRF_K, limit: int = 10) -> DataFrame:
+    """(query, id, score): ``rank_fusion`` of one list of texts (id, score) with each query's list (query, id, score)."""
+    each = queries.select(F.col("id").alias("query")).crossJoin(F.broadcast(texts.select("id", "score")))
+    ranked = [r.select("query", "id", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).alias("_rank")) for r in (each, nearest)]
+    fused = ranked[0].unionByName(ranked[1]).groupBy("query", "id").agg(F.round(F.sum(1.0 / (k + F.col("_rank"))), 6).alias("score"))
+    return _first(fused, "score", limit)
+
+
 def autocomplete(types: DataFrame, text: str) -> DataFrame:
     """Types that hold the text, where case, spaces and dashes don't count."""
     folded = lambda c: F.regexp_replace(F.lower(c), r"[\s-]", "_")

@@ -265,6 +265,17 @@ def knn_exact(spark, sf_dir):
     return search.knn(_vectors(spark, sf_dir), _first_vector(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
+def _query_vectors(spark, sf_dir):
+    """The stated query set: every row whose id is divisible by 100, against all rows."""
+    return _vectors(spark, sf_dir).where("id % 100 = 0")
+
+
+@query("""WITH k AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
+SELECT query, id, round(score, 4) AS score FROM k QUALIFY row_number() OVER (PARTITION BY query ORDER BY k.score DESC, id) <= 10""")
+def knn_exact_block(spark, sf_dir):
+    return search.knn_block(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
 @query("SELECT vec_id AS id, round(list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127.0, 6) AS q_scale, list_sum(list_transform(embedding::DOUBLE[], lambda x: round(x / (list_max(list_transform(embedding::DOUBLE[], lambda y: abs(y))) / 127.0))))::BIGINT AS q_sum FROM embeddings")
 def quantize(spark, sf_dir):
     return search.quantize(_vectors(spark, sf_dir)).select("id", F.round("q_scale", 6).alias("q_scale"), F.expr("aggregate(q, 0L, (s, x) -> s + x)").alias("q_sum"))
@@ -272,12 +283,12 @@ def quantize(spark, sf_dir):
 
 @query()
 def knn_int8(spark, sf_dir):
-    return search.knn_int8(search.quantize(_vectors(spark, sf_dir)), _first_vector(spark, sf_dir)).withColumn("score", F.round("score", 4))
+    return search.knn_int8_block(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
 @query()
 def ann(spark, sf_dir):
-    return search.ann(_vectors(spark, sf_dir), _first_vector(spark, sf_dir)).select("id", F.round("distance", 4).alias("distance"))
+    return search.ann_block(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)).withColumn("distance", F.round("distance", 4))
 
 
 @query(BM25_SQL + f""", {KNN_SQL}, r1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM scored WHERE score > 0 QUALIFY r <= 100),
@@ -287,6 +298,16 @@ def hybrid_rrf(spark, sf_dir):
     return search.rank_fusion(search.bm25(_texts(spark, sf_dir), "the order thing", 100), search.knn(_vectors(spark, sf_dir), _first_vector(spark, sf_dir), 100))
 
 
+@query(BM25_SQL + """, k AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
+r1 AS (SELECT vec_id AS query, id, r FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM scored WHERE score > 0 QUALIFY r <= 100), embeddings WHERE vec_id % 100 = 0),
+r2 AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM k QUALIFY r <= 100),
+f AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY query, id)
+SELECT query, id, score FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10""")
+def hybrid_rrf_block(spark, sf_dir):
+    asked = _query_vectors(spark, sf_dir)
+    return search.rank_fusion_block(search.bm25(_texts(spark, sf_dir), "the order thing", 100), search.knn_block(_vectors(spark, sf_dir), asked, 100), asked)
+
+
 @query("SELECT DISTINCT p_type AS type FROM part WHERE contains(regexp_replace(lower(p_type), '[\\s-]', '_', 'g'), 'e')")
 def autocomplete(spark, sf_dir):
     return search.autocomplete(table(spark, sf_dir, "part").select(F.col("p_type").alias("type")).distinct(), "E")

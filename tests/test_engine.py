@@ -41,6 +41,17 @@ def test_matches_sql(spark, oracle, name):
     assert rows(got) == rows(want)
 
 
+def test_searches_ask_every_hundredth_vector(spark, oracle):
+    ids = {r[0] for r in oracle.execute("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()}
+    got = {n: {(r["query"], r["id"]) for r in entry.queries()[n](spark, SMALL).collect()} for n in ("knn_exact_block", "knn_int8", "ann")}
+    want = {r[:2] for r in oracle.execute(entry.oracle_sql()["knn_exact_block"]).fetchall()}
+    assert got["knn_exact_block"] == want and {q for q, _ in want} == ids and len(want) == 10 * len(ids)
+    for name in ("knn_int8", "ann"):
+        assert len(got[name] & want) >= 0.9 * len(want)
+    fused = {tuple(r) for r in entry.queries()["hybrid_rrf_block"](spark, SMALL).collect()}
+    assert fused == set(oracle.execute(entry.oracle_sql()["hybrid_rrf_block"]).fetchall()) and {r[0] for r in fused} == ids
+
+
 def test_store_folds_labels_and_keeps_confidence(spark):
     g = chain(spark)
     more = spark.createDataFrame([("WEB", "other", {"k": "1"}, 0.1), ("web", None, {"k": "2", "j": "3"}, 0.2), ("", None, {}, 0.5)], "label string, type string, props map<string,string>, confidence double")
