@@ -21,11 +21,11 @@ def frontier_gaps(g: Graph, max_edges: int = 2) -> DataFrame:
     return _gap(degrees(g).where(F.col("degree") <= max_edges), "frontier", "label", 1 - F.col("degree") / (max_edges + 1))
 
 
-def hole_gaps(g: Graph, least_common: int = 2, max_degree: int = 1000) -> DataFrame:
-    """Pairs with common neighbours and no edge; hubs of more than ``max_degree`` edges link everything and don't count."""
+def hole_gaps(g: Graph, least_common: int = 2, asked: DataFrame | None = None) -> DataFrame:
+    """Pairs with common neighbours and no edge; with ``asked`` (label), those that have one of these at least."""
     from .search import link_candidates
 
-    pairs = link_candidates(g.live_edges(), max_degree).where(F.col("common") >= least_common).withColumn("pair", F.concat_ws("|", "a", "b"))
+    pairs = link_candidates(g.live_edges(), asked).where(F.col("common") >= least_common).withColumn("pair", F.concat_ws("|", "a", "b"))
     return _gap(pairs, "hole", "pair", 1 - 1 / F.col("common"))
 
 

@@ -15,6 +15,8 @@ from ..functions.text import cosine, dot, quantized, scale_of, tokens
 K1, B, RRF_K = 1.2, 0.75, 60
 #: So many queries are sent to the executors at once, and so many vectors meet them at once.
 QUERY_BLOCK, ROW_BLOCK = 1024, 2048
+#: Parts that the neighbours of a hub are dealt to.
+SALTS = 16
 
 
 def searchable(nodes: DataFrame) -> DataFrame:
@@ -202,15 +204,26 @@ def autocomplete(types: DataFrame, text: str) -> DataFrame:
     return types.where(folded("type").contains(folded(F.lit(text))))
 
 
-def link_candidates(edges: DataFrame, max_degree: int = 1000) -> DataFrame:
-    """(a, b, common, score): pairs without an edge that share neighbours, by the Adamic-Adar sum.
+def link_candidates(edges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(a, b, common, score): pairs without an edge that share neighbours, by the Adamic-Adar sum over all hubs.
 
-    Pairs over a neighbour with more than ``max_degree`` edges weigh next to nothing and are left out; that limit is part of the score's definition.
+    With ``asked`` (label), the pairs that have one of these at least. Degrees are always those of the whole graph; the rows of a hub
+    are dealt by salt, so that none is a single task.
     """
     ends = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("b").alias("hub")).agg(F.count(F.lit(1)).alias("d")).where(F.col("d").between(2, max_degree))
-    near = both.join(degree, F.col("b") == F.col("hub")).select("a", "hub", "d")
-    pairs = near.alias("x").join(near.alias("y"), F.expr("x.hub = y.hub AND x.a < y.a")).groupBy(F.expr("x.a AS a"), F.expr("y.a AS b"))
-    scored = pairs.agg(F.count(F.lit(1)).alias("common"), F.sum(1 / F.ln(F.expr("x.d"))).alias("score"))
+    degree = both.groupBy(F.col("b").alias("hub")).agg(F.count(F.lit(1)).alias("d")).where("d >= 2")
+    near = both.withColumnRenamed("b", "hub")
+    if asked is None:
+        one = near.withColumn("asked", F.lit(True))
+        other = one
+    else:
+        named = asked.select(F.col("label").alias("a")).distinct()
+        one = near.join(named, "a", "left_semi")
+        other = near.join(named.withColumn("asked", F.lit(True)), "a", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    one = one.join(degree, "hub").select("a", "hub", "d", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    other = other.select(F.col("a").alias("o"), "hub", "asked", F.pmod(F.hash("a"), F.lit(SALTS)).alias("salt"))
+    met = one.join(other, ["hub", "salt"]).where("a <> o AND (a < o OR NOT asked)")
+    pairs = met.groupBy(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b"))
+    scored = pairs.agg(F.count(F.lit(1)).alias("common"), F.sum(1 / F.ln("d")).alias("score"))
     return scored.join(ends, ["a", "b"], "left_anti")

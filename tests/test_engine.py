@@ -12,6 +12,7 @@ from quillgraph import graph
 from quillgraph.operators import analyze, filters, ingest, language, learn, search, traverse
 from quillgraph.plans.rules import derive, parse
 from quillgraph.sources import files
+from quillgraph.sources.star import from_star
 from quillgraph.streaming import changes
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,6 +53,36 @@ def test_searches_ask_every_hundredth_vector(spark, oracle):
     assert fused == set(oracle.execute(entry.oracle_sql()["hybrid_rrf_block"]).fetchall()) and {r[0] for r in fused} == ids
 
 
+def holes(edges, asked):
+    """{(a, b): common} of unlinked pairs that have one of ``asked``."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    pairs = {(min(a, b), max(a, b)) for a in asked for hub in near.get(a, ()) for b in near[hub] if a != b}
+    return {(a, b): n for a, b in pairs if b not in near[a] and (n := len(near[a] & near[b])) >= 2}
+
+
+def test_holes_match_brute_force(spark):
+    edges = [(f"x{i}", f"hub{j}") for j in range(2) for i in range(1100)] + [("x0", "x1"), ("x1", "x0"), ("x5", "y"), ("x6", "y")]
+    rows = [{"src": a, "rel": "r", "dst": b, "confidence": 0.9} for a, b in edges]
+    g = graph.from_rows(spark, [{"label": x, "type": "t", "confidence": 0.9} for x in sorted({x for e in edges for x in e})], rows)
+    asked = ["x0", "x5", "hub1"]
+    found = analyze.hole_gaps(g, 2, spark.createDataFrame([(x,) for x in asked], "label string")).collect()
+    got = {tuple(r.subject.split("|")): r.severity for r in found}
+    want = holes(edges, asked)
+    assert len(found) == len(got) and got == {k: round(1 - 1 / n, 4) for k, n in want.items()} and got["x5", "x6"] == 0.6667
+
+
+def test_holes_of_the_star_count_all_edges(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(analyze, "hole_gaps", lambda *a, f=analyze.hole_gaps, **b: seen.append(f(*a, **b)) or seen[0])
+    entry.queries()["gaps"](spark, SMALL)
+    edges = {(r.src, r.dst) for r in from_star(spark, SMALL).edges.select("src", "dst").collect()}
+    want = holes(edges, {x for e in edges for x in e if int(x.split(":")[1]) % 100 == 0})
+    assert {r.subject for r in seen[0].collect()} == {"|".join(k) for k in want} and want
+
+
 def test_store_folds_labels_and_keeps_confidence(spark):
     g = chain(spark)
     more = spark.createDataFrame([("WEB", "other", {"k": "1"}, 0.1), ("web", None, {"k": "2", "j": "3"}, 0.2), ("", None, {}, 0.5)], "label string, type string, props map<string,string>, confidence double")
