@@ -604,9 +604,9 @@ def dossier(spark, sf_dir):
     return analyze.report(from_star(spark, sf_dir), "nation:1")
 
 
-def _assessments(spark, sf_dir):
+def _assessments(spark, sf_dir, part="true"):
     ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(0.5).alias("probability"))
-    evidence = table(spark, sf_dir, "lineitem").where("l_partkey < 50").select(
+    evidence = table(spark, sf_dir, "lineitem").where(part).select(
         F.col("l_suppkey").alias("id"), F.when(F.col("l_returnflag") == "R", "undermines").otherwise("supports").alias("direction"), F.lit(0.1).alias("weight"), F.round(1 - F.col("l_discount"), 2).alias("confidence"),
         F.col("l_shipdate").cast("timestamp").alias("ts"), F.xxhash64("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").alias("n"),
     )
@@ -616,7 +616,7 @@ def _assessments(spark, sf_dir):
 @query("""WITH e AS (SELECT l_suppkey AS id, sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * 0.1::DOUBLE * round(1 - l_discount, 2) * 2) AS s FROM lineitem WHERE l_partkey < 50 GROUP BY 1)
 SELECT s_suppkey AS id, 0.5::DOUBLE AS old, round(1 / (1 + exp(-coalesce(s, 0))), 4) AS new, round(1 / (1 + exp(-coalesce(s, 0))) - 0.5, 4) AS shift FROM supplier LEFT JOIN e ON e.id = s_suppkey""")
 def assess_evaluate(spark, sf_dir):
-    return analyze.evaluate(*_assessments(spark, sf_dir))
+    return analyze.evaluate(*_assessments(spark, sf_dir, "l_partkey < 50"))
 
 
 @query()

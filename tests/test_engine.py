@@ -53,6 +53,17 @@ def test_searches_ask_every_hundredth_vector(spark, oracle):
     assert fused == set(oracle.execute(entry.oracle_sql()["hybrid_rrf_block"]).fetchall()) and {r[0] for r in fused} == ids
 
 
+def test_history_holds_all_evidence(spark, oracle):
+    got = [r.id for r in entry.queries()["assess_history"](spark, SMALL).select("id").collect()]
+    want = [r[0] for r in oracle.execute("SELECT l_suppkey FROM lineitem").fetchall()]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["kge_predict", "assess_evaluate"])
+def test_cut_queries_match_their_sql(spark, oracle, name):
+    test_matches_sql(spark, oracle, name)
+
+
 def holes(edges, asked):
     """{(a, b): common} of unlinked pairs that have one of ``asked``."""
     near = {}
