@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import materialize
+
 _TEXT, _REAL, _TIME, _FLAG = T.StringType(), T.DoubleType(), T.TimestampType(), T.BooleanType()
 _NODE = {"label": _TEXT, "label_key": _TEXT, "type": _TEXT, "props": T.MapType(_TEXT, _TEXT), "confidence": _REAL, "source": _TEXT, "created_at": _TIME, "updated_at": _TIME, "last_accessed": _TIME, "deleted": _FLAG}
 _EDGE = {"src": _TEXT, "rel": _TEXT, "dst": _TEXT, "confidence": _REAL, "valid_from": _TIME, "valid_to": _TIME, "source": _TEXT, "derived_by": _TEXT, "deleted": _FLAG}
@@ -32,11 +33,8 @@ def shaped(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
-    return df.checkpoint()
+    """The table as written to the shared folder: small ones are known to be small, so joins with them send no edges."""
+    return materialize(df, "round")
 
 
 @dataclass(frozen=True)
