@@ -1,33 +1,10 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Names and tables that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..shared import materialize, new_path, remove, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillgraph-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for a table in the shared folder."""
-    return f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["free_name", "materialize", "new_path", "remove", "shared_dir"]
 
 
 def free_name(name: str, columns: list[str]) -> str:
@@ -36,9 +13,3 @@ def free_name(name: str, columns: list[str]) -> str:
     while name in taken:
         name = "_" + name
     return name
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that no later step reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
