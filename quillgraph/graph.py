@@ -29,7 +29,8 @@ SOURCE_CONFIDENCE = {
 
 def shaped(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with exactly the columns of ``schema``; those it lacks are null."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    has = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in has else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def start_of(g: Graph, label: str) -> DataFrame:
 
 def bfs(g: Graph, start: str, depth: int = 2, direction: str = "both", min_confidence: float = 0.0, min_edge_confidence: float = 0.0) -> DataFrame:
     """(label, depth) of all nodes within ``depth`` steps, with their least depth. Nodes below ``min_confidence`` stop the walk; the start stays."""
-    moves = steps(g, direction, min_edge_confidence)
+    moves = cut_lineage(steps(g, direction, min_edge_confidence).select("a", "b"))
     sure = g.live_nodes().where(F.col("confidence") >= min_confidence).select("label") if min_confidence > 0 else None
     seen = cut_lineage(start_of(g, start).withColumn("depth", F.lit(0)))
     frontier = seen

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..graph import EDGE, NODE, Graph, shaped
+from ..graph import EDGE, NODE, Graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,40 +27,32 @@ def from_star(spark: SparkSession, sf_dir: str) -> Graph:
         ("part", "p_partkey", 0.85, ["p_name", "p_brand", "p_type"], None),
         ("orders", "o_orderkey", 0.80, ["o_orderstatus", "o_orderpriority"], "o_orderdate"),
     ]
+    tables = {name: table(spark, sf_dir, name) for name in [*(k[0] for k in kinds), "lineitem"]}
     nodes = None
     for name, key, confidence, props, date in kinds:
         kind = "order" if name == "orders" else name
-        when = F.col(date).cast("timestamp") if date else F.lit(None).cast("timestamp")
-        own = table(spark, sf_dir, name).select(
-            label(kind, key).alias("label"),
-            label(kind, key).alias("label_key"),
-            F.lit(kind).alias("type"),
-            F.create_map(*[x for p in props for x in (F.lit(p), F.col(p))]).alias("props"),
-            F.lit(confidence).alias("confidence"),
-            F.lit("star").alias("source"),
-            when.alias("created_at"),
-            when.alias("updated_at"),
-            when.alias("last_accessed"),
-            F.lit(False).alias("deleted"),
-        )
-        nodes = own if nodes is None else nodes.unionByName(own)
-
-    def edge(df: DataFrame, src: Column, rel: str, dst: Column, confidence: Column, date: str | None = None) -> DataFrame:
-        when = F.col(date).cast("timestamp") if date else F.lit(None).cast("timestamp")
-        return shaped(df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"), confidence.alias("confidence"), when.alias("valid_from"), F.lit("star").alias("source"), F.lit(False).alias("deleted")), EDGE)
-
-    lines = table(spark, sf_dir, "lineitem")
-    pairs = lines.groupBy("l_orderkey", "l_partkey").agg(F.max(F.round(1 - F.col("l_discount"), 2)).alias("c"))
-    supplies = lines.select("l_partkey", "l_suppkey").distinct()
-    edges = [
-        edge(table(spark, sf_dir, "nation"), label("nation", "n_nationkey"), "in_region", label("region", "n_regionkey"), F.lit(0.95)),
-        edge(table(spark, sf_dir, "customer"), label("customer", "c_custkey"), "located_in", label("nation", "c_nationkey"), F.lit(0.90)),
-        edge(table(spark, sf_dir, "supplier"), label("supplier", "s_suppkey"), "located_in", label("nation", "s_nationkey"), F.lit(0.90)),
-        edge(table(spark, sf_dir, "orders"), label("order", "o_orderkey"), "placed_by", label("customer", "o_custkey"), F.lit(0.85), "o_orderdate"),
-        edge(pairs, label("order", "l_orderkey"), "contains", label("part", "l_partkey"), F.col("c")),
-        edge(supplies, label("part", "l_partkey"), "supplied_by", label("supplier", "l_suppkey"), F.lit(0.80)),
-    ]
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    return Graph(shaped(nodes, NODE), every)
+        own = {"label": f"concat('{kind}:', {key})", "type": f"'{kind}'", "props": f"map({', '.join(f"'{p}', {p}" for p in props)})", "confidence": f"{confidence!r}D", "source": "'star'", "deleted": "false"}
+        own |= {"label_key": own["label"]} | {c: date or "NULL" for c in ("created_at", "updated_at", "last_accessed")}
+        rows = tables[name].selectExpr(*_columns(NODE, own))
+        nodes = rows if nodes is None else nodes.unionByName(rows)
+    # the pairs of lineitem are counted by their keys, before labels are made
+    pairs = tables["lineitem"].groupBy("l_orderkey", "l_partkey").agg(F.max(F.expr("round(1 - l_discount, 2)")).alias("c"))
+    supplies = tables["lineitem"].select("l_partkey", "l_suppkey").distinct()
+    edges = None
+    for df, src, rel, dst, confidence, date in [
+        (tables["nation"], "nation:n_nationkey", "in_region", "region:n_regionkey", "0.95D", None),
+        (tables["customer"], "customer:c_custkey", "located_in", "nation:c_nationkey", "0.90D", None),
+        (tables["supplier"], "supplier:s_suppkey", "located_in", "nation:s_nationkey", "0.90D", None),
+        (tables["orders"], "order:o_orderkey", "placed_by", "customer:o_custkey", "0.85D", "o_orderdate"),
+        (pairs, "order:l_orderkey", "contains", "part:l_partkey", "c", None),
+        (supplies, "part:l_partkey", "supplied_by", "supplier:l_suppkey", "0.80D", None),
+    ]:
+        ends = {c: f"concat('{e.split(':')[0]}:', {e.split(':')[1]})" for c, e in (("src", src), ("dst", dst))}
+        rows = df.selectExpr(*_columns(EDGE, ends | {"rel": f"'{rel}'", "confidence": confidence, "valid_from": date or "NULL", "source": "'star'", "deleted": "false"}))
+        edges = rows if edges is None else edges.unionByName(rows)
+    return Graph(nodes, edges)
+
+
+def _columns(schema: T.StructType, own: dict[str, str]) -> list[str]:
+    """SQL of all columns of a schema; those without an expression are null."""
+    return [f"cast({own.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema]
