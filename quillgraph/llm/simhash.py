@@ -3,12 +3,11 @@
 A fingerprint has a bit where more than half the XXH64 values (seed 42) of the text's four-word shingles
 have it. Fingerprints within ``radius`` bits are linked, and components of links are the groups.
 
-Equal fingerprints are merged first, so copies never meet as pairs. Distinct ones are dealt into cells
-by the population counts of their two halves; a difference of r bits moves these counts by r at most, so only
-cells next to each other hold links, and other pairs of cells are skipped. A cell of more than
-``tile`` fingerprints is cut into chunks, and each pair of chunks of neighbouring cells is a task.
-Inside it, fingerprints lie sorted by the population counts of their four quarters; blocks whose counts
-differ by more than the radius in sum are skipped, all others are compared by exclusive-or and bit
+Equal fingerprints are merged first, so copies never meet as pairs. Distinct ones are dealt into tiles of about ``tile``
+by the population counts of their four quarters: the counts' histogram (of 17**4 classes at most, whatever the input) is laid out
+in order, and cut every ``tile`` fingerprints. A difference of r bits moves the four counts by r in sum, so pairs of tiles whose counts
+lie further apart are skipped; the pairs are planned by a join of the tiles' bounds, and a pair is a task. Inside it,
+blocks whose counts differ by more than the radius are skipped in the same way, all others are compared by exclusive-or and bit
 counts. A task returns a spanning forest of its links, never the pairs.
 
 Defined cases: a text without words, null included, has fingerprint zero and links like any other; fewer
@@ -21,11 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .storage import materialize
@@ -34,8 +32,11 @@ from .textkit import LOWER, find_words, slices, text_bytes
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Fingerprints in a chunk at most: a task then holds two chunks of 2 MB each.
-TILE = 1 << 18
+#: Tiles have about a TILES-th of the fingerprints each, so a fingerprint is sent to no more than TILES tasks, but at most
+#: MOST of them, so that a task holds two lists of 2 MB; below LEAST a task isn't worth its start.
+TILES, LEAST, MOST = 64, 1 << 11, 1 << 18
+#: A class of rows that has more than this part of them is joined apart; there are no more such classes than its inverse.
+HOT = 1 / 1024
 BLOCK = 1024
 BITS = np.array([((np.arange(256) >> b) & 1) for b in range(8)], np.uint8).T.copy()
 
@@ -145,65 +146,66 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, blo
     return both[child], both[label[child]]
 
 
-def _cells(column: str, radius: int) -> dict:
-    width = radius + 1
-    return {
-        "ch": F.floor(F.bit_count(F.shiftrightunsigned(column, 32)) / width).cast("int"),
-        "cl": F.floor(F.bit_count(F.col(column).bitwiseAND(F.lit(0xFFFFFFFF))) / width).cast("int"),
-    }
-
-
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (column fp) within ``radius`` bits of each other.
-
-    The number of cells is at most (32 // (radius + 1) + 1) squared whatever the input, so their counts
-    come to the driver.
-    """
-    located = prints.withColumns(_cells("fp", radius))
-    counts = {(r.ch, r.cl): -(-r["count"] // tile) for r in located.groupBy("ch", "cl").count().collect()}
-    plans = []
-    for (h, l), own in sorted(counts.items()):
-        for other in sorted(counts):
-            if (h, l) <= other and abs(other[0] - h) <= 1 and abs(other[1] - l) <= 1:
-                plans += [(h, l, i, *other, j) for i in range(own) for j in range(counts[other]) if (h, l, i) <= (*other, j)]
-    if not plans:
-        return prints.sparkSession.createDataFrame([], "a long, b long")
-    spark = prints.sparkSession
-    sides = [(p[:3], k, 0) for k, p in enumerate(plans)] + [(p[3:], k, 1) for k, p in enumerate(plans) if p[:3] != p[3:]]
-    chunks: dict = {}
-    for at, k, side in sides:
-        chunks.setdefault(at, []).append((k, side))
-    table = spark.createDataFrame(
-        [(*at, todo) for at, todo in chunks.items()], "ch int, cl int, chunk int, todo array<struct<task: int, side: int>>"
-    )
-    sizes = spark.createDataFrame([(h, l, n) for (h, l), n in counts.items()], "ch int, cl int, chunks int")
-    dealt = located.join(F.broadcast(sizes), ["ch", "cl"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    dealt = dealt.join(table, ["ch", "cl", "chunk"]).select("fp", F.explode("todo").alias("t")).select("fp", "t.task", "t.side")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        x, side = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["side"].to_numpy()
-        a, b = linked(x[side == 0], x[side == 1] if (side == 1).any() else None, radius) if (side == 0).any() else (x[:0], x[:0])
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    def compare_task(rows: pd.DataFrame) -> pd.DataFrame:
-        two_sided = plans_two[int(rows["task"].iloc[0])]
-        if two_sided and rows["side"].nunique() < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return compare(rows)
-
-    plans_two = {k: p[:3] != p[3:] for k, p in enumerate(plans)}
-    return dealt.groupBy("task").applyInPandas(compare_task, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def _tiles(prints: DataFrame, tile: int) -> DataFrame:
+    """(tile, fps, low, high): lists of about ``tile`` fingerprints, with the bounds of their quarters' population counts."""
+    quarters = F.array(*[F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF))) for q in range(4)])
+    located = prints.select("fp", quarters.alias("q"))
+    # 17**4 rows at most, so the running sum and the broadcast are bounded
+    sizes = located.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("before", F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.coalesce("before", F.lit(0)) + F.pmod(F.xxhash64("fp"), F.col("n"))
+    dealt = located.join(F.broadcast(sizes), "q").select("fp", "q", F.floor(place / tile).cast("int").alias("tile"))
+    bounds = [F.array(*[f(F.col("q")[k]) for k in range(4)]).alias(name) for name, f in (("low", F.min), ("high", F.max))]
+    return dealt.groupBy("tile").agg(F.collect_list("fp").alias("fps"), *bounds)
+
+
+def _pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a <= b: tiles whose bounds are no more than ``radius`` apart. They meet along the first count, not each with all."""
+    bounds = tiles.select("tile", "low", "high")
+    one = bounds.select(F.col("tile").alias("a"), F.col("low").alias("l"), F.col("high").alias("h"), F.explode(F.sequence(F.col("low")[0], F.col("high")[0])).alias("c"))
+    reach = F.explode(F.sequence(F.col("low")[0] - radius, F.col("high")[0] + radius))
+    other = bounds.select(F.col("tile").alias("b"), F.col("low").alias("l2"), F.col("high").alias("h2"), reach.alias("c"))
+    gap = sum((F.greatest(F.lit(0), F.col("l2")[k] - F.col("h")[k], F.col("l")[k] - F.col("h2")[k]) for k in range(4)), F.lit(0))
+    return one.join(other, "c").where((F.col("a") <= F.col("b")) & (gap <= radius)).select("a", "b").distinct()
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints (column fp) within ``radius`` bits of each other."""
+    if tile is None:
+        tile = min(max(prints.count() // TILES, LEAST), MOST)
+    tiles = materialize(_tiles(prints, tile), "tiles")
+    pairs = materialize(_pairs(tiles, radius), "tile-pairs")
+    sides = pairs.select("a", "b", F.col("a").alias("tile")).unionByName(pairs.where("a < b").select("a", "b", F.col("b").alias("tile")))
+    # tasks of many comparisons and few bytes: their number follows the pairs, not the bytes
+    sent = sides.join(tiles.select("tile", "fps"), "tile").repartition(max(1, pairs.count() // 4), "a", "b")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        lists = [np.asarray(x.values).view(np.uint64) for x in rows.column("fps").combine_chunks()]
+        a, b = linked(lists[0], lists[1] if len(lists) > 1 else None, radius)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    return sent.groupBy("a", "b").applyInArrow(compare, "a long, b long")
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """``left`` joined to ``right``, which has each key once and how many rows of ``left`` have it (n); keys with a great part of ``rows`` are
+    broadcast (1 / HOT of them at most), so that none is a single task."""
+    hot = right.where(F.col("n") > HOT * rows).drop("n")
+    mine = left.join(F.broadcast(hot), key)
+    others = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= HOT * rows).drop("n"), key)
+    return mine.unionByName(others)
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    merged = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    merged = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = connected_components(links(merged.select("fp"), radius, tile))
-    groups = merged.join(roots, merged.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = materialize(groups.join(ids, "root").select("fp", "component_id"), "groups")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    groups = materialize(merged.join(roots, merged.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_print = _joined(groups.select("root", "fp", F.col("n").alias("m")), ids, "root", merged.count())
+    by_print = materialize(by_print.select("fp", "component_id", F.col("m").alias("n")), "groups")
+    return _joined(prints, by_print, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
