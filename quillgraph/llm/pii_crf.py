@@ -1,23 +1,29 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds spans.
 
-The field's nodes are the tokens of a document that hold a digit or an @; its labels are none and the
-kinds of the base patterns. Nodes next to each other among the text's tokens share a chain potential; nodes
-whose letters and digits are equal share a skip potential, however far apart they are (each is joined to the
-one before it, so a token repeated n times has n - 1 such edges). Loopy sum-product message passing in a
-fixed number of rounds gives each node's label distribution.
-
-Weights are trained by pseudo-likelihood on at most ``fit_rows`` documents that hold candidates, where
-the base spans are the labels. Shape features of a part of the nodes are hidden in training, so the potentials between
-nodes learn what neighbours and repetitions tell. A span is added where a label reaches ``confidence``, its
-token touches no base span, and the token has as many digits as the kind needs (or an @).
-
-Defined cases: null texts have no spans; without candidates in the corpus nothing is added; offsets count code points.
+The field's nodes are the tokens of a document that hold a digit or an @; its labels are none, the
+kinds of the base patterns, and ``secret`` (keys, passwords, access tokens). Nodes next to each other among the text's tokens share a
+chain potential. Nodes whose letters and digits are equal share a skip potential, however far apart they are, and nodes that
+begin or end alike (six letters or digits) share a weaker one: each is joined to the one before it of its kind, so a token repeated n times
+has n - 1 such edges. Loopy sum-product message passing in a fixed number of rounds gives each node's label distribution.
+
+Weights are trained by pseudo-likelihood. Labels are the base spans and, for secrets, tokens that text assigns to a word like
+``token`` or ``password``. Of a part of the nodes the shape is hidden in training, of another the surroundings, and of a third both, so a
+node is known by either of them, and the potentials between nodes learn what neighbours and repetitions tell: at work a
+token that matches no pattern takes the label of its likes. ``fit_rows`` documents at most are read for it: those of the least id hashes among
+the ones that hold candidates, within a sample of SAMPLE documents by id hash; whole texts, of which tasks send counts only.
+A span is added where a label reaches ``confidence``, its token touches no base span, and the token can be of the kind (enough digits, an @).
+
+Defined cases: null and empty texts have no spans; without candidates in the corpus nothing is added; offsets count code points; every
+row is judged by itself, so repeated rows have the same spans; all steps are linear in the text's length or its logarithm more; ties between
+labels go to the first; an empty table gives no rows; columns of the input called base_spans or all_spans are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_ROWS = 1500
+#: Kinds of spans that the field can add, in the order of their labels.
+LABELS = (*KINDS, "secret")
+SAMPLE, FIT_ROWS = 30_000, 1500
 CONFIDENCE = 0.95
 ROUNDS = 6
 
@@ -35,7 +43,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
+#: A word that is assigned a secret, at the end of what stands before a token.
+ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|credential|api[ _-]?key|access[ _-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?$")
+HEX = re.compile(r"[0-9A-Fa-f]{16,}")
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -77,7 +88,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-N_SHAPE = 20
+N_SHAPE, N_FEATURES = 23, 26
+AROUND = slice(N_SHAPE, N_FEATURES)
 
 
 def nodes(text: str) -> list[tuple[int, int, str]]:
@@ -94,102 +106,126 @@ def nodes(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def shape(token: str) -> np.ndarray:
-    digits = sum(c.isdigit() and c.isascii() for c in token)
-    letters = sum(c.isalpha() for c in token)
-    x = np.zeros(N_SHAPE)
+def described(text: str, token: tuple[int, int, str]) -> np.ndarray:
+    """A node's features: a constant, its shape, and what stands around it."""
+    start, end, word = token
+    digits = sum(c.isdigit() and c.isascii() for c in word)
+    letters = sum(c.isalpha() for c in word)
+    x = np.zeros(N_FEATURES)
     x[0] = 1
     x[1 + min(digits, 9) // 2] = 1
     x[6] = 10 <= digits <= 15
     x[7] = 16 <= digits <= 19
-    x[8] = "@" in token
-    x[9] = "@" in token and "." in token[token.find("@") :]
-    x[10 + min(token.count("."), 4)] = 1
-    x[15] = token[0] == "+"
-    x[16] = token[0] == "(" or "-" in token
+    x[8] = "@" in word
+    x[9] = "@" in word and "." in word[word.find("@") :]
+    x[10 + min(word.count("."), 4)] = 1
+    x[15] = word[0] == "+"
+    x[16] = word[0] == "(" or "-" in word
     x[17] = letters > 0
     x[18] = letters == 0
     x[19] = digits > 0 and letters > digits
+    x[20] = len(word) >= 16 and letters > 0 and digits > 3
+    x[21] = HEX.fullmatch(word) is not None and letters > 0
+    x[22] = len(word) >= 30
+    before = text[max(0, start - 32) : start]
+    x[23] = ASSIGNED.search(before) is not None
+    x[24] = before.rstrip(" \"'")[-1:] in ("=", ":")
+    x[25] = before[-1:] in ('"', "'") and text[end : end + 1] == before[-1:]
     return x
 
 
-def edges(tokens: list[tuple[int, int, str]], text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges (nothing but white space between two nodes) and skip edges (equal letters and digits)."""
-    chain, skip, seen = [], [], {}
+def edges(tokens: list[tuple[int, int, str]], text: str) -> list[list[tuple[int, int]]]:
+    """Edges of the chain (nothing but a few marks between two nodes), of equal nodes, and of nodes that begin or end alike."""
+    chain, equal, alike = [], [], []
+    seen: dict[tuple, int] = {}
     for i, (a, b, t) in enumerate(tokens):
-        if i and not any(c.isalnum() for c in text[tokens[i - 1][1] : a]) and a - tokens[i - 1][1] <= 8:
+        if i and a - tokens[i - 1][1] <= 8 and not any(c.isalnum() for c in text[tokens[i - 1][1] : a]):
             chain.append((i - 1, i))
         key = "".join(c for c in t.lower() if c.isalnum())
-        if len(key) >= 6:
-            if key in seen:
-                skip.append((seen[key], i))
-            seen[key] = i
-    return chain, skip
-
-
-def truth(tokens: list[tuple[int, int, str]], spans: list[tuple[int, int, int]]) -> np.ndarray:
-    out = np.zeros(len(tokens), int)
-    for i, (a, b, _) in enumerate(tokens):
-        for start, kind, end in spans:
-            if start < b and a < end:
-                out[i] = kind + 1
-                break
-    return out
+        if len(key) < 6:
+            continue
+        before = seen.get((0, key))
+        if before is not None:
+            equal.append((before, i))
+        elif len(key) >= 8:
+            likes = {seen.get((1, key[:6])), seen.get((2, key[-6:]))} - {None}
+            alike += [(j, i) for j in sorted(likes)]
+        seen[0, key] = seen[1, key[:6]] = seen[2, key[-6:]] = i
+    return [chain, equal, alike]
+
+
+class Spans:
+    """Spans (start, kind, end) sorted by start, to ask for what touches a token."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.spans, self.starts = spans, [s for s, _, _ in spans]
+        self.reach = list(accumulate((e for _, _, e in spans), max))
+
+    def touching(self, a: int, b: int) -> int:
+        """The kind of a span that touches [a, b), or -1."""
+        k = bisect_left(self.starts, b) - 1
+        while k >= 0 and self.reach[k] > a:
+            if self.spans[k][2] > a:
+                return self.spans[k][1]
+            k -= 1
+        return -1
+
+
+def labelled(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a training text's nodes: features, labels, and counts of neighbours' labels for each type of edge."""
+    tokens, base = nodes(text), Spans(base_spans(text))
+    x = np.array([described(text, t) for t in tokens]).reshape(-1, N_FEATURES)
+    y = np.array([base.touching(a, b) + 1 for a, b, _ in tokens], int)
+    # the surroundings say secret; that the token is no plain word or number makes it one
+    y[(y == 0) & (x[:, 23] > 0) & (x[:, 20] > 0)] = len(LABELS)
+    near = np.zeros((3, len(tokens), len(LABELS) + 1))
+    for table, pairs in zip(near, edges(tokens, text)):
+        for i, j in pairs:
+            table[i, y[j]] += 1
+            table[j, y[i]] += 1
+    return x, y, near
 
 
 class Field:
     """Unary weights, and a symmetric table for each type of edge, in logarithms."""
 
     def __init__(self) -> None:
-        k = len(KINDS) + 1
-        self.unary, self.chain, self.skip = np.zeros((N_SHAPE, k)), np.zeros((k, k)), np.zeros((k, k))
+        k = len(LABELS) + 1
+        self.unary, self.tables = np.zeros((N_FEATURES, k)), np.zeros((3, k, k))
         self.trained = False
 
-    def fit(self, texts: list[str], steps: int = 150) -> Field:
-        k = len(KINDS) + 1
-        x, y, left, skips = [], [], [], []
-        for text in sorted(texts):
-            tokens = nodes(text)
-            labels = truth(tokens, base_spans(text))
-            near, far = np.zeros((len(tokens), k)), np.zeros((len(tokens), k))
-            chain, skip = edges(tokens, text)
-            for table, pairs in ((near, chain), (far, skip)):
-                for i, j in pairs:
-                    table[i, labels[j]] += 1
-                    table[j, labels[i]] += 1
-            x += [shape(t) for _, _, t in tokens]
-            y += labels.tolist()
-            left += list(near)
-            skips += list(far)
-        if not y or len(set(y)) < 2:
+    def fit(self, x: np.ndarray, y: np.ndarray, near: np.ndarray, steps: int = 200) -> Field:
+        """Pseudo-likelihood by scaled gradient steps, on nodes in their given order."""
+        k = len(LABELS) + 1
+        if len(np.unique(y)) < 2:
             return self
-        x, y, left, skips = np.array(x), np.array(y), np.array(left), np.array(skips)
-        hidden = np.random.default_rng(5).random(len(x)) < 0.3
-        x[hidden, 1:] = 0
+        x, draw = x.copy(), np.random.default_rng(5).random(len(x))
+        x[draw < 0.4, 1:N_SHAPE] = 0
+        x[(draw >= 0.2) & (draw < 0.6), AROUND] = 0
         goal = np.eye(k)[y]
-        past = [np.full_like(w, 1e-8) for w in (self.unary, self.chain, self.skip)]
+        weights = [self.unary, *self.tables]
+        past = [np.full_like(w, 1e-8) for w in weights]
         for _ in range(steps):
-            score = x @ self.unary + left @ self.chain + skips @ self.skip
+            score = x @ self.unary + sum(n @ t for n, t in zip(near, self.tables))
             p = np.exp(score - score.max(axis=1, keepdims=True))
             wrong = (p / p.sum(axis=1, keepdims=True) - goal) / len(y)
-            slopes = [x.T @ wrong, left.T @ wrong, skips.T @ wrong]
-            slopes[1:] = [(s + s.T) / 2 for s in slopes[1:]]
-            for w, s, q in zip((self.unary, self.chain, self.skip), slopes, past):
+            slopes = [x.T @ wrong, *((s + s.T) / 2 for s in (n.T @ wrong for n in near))]
+            for w, s, q in zip(weights, slopes, past):
                 s = s + 1e-4 * w
                 q += s * s
                 w -= 0.3 * s / np.sqrt(q)
         self.trained = True
         return self
 
-    def beliefs(self, tokens: list[tuple[int, int, str]], text: str, rounds: int = ROUNDS) -> np.ndarray:
-        """Label distributions of a document's nodes by loopy sum-product, all messages at once in each round."""
-        score = np.array([shape(t) for _, _, t in tokens]) @ self.unary
-        chain, skip = edges(tokens, text)
-        pairs = [(i, j, self.chain) for i, j in chain] + [(i, j, self.skip) for i, j in skip]
+    def beliefs(self, x: np.ndarray, pairs: list[list[tuple[int, int]]], rounds: int = ROUNDS) -> np.ndarray:
+        """Label distributions of nodes with features ``x`` and edges by loopy sum-product, all messages at once in each round."""
+        score = x @ self.unary
+        kind = np.repeat(np.arange(3), [len(p) for p in pairs])
+        pairs = [p for each in pairs for p in each]
         if pairs:
-            a = np.array([i for i, _, _ in pairs] + [j for _, j, _ in pairs])
-            b = np.array([j for _, j, _ in pairs] + [i for i, _, _ in pairs])
-            tables = np.array([t for _, _, t in pairs] * 2)
+            a = np.array([i for i, _ in pairs] + [j for _, j in pairs])
+            b = np.array([j for _, j in pairs] + [i for i, _ in pairs])
+            tables = self.tables[np.r_[kind, kind]]
             back = np.r_[len(pairs) : 2 * len(pairs), : len(pairs)]
             message = np.zeros((len(a), score.shape[1]))
             for _ in range(rounds):
@@ -205,30 +241,58 @@ class Field:
         return p / p.sum(axis=1, keepdims=True)
 
 
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 9}
+LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 9, "secret": 1}
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, confidence: float = CONFIDENCE) -> list[tuple[int, int, int]]:
     if not field.trained:
         return []
-    tokens = nodes(text)
-    if not tokens or all(any(s < b and a < e for s, _, e in base) for a, b, _ in tokens):
+    tokens, known = nodes(text), Spans(base)
+    free = [known.touching(a, b) < 0 for a, b, _ in tokens]
+    if not any(free):
         return []
+    x = np.array([described(text, t) for t in tokens])
     out = []
-    for (a, b, t), p in zip(tokens, field.beliefs(tokens, text)):
+    for (a, b, t), own, p in zip(tokens, free, field.beliefs(x, edges(tokens, text))):
         k = int(p.argmax())
-        if k and p[k] >= confidence and not any(s < b and a < e for s, _, e in base):
-            kind = KINDS[k - 1]
-            if ("@" in t) if kind == "email" else sum(c in "0123456789" for c in t) >= LEAST_DIGITS[kind]:
+        if own and k and p[k] >= confidence:
+            kind = LABELS[k - 1]
+            fits = len(t) >= 12 if kind == "secret" else True
+            if fits and (("@" in t) if kind == "email" else sum(c in "0123456789" for c in t) >= LEAST_DIGITS[kind]):
                 out.append((a, k - 1, b))
     return out
 
 
+def training_rows(docs: DataFrame, fit_rows: int = FIT_ROWS, sample: int = SAMPLE) -> DataFrame:
+    """(h, x, y, near): packed features, labels and neighbours' labels of at most ``fit_rows`` documents, computed where they lie."""
+    share = min(1.0, sample / max(docs.count(), 1))
+    own = docs.select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    # the hash comes first, so patterns are looked for in the sample only
+    held = own.where((F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))) & F.when(F.col("h").isNotNull(), F.col("text").rlike("@|[0-9]{4}|[0-9][.][0-9]")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[a.astype(kind).tobytes() for a, kind in zip(labelled(t), ("f4", "i4", "f4"))] for t in batch.column("text").to_pylist()]
+            arrays = [pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("t"), *arrays], ["h", "t", "x", "y", "near"])
+
+    return held.mapInArrow(pack, "h long, t long, x binary, y binary, near binary").orderBy("h", "t").limit(fit_rows)
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All nodes of training rows, one after another."""
+    k = len(LABELS) + 1
+    x = [np.frombuffer(b, "f4").reshape(-1, N_FEATURES) for b in rows.column("x").to_pylist()]
+    y = [np.frombuffer(b, "i4") for b in rows.column("y").to_pylist()]
+    near = [np.frombuffer(b, "f4").reshape(3, -1, k) for b in rows.column("near").to_pylist()]
+    if not x:
+        return np.zeros((0, N_FEATURES)), np.zeros(0, int), np.zeros((3, 0, k))
+    return np.concatenate(x).astype(float), np.concatenate(y), np.concatenate(near, axis=1).astype(float)
+
+
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Field:
-    """Fit on at most ``fit_rows`` documents with candidates, those of the least id hashes."""
-    held = docs.where(F.col("text").rlike("@|[0-9]{4}|[0-9][.][0-9]")).select("text", F.xxhash64("doc_id").alias("h"))
-    rows = held.where(F.length("text") <= 1 << 16).orderBy("h", "text").limit(fit_rows).toArrow()
-    return Field().fit(rows.column("text").to_pylist())
+    """Fit on the documents of ``training_rows``."""
+    return Field().fit(*unpacked(training_rows(docs, fit_rows).toArrow()))
 
 
 def mark(docs: DataFrame, field: Field | None = None, confidence: float = CONFIDENCE) -> DataFrame:
@@ -245,7 +309,7 @@ def mark(docs: DataFrame, field: Field | None = None, confidence: float = CONFID
                 own = base_spans(text) if text else []
                 more = added_spans(text, own, shared.value, confidence) if text and CANDIDATE.search(text) else []
                 base.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own])
-                every.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(own + more)])
+                every.append([{"kind": LABELS[k], "start": a, "end": b} for a, k, b in sorted(own + more)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(base, kind), pa.array(every, kind)], [*columns, "base_spans", "all_spans"])
 
     spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

@@ -37,7 +37,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_crf.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.expr(f"cast(size(filter(base_spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in pii_crf.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii_crf.joined("base_spans"), 256).alias("base_sha256"), pii_crf.joined("all_spans").alias("spans"))
+    every = F.size("all_spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(pii_crf.joined("base_spans"), 256).alias("base_sha256"), pii_crf.joined("all_spans").alias("spans"), every)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
