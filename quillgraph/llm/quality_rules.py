@@ -1,15 +1,22 @@
 """Quality rules whose cutoffs are certified on labelled holdouts. DataFrame functions only.
 
 Every rule is a share between 0 and 1 that is high in bad text. For each rule, stratum (language) and
-cutoff of a fixed grid, the labelled good documents beyond the cutoff are counted. A cutoff may be used
+cutoff of the rule's grid, the labelled good documents beyond the cutoff are counted. A cutoff may be used
 when the exact binomial test refutes "the rule rejects more than its part of ``max_false_rejection`` of
 the stratum's good documents": P(Bin(n, a) <= k) <= level. The level is divided by the number of
 all tests (rules, cutoffs and strata: Bonferroni), so with probability 1 - delta no cutoff in use breaks
 its limit; the limits of a stratum's rules sum up to ``max_false_rejection``. Of the cutoffs that
-may be used, the lowest is taken; a rule that has none in a stratum is off there.
+may be used, the lowest is taken; a rule that has none in a stratum is off there. Good documents are those of quality 1 that aren't toxic.
 
-Nulls: a null text has no words and fails the base rules; a null language is a stratum of its own; labels
-with a null id or quality count nowhere. Documents whose id has two labels count once for each label.
+One rule is the share of words that toxic documents hold and others don't. These words, TOXIC_WORDS at most, come from the first
+SAMPLE toxic and the first SAMPLE other labels by id: at least a tenth of a language's sampled toxic documents and twenty of them hold the
+word, and by share ten times as many as of its others. What they reject is certified on all labels like the rest.
+
+Nulls and odd rows: a null text has no words and fails the base rules; a null language is a stratum of its own; labels
+with a null id, quality or toxic count nowhere (a null toxic is no toxic document where quality is known); documents whose id has two labels, and
+equal rows, count once for each pair. Empty tables: without documents there are no rows, without labels all rules are off. Texts of any length are
+counted within their row. Of cutoffs with equal counts the lowest is taken, of words with equal counts the alphabetically first.
+Columns of the input called like the added ones are kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -22,18 +29,40 @@ from .storage import materialize
 WHITE = r"[\x20\x09-\x0D]"
 GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
 #: Rule: numerator and denominator among the columns of ``signals``.
+GRIDS = {"symbol_share": GRID, "dup_line_share": GRID, "repeat_share": GRID, "toxic_share": (0.0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2)}
 RULES = {
     "symbol_share": ("n_symbols", "word_chars"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
+    "toxic_share": ("n_toxic_words", "n_words"),
 }
+#: Rows of labels that toxic words are learned from, of each class; and how many words there may be.
+SAMPLE, TOXIC_WORDS = 10_000, 200
+#: White space and ASCII punctuation, between the words that are compared with toxic ones.
+BETWEEN = r"[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
+ADDED = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "n_toxic_words", "base_failed", "kept")
 MAX_FALSE_REJECTION = 0.02
 DELTA = 0.05
 WORK = ("_w", "_h", "_k", "_s", "_t", "_lines")
 
 
-def signals(docs: DataFrame) -> DataFrame:
-    """``docs`` and the counts that rules use.
+def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """The words of each language's toxic documents, from a sample of bounded size; no more than TOXIC_WORDS of them come to the driver."""
+    known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    classes = [known.where(F.col("toxic") == t).orderBy("doc_id").limit(SAMPLE) for t in (1, 0)]
+    held = F.broadcast(classes[0].unionByName(classes[1]))
+    lang = F.coalesce("lang", F.lit("")).alias("lang")
+    words = docs.select("doc_id", lang, "text").join(held, "doc_id").select("toxic", "lang", F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), BETWEEN)).alias("_w"))
+    words = materialize(words, "labelled-words")
+    t, c = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
+    counts = words.select("toxic", "lang", F.explode("_w").alias("w")).where("w <> ''").groupBy("lang", "w").agg(t.alias("t"), c.alias("c"))
+    counts = counts.where("t >= 20").join(words.groupBy("lang").agg(t.alias("nt"), c.alias("nc")), "lang")
+    telling = counts.where("10 * t >= nt AND t * nc >= 10 * (c + 1) * nt").groupBy("w").agg(F.max("t").alias("t"))
+    return [r.w for r in telling.orderBy(F.desc("t"), "w").limit(TOXIC_WORDS).collect()]
+
+
+def signals(docs: DataFrame, toxic: list[str]) -> DataFrame:
+    """``docs`` and the counts that rules use; ``toxic`` as from ``toxic_words``.
 
     Repeated three-word windows are found within the row: hashes are sorted, and only a text that has
     equal ones sorts hashes with their places, to find the places; n log n for any text. Put a table or a
@@ -44,6 +73,7 @@ def signals(docs: DataFrame) -> DataFrame:
         {
             "_w": F.array_remove(F.split(text, WHITE + "+"), ""),
             "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            "n_toxic_words": F.size(F.filter(F.split(F.lower(text), BETWEEN), lambda x: x.isin(*toxic))).cast("long") if toxic else F.lit(0).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"),
         }
     )
@@ -96,45 +126,39 @@ def binomial_tail(k: str, n: str, a: float) -> str:
 
 
 def certify(
-    labelled: DataFrame, stratum: str = "lang", max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA, grid: tuple = GRID
+    labelled: DataFrame, stratum: str = "lang", max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA, grids: dict[str, tuple] = GRIDS
 ) -> DataFrame:
     """One row for each stratum: its certified cutoff of each rule, null where a rule is off.
 
-    ``labelled`` has the signals, the stratum and ``quality``. The grid is counted in one aggregation, so
+    ``labelled`` has the signals, the stratum, ``quality`` and ``toxic``. The grids are counted in one aggregation, so
     what is shuffled has a row for each stratum and task.
     """
-    rules = list(RULES)
-    good = labelled.where((F.col("quality") == 1) & ~base_failed())
+    places = [(r, j, float(c)) for r in RULES for j, c in enumerate(grids[r])]
+    good = labelled.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1) & ~base_failed())
     counts = materialize(
-        good.groupBy(F.col(stratum).alias("stratum")).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_if(share(r) > c).alias(f"{r}_{j}") for r in rules for j, c in enumerate(grid)],
-        ),
+        good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(share(r) > c).alias(f"{r}_{j}") for r, j, c in places]),
         "holdout",
     )
     tests = counts.select(
-        "stratum",
-        "n",
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{j}").alias("k")) for r in rules for j, c in enumerate(grid)])).alias("x"),
+        "stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{j}").alias("k")) for r, j, c in places])).alias("x")
     ).select("stratum", "n", "x.*")
-    part = max_false_rejection / len(rules)
-    level = delta / (max(counts.count(), 1) * len(rules) * len(grid))
+    part = max_false_rejection / len(RULES)
+    level = delta / (max(counts.count(), 1) * len(places))
     passed = tests.withColumn("p", F.expr(binomial_tail("k", "n", part))).where(F.col("p") <= level)
-    return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in rules])
+    return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
 
 
-def cutoffs_for(docs: DataFrame, labels: DataFrame, measured: DataFrame | None = None, **options) -> DataFrame:
-    """Certified cutoffs from all labelled documents, as a small table that is written once."""
-    if measured is None:
-        measured = measure(docs)
-    held = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality")
-    return materialize(certify(measured.join(held, "doc_id"), **options), "cutoffs")
+def cutoffs_for(measured: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """Certified cutoffs from all labelled documents, as a small table that is written once; ``measured`` has doc_id and the signals."""
+    held = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality", "toxic")
+    own = measured.select("doc_id", "lang", *sorted({c for pair in RULES.values() for c in pair}))
+    return materialize(certify(own.join(held, "doc_id"), **options), "cutoffs")
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The signals of all documents without their texts, written once."""
-    counted = signals(docs.select("doc_id", "lang", "text"))
-    return materialize(counted.drop("text"), "signals")
+    own = docs.select("doc_id", "lang", "text")
+    return materialize(signals(own, toxic_words(own, labels)).drop("text"), "signals")
 
 
 def judge(counted: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -148,22 +172,22 @@ def judge(counted: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns. Texts aren't shuffled: signals are counted where a row lies."""
+    """The rows of ``docs`` that the rules keep, with their own columns.
+
+    Signals are counted once, where a row lies, and written next to it; the cutoffs and the rows kept are both read from there.
+    """
     columns = docs.columns
-    cutoffs = cutoffs_for(docs, labels, **options)
-    added = ["word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    names = {c: f"_in_{c}" for c in columns if c in added}
-    # the row number isn't deterministic, so no filter moves below it and computes the signals again for each condition
-    counted = signals(docs.withColumnsRenamed(names)).withColumn("_row", F.monotonically_increasing_id())
-    kept = judge(counted, cutoffs).where("kept AND _row >= 0")
+    names = {c: f"_in_{c}" for c in columns if c in ADDED}
+    counted = materialize(signals(docs.withColumnsRenamed(names), toxic_words(docs, labels)), "measured")
+    kept = judge(counted, cutoffs_for(counted, labels, **options)).where("kept")
     return kept.select(*[F.col(names.get(c, c)).alias(c) for c in columns])
 
 
-def sql(max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA, grid: tuple = GRID) -> str:
+def sql(max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA, grids: dict[str, tuple] = GRIDS) -> str:
     """DuckDB SQL of the registered query; the binomial tail is a sum of terms by their logarithms."""
     rules, part = list(RULES), max_false_rejection / len(RULES)
     shares = {r: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END" for r, (a, b) in RULES.items()}
-    tests = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {c}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER ({r} > {c}) AS k FROM good GROUP BY lang" for r in rules for c in grid)
+    tests = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {c}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER ({r} > {c}) AS k FROM good GROUP BY lang" for r in rules for c in grids[r])
     cuts = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS max_{r}" for r in rules)
     beyond = " OR ".join(f"coalesce({r} > max_{r}, false)" for r in rules)
     return rf"""
@@ -176,20 +200,31 @@ windows AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM words,
 repeats AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM windows), unnest([0, 1, 2]) AS r(k)
   WHERE c > 1 GROUP BY doc_id),
+labelled AS (
+  (SELECT doc_id, toxic FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL ORDER BY doc_id LIMIT {SAMPLE}) UNION ALL
+  (SELECT doc_id, toxic FROM labels WHERE toxic = 0 AND doc_id IS NOT NULL ORDER BY doc_id LIMIT {SAMPLE})),
+loose AS (SELECT doc_id, coalesce(lang, '') AS l, regexp_split_to_array(lower(text), '{BETWEEN}') AS lw FROM words),
+sampled AS (SELECT toxic, l, list_distinct(lw) AS lw FROM loose JOIN labelled USING (doc_id)),
+sizes AS (SELECT l, count(*) FILTER (toxic = 1) AS nt, count(*) FILTER (toxic = 0) AS nc FROM sampled GROUP BY l),
+telling AS (
+  SELECT w FROM (SELECT l, w, count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic = 0) AS c FROM sampled, unnest(lw) AS r(w) WHERE w <> '' GROUP BY l, w) JOIN sizes USING (l)
+  WHERE t >= 20 AND 10 * t >= nt AND t * nc >= 10 * (c + 1) * nt GROUP BY w ORDER BY max(t) DESC, w LIMIT {TOXIC_WORDS}),
+toxic_list AS (SELECT coalesce(list(w), []) AS tw FROM telling),
 counted AS (
   SELECT words.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
-  FROM words LEFT JOIN repeats ON words.doc_id = repeats.doc_id),
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(lw, lambda x: list_contains(tw, x)))::BIGINT AS n_toxic_words
+  FROM words JOIN loose USING (doc_id) LEFT JOIN repeats ON words.doc_id = repeats.doc_id, toxic_list),
 shares AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{v} AS {r}" for r, v in shares.items())} FROM counted),
-good AS (SELECT shares.* FROM shares JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+good AS (SELECT shares.* FROM shares JOIN labels USING (doc_id) WHERE quality = 1 AND coalesce(toxic, 0) <> 1 AND NOT base_failed),
 tests AS ({tests}),
-level AS (SELECT {delta} / (count(DISTINCT coalesce(lang, '')) * {len(rules) * len(grid)}) AS level FROM good),
+level AS (SELECT {delta} / (count(DISTINCT coalesce(lang, '')) * {sum(len(grids[r]) for r in rules)}) AS level FROM good),
 passed AS (
   SELECT lang, rule, cutoff FROM tests, level
   WHERE k < {part!r} * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({part!r}) + (n - i) * ln(1 - {part!r})))) <= level),
 cutoffs AS (SELECT lang AS stratum, {cuts} FROM passed GROUP BY lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_toxic_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
 FROM shares LEFT JOIN cutoffs ON lang IS NOT DISTINCT FROM stratum
 """

@@ -17,10 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality_rules.measure(_table(spark, sf_dir, "documents"))
-    cutoffs = quality_rules.cutoffs_for(None, _table(spark, sf_dir, "labels"), measured)
-    return quality_rules.judge(measured, cutoffs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    labels = _table(spark, sf_dir, "labels")
+    measured = quality_rules.measure(_table(spark, sf_dir, "documents"), labels)
+    return quality_rules.judge(measured, quality_rules.cutoffs_for(measured, labels)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_toxic_words", "base_failed", "kept"
     )
 
 
