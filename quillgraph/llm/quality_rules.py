@@ -10,7 +10,7 @@ may be used, the lowest is taken; a rule that has none in a stratum is off there
 
 One rule is the share of words that toxic documents hold and others don't. These words, TOXIC_WORDS at most, come from the first
 SAMPLE toxic and the first SAMPLE other labels by id: at least a tenth of a language's sampled toxic documents and twenty of them hold the
-word, and by share ten times as many as of its others. What they reject is certified on all labels like the rest.
+word, and by share a hundred times as many as of its others; the words count in texts of that language. What they reject is certified on all labels like the rest.
 
 Nulls and odd rows: a null text has no words and fails the base rules; a null language is a stratum of its own; labels
 with a null id, quality or toxic count nowhere (a null toxic is no toxic document where quality is known); documents whose id has two labels, and
@@ -46,8 +46,8 @@ DELTA = 0.05
 WORK = ("_w", "_h", "_k", "_s", "_t", "_lines")
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
-    """The words of each language's toxic documents, from a sample of bounded size; no more than TOXIC_WORDS of them come to the driver."""
+def toxic_words(docs: DataFrame, labels: DataFrame) -> dict[str, list[str]]:
+    """The words of each language's toxic documents (a null language is the empty one), from a sample of bounded size; TOXIC_WORDS at most come to the driver."""
     known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     classes = [known.where(F.col("toxic") == t).orderBy("doc_id").limit(SAMPLE) for t in (1, 0)]
     held = F.broadcast(classes[0].unionByName(classes[1]))
@@ -57,11 +57,24 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
     t, c = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
     counts = words.select("toxic", "lang", F.explode("_w").alias("w")).where("w <> ''").groupBy("lang", "w").agg(t.alias("t"), c.alias("c"))
     counts = counts.where("t >= 20").join(words.groupBy("lang").agg(t.alias("nt"), c.alias("nc")), "lang")
-    telling = counts.where("10 * t >= nt AND t * nc >= 10 * (c + 1) * nt").groupBy("w").agg(F.max("t").alias("t"))
-    return [r.w for r in telling.orderBy(F.desc("t"), "w").limit(TOXIC_WORDS).collect()]
+    telling = counts.where("10 * t >= nt AND t * nc >= 100 * (c + 1) * nt").orderBy(F.desc("t"), "lang", "w").limit(TOXIC_WORDS)
+    found: dict[str, list[str]] = {}
+    for r in telling.collect():
+        found.setdefault(r.lang, []).append(r.w)
+    return found
 
 
-def signals(docs: DataFrame, toxic: list[str]) -> DataFrame:
+def _n_toxic(text: Column, toxic: dict[str, list[str]]) -> Column:
+    """How many words of a text are among those of its language."""
+    found = F.lit(0)
+    for lang, words in sorted(toxic.items()):
+        held = (lambda known: lambda x: x.isin(*known))(words)
+        own = F.size(F.filter(F.split(F.lower(text), BETWEEN), held))
+        found = F.when(F.coalesce("lang", F.lit("")) == lang, own).otherwise(found)
+    return found.cast("long")
+
+
+def signals(docs: DataFrame, toxic: dict[str, list[str]]) -> DataFrame:
     """``docs`` and the counts that rules use; ``toxic`` as from ``toxic_words``.
 
     Repeated three-word windows are found within the row: hashes are sorted, and only a text that has
@@ -73,7 +86,7 @@ def signals(docs: DataFrame, toxic: list[str]) -> DataFrame:
         {
             "_w": F.array_remove(F.split(text, WHITE + "+"), ""),
             "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "n_toxic_words": F.size(F.filter(F.split(F.lower(text), BETWEEN), lambda x: x.isin(*toxic))).cast("long") if toxic else F.lit(0).cast("long"),
+            "n_toxic_words": _n_toxic(text, toxic),
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"),
         }
     )
@@ -207,15 +220,15 @@ loose AS (SELECT doc_id, coalesce(lang, '') AS l, regexp_split_to_array(lower(te
 sampled AS (SELECT toxic, l, list_distinct(lw) AS lw FROM loose JOIN labelled USING (doc_id)),
 sizes AS (SELECT l, count(*) FILTER (toxic = 1) AS nt, count(*) FILTER (toxic = 0) AS nc FROM sampled GROUP BY l),
 telling AS (
-  SELECT w FROM (SELECT l, w, count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic = 0) AS c FROM sampled, unnest(lw) AS r(w) WHERE w <> '' GROUP BY l, w) JOIN sizes USING (l)
-  WHERE t >= 20 AND 10 * t >= nt AND t * nc >= 10 * (c + 1) * nt GROUP BY w ORDER BY max(t) DESC, w LIMIT {TOXIC_WORDS}),
-toxic_list AS (SELECT coalesce(list(w), []) AS tw FROM telling),
+  SELECT l, w FROM (SELECT l, w, count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic = 0) AS c FROM sampled, unnest(lw) AS r(w) WHERE w <> '' GROUP BY l, w) JOIN sizes USING (l)
+  WHERE t >= 20 AND 10 * t >= nt AND t * nc >= 100 * (c + 1) * nt ORDER BY t DESC, l, w LIMIT {TOXIC_WORDS}),
+toxic_list AS (SELECT l, list(w) AS tw FROM telling GROUP BY l),
 counted AS (
   SELECT words.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(lw, lambda x: list_contains(tw, x)))::BIGINT AS n_toxic_words
-  FROM words JOIN loose USING (doc_id) LEFT JOIN repeats ON words.doc_id = repeats.doc_id, toxic_list),
+    len(list_filter(lw, lambda x: coalesce(list_contains(tw, x), false)))::BIGINT AS n_toxic_words
+  FROM words JOIN loose USING (doc_id) LEFT JOIN repeats ON words.doc_id = repeats.doc_id LEFT JOIN toxic_list ON loose.l = toxic_list.l),
 shares AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{v} AS {r}" for r, v in shares.items())} FROM counted),
 good AS (SELECT shares.* FROM shares JOIN labels USING (doc_id) WHERE quality = 1 AND coalesce(toxic, 0) <> 1 AND NOT base_failed),
