@@ -7,8 +7,9 @@ state after each word tells the longest run of words, ending there, that occurs
 Most words can't be part of a hit. Hashes of all runs of q words (q: the shortest item, 4 at most) of the
 items are a filter without misses: only maximal runs of document words that it covers are streamed.
 
-The items are cut into blocks of at most ``block_bytes`` of text; each block is one narrow pass over the
-documents that adds to their hits, so a large benchmark costs more passes and never more memory.
+The items are cut into blocks of at most ``block_bytes`` of text, each broadcast by itself; a block is one narrow pass over the
+documents that adds to their hits, so a large benchmark costs more passes and never more memory. Of ties nothing depends on order; texts of any
+length are streamed once a pass, and only their covered runs word by word; empty tables give no rows, an empty benchmark no hits.
 
 Defined cases: null texts have no words; an item without words matches nothing; an item with a null id
 is listed with an empty id; rows of one item id are one item; documents keep their rows, repeated or not; columns
@@ -26,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import LOWER, Rolling, Words, find_words, slices, text_bytes
+from .storage import materialize
+from .textkit import LOWER, Rolling, Words, find_words, slices, text_bytes, tidy
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
+#: After so many passes what is found so far is written, so plans stay short and workers hold few automata.
+PASSES = 8
 MIN_SPAN = 10
 MAX_COVERAGE = 0.5
 
@@ -207,17 +211,17 @@ def _merge(one: list, other: list) -> list:
     return merged
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[tuple]:
-    """Tuples of (id, text) of at most ``block_bytes`` of text, or a single item."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple]:
+    """Tuples of (id, text) of at most ``block_bytes`` of text, or a single item; the driver holds one of them at a time."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").where("text is not null")
-    blocks, size = [[]], 0
+    block, size = [], 0
     for r in rows.toLocalIterator():
-        if blocks[-1] and size + len(r.text) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.i, r.text))
+        if block and size + len(r.text) > block_bytes:
+            yield tuple(sorted(block))
+            block, size = [], 0
+        block.append((r.i, r.text))
         size += len(r.text)
-    return [tuple(sorted(b)) for b in blocks]
+    yield tuple(sorted(block))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -229,12 +233,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     added = [T.StructField("n_match_words", T.LongType()), T.StructField("match_spans", SPANS), T.StructField("match_items", T.ArrayType(T.StringType()))]
     names = [f.name for f in added]
     out = docs = docs.drop(*names)
-    for k, items in enumerate(_blocks(benchmark, block_bytes)):
-
-        def scan(batches: Iterator[pa.RecordBatch], items=items, later=bool(k)) -> Iterator[pa.RecordBatch]:
+    context = docs.sparkSession.sparkContext
+    for k, block in enumerate(_blocks(benchmark, block_bytes)):
+        # a block goes to the executors' disks as a broadcast of bounded size, not into the plan
+        shared = context.broadcast(block)
+        if k and k % PASSES == 0:
+            out = materialize(out, "benchmark-passes")
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, later=bool(k)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch):
-                    n, spans, found = _scan(part, items, window)
+                    n, spans, found = _scan(part, shared.value, window)
                     if later:
                         before = part.column("match_spans").to_pylist()
                         spans = [_merge([tuple(s.values()) for s in x or []], y) for x, y in zip(before, spans)]
@@ -245,7 +254,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     arrays = [pa.array(n, pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *arrays], [*own, *names])
 
-        out = out.mapInArrow(scan, T.StructType([*docs.schema.fields, *added]))
+        out = out.mapInArrow(tidy(scan), T.StructType([*docs.schema.fields, *added]))
     return out
 
 
@@ -280,7 +289,7 @@ def remove_overlaps(
             k = batch.schema.get_field_index("text")
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
-    clean = found.mapInArrow(cut, schema)
+    clean = found.mapInArrow(tidy(cut), schema)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text") != F.col("_was"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*[F.col(taken.get(c, c)).alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import materialize
-from .textkit import BLANK, LOWER, Rolling, find_words, slices, text_bytes
+from .textkit import BLANK, LOWER, Rolling, find_words, slices, text_bytes, tidy
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = (0.90, 0.08, 0.02)
@@ -116,8 +116,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").select("doc_id", domain.alias("domain"))
     held = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(fit_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(held), "doc_id").select("domain", "text").limit(2 * fit_rows)
-    rows = texts.mapInArrow(_feature_batches, "domain int, words array<int>, dense array<double>").toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(held), "doc_id")
+    # where ids repeat there are more rows than labels: of them too those of the least hashes
+    texts = texts.orderBy(F.xxhash64("doc_id", "text"), "domain").limit(2 * fit_rows).select("domain", "text")
+    rows = texts.mapInArrow(tidy(_feature_batches), "domain int, words array<int>, dense array<double>").toArrow()
     dense = np.array(rows.column("dense").to_pylist()).reshape(-1, 4)
     words = [np.asarray(w, np.int32) for w in rows.column("words").to_pylist()]
     order = np.lexsort((dense[:, 0], [w[:1].sum() for w in words], [len(w) for w in words])) if words else []
@@ -139,7 +141,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], [*kept, *names])
 
     fields = [T.StructField(names[0], T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])]
-    return docs.select(*kept).mapInArrow(predict, T.StructType([*(docs.schema[c] for c in kept), *fields]))
+    return docs.select(*kept).mapInArrow(tidy(predict), T.StructType([*(docs.schema[c] for c in kept), *fields]))
 
 
 def rate_column(steps: list[np.ndarray]) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .storage import free_name, materialize, new_path
+from .textkit import release
 
 SHARDS = 16
 SEED = 20240229
@@ -87,6 +88,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
         shard = place * shards // max(n, 1)
         slot = place - starts[shard]
         out = rows.select(names).take(pa.array(order))
+        release()
         return out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(slot))
 
     placed = dealt.groupBy(bucket).cogroup(first.groupBy(bucket)).applyInArrow(fisher_yates, schema)

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .storage import materialize
-from .textkit import LOWER, find_words, slices, text_bytes
+from .textkit import LOWER, find_words, slices, text_bytes, tidy
 
 RADIUS = 4
 SHINGLE = 4
@@ -88,7 +88,7 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed integer."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_hash_batches, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(_hash_batches), "doc_id long, fp long")
 
 
 def _quarters(x: np.ndarray) -> np.ndarray:
