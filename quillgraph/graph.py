@@ -55,9 +55,14 @@ class Graph:
     def live_edges(self) -> DataFrame:
         return self.edges.where(~F.coalesce("deleted", F.lit(False)))
 
-    def store(self, entities: DataFrame) -> Graph:
-        """Upsert by case-folded label: the first casing and the confidence stay, properties merge (later ones win)."""
-        new = shaped(entities, NODE)
+    def store(self, entities: DataFrame, order_by: list[str] | None = None) -> Graph:
+        """Upsert by case-folded label: the first casing, type and confidence stay, properties merge (later ones win).
+
+        Later means greater in the columns ``order_by`` of ``entities``; without them, in all of its columns, so the result never depends
+        on how rows lie.
+        """
+        place = F.struct(*[F.col(c) for c in order_by]) if order_by else F.to_json(F.struct(*[F.col(c) for c in sorted(entities.columns)]))
+        new = shaped(entities.withColumn("_place", place), T.StructType([*NODE, T.StructField("_place", entities.select(place.alias("p")).schema["p"].dataType)]))
         new = new.withColumns(
             {
                 "label_key": F.lower("label"),
@@ -66,7 +71,8 @@ class Graph:
                 "deleted": F.coalesce("deleted", F.lit(False)),
             }
         ).where("label is not null and label <> ''")
-        both = self.nodes.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1) + F.monotonically_increasing_id()))
+        none = F.lit(None).cast(new.schema["_place"].dataType).alias("place")
+        both = self.nodes.withColumn("_age", F.struct(F.lit(0).alias("new"), none)).unionByName(new.withColumn("_age", F.struct(F.lit(1).alias("new"), F.col("_place").alias("place"))).drop("_place"))
         pairs = F.expr("flatten(transform(array_sort(collect_list(struct(_age, map_entries(props) as kv))), x -> x.kv))")
         first = [F.expr(f"min_by({c}, _age)").alias(c) for c in NODE.names if c not in ("label_key", "props", "type")]
         # of equal keys the last pair wins

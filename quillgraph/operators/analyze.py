@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,13 +125,13 @@ def evaluate(assessments: DataFrame, evidence: DataFrame) -> DataFrame:
     return out.select("id", F.round("old", 4).alias("old"), F.round("new", 4).alias("new"), F.round(F.col("new") - F.col("old"), 4).alias("shift"))
 
 
-def history(assessments: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(id, ts, n, probability) after each piece of evidence, in order of ts, then n (its number)."""
+def history(assessments: DataFrame, evidence: DataFrame, order_by: tuple[str, ...] = ("ts", "n")) -> DataFrame:
+    """(id, and ``order_by``, probability) after each piece of evidence, in the order of these columns."""
     sign = F.when(F.col("direction") == "supports", 1.0).otherwise(-1.0)
-    order = Window.partitionBy("id").orderBy("ts", "n").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("id").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     joined = evidence.join(assessments.select("id", F.coalesce("probability", F.lit(0.5)).alias("_p")), "id")
     total = _logit(F.col("_p")) + F.sum(sign * F.col("weight") * F.col("confidence") * WEIGHT).over(order)
-    return joined.select("id", "ts", "n", F.round(1 / (1 + F.exp(-total)), 4).alias("probability"))
+    return joined.select("id", *order_by, F.round(1 / (1 + F.exp(-total)), 4).alias("probability"))
 
 
 def stale(watches: DataFrame, changes: DataFrame) -> DataFrame:
@@ -203,10 +205,25 @@ def action_matches(events: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def cooled_down(matches: DataFrame, seconds: int, key: str = "rule") -> DataFrame:
-    """Matches (key, ts, id) that come at least ``seconds`` after the one before them of the same key."""
-    order = Window.partitionBy(key).orderBy("ts", "id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
-    return matches.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= seconds * 1_000_000)).drop("_gap")
+    """(key, ts, id): the matches (key, ts, id) that fire, each at least ``seconds`` after the one of its key that fired before it.
+
+    What fires depends on what fired last, so a key's times are read in order; they are streamed, with one time held for each
+    key. Of matches at the same time the one of the least id can fire.
+    """
+    once = matches.groupBy(key, "ts").agg(F.min("id").alias("id"))
+    ordered = once.repartition(key).sortWithinPartitions(key, "ts")
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        for batch in batches:
+            fired = []
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist())):
+                if last is None or last[0] != k or t - last[1] >= seconds * 1_000_000:
+                    last = (k, t)
+                    fired.append(i)
+            yield batch.take(pa.array(fired, pa.int64()))
+
+    return ordered.select(key, "ts", "id").mapInArrow(fire, ordered.select(key, "ts", "id").schema)
 
 
 def dispatch(candidates: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ..graph import cut_lineage
 
 
 @dataclass(frozen=True)
 class IngestConfig:
+    """What a staged ingest keeps and leaves out; ``skip`` names stages."""
+
     min_entity_confidence: float = 0.6
     dedup_threshold: float = 0.85
     enable_coref: bool = False
@@ -23,7 +26,7 @@ class IngestConfig:
 #: Entity types of common taggers, and the types that are dropped.
 TYPE_OF = {
     "PERSON": "person", "PER": "person", "ORG": "organization", "GPE": "location", "LOC": "location", "FAC": "facility",
-    "PRODUCT": "product", "EVENT": "event", "WORK_OF_ART": "work", "LAW": "law", "NORP": "group", "LANGUAGE": "language", "DATE": "date", "TIME": "time", "MONEY": "money", "QUANTITY": "quantity",
+    "PRODUCT": "product", "EVENT": "event", "WORK_OF_ART": "work", "LAW": "law", "NORP": "group", "LANGUAGE": "language", "DATE": "date", "TIME": "time", "MONEY": "monetary_value", "QUANTITY": "quantity",
 }
 DROPPED_TYPES = ("CARDINAL", "ORDINAL", "PERCENT")
 #: Relations between two types where no pattern says which.
@@ -36,10 +39,11 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("n", "sentence"))
 
 
-def gazetteer_entities(docs: DataFrame, known: DataFrame, longest: int = 4) -> DataFrame:
+def gazetteer_entities(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc, label, type): names of ``known`` (label, type) among the word n-grams of a text; a join by n-gram, not by pairs."""
     words = docs.select("doc", tokens("text").alias("w"))
-    grams = None
+    longest = known.agg(F.max(F.size(tokens("label")))).first()[0] or 0
+    grams = docs.select("doc", F.lit(None).cast("string").alias("key")).limit(0) if not longest else None
     for k in range(1, longest + 1):
         own = words.select("doc", F.explode(F.expr(f"array_distinct(CASE WHEN size(w) >= {k} THEN transform(sequence(0, size(w) - {k}), i -> array_join(slice(w, i + 1, {k}), ' ')) ELSE array() END)")).alias("key"))
         grams = own if grams is None else grams.unionByName(own)
@@ -49,7 +53,7 @@ def gazetteer_entities(docs: DataFrame, known: DataFrame, longest: int = 4) -> D
 
 def capital_entities(docs: DataFrame) -> DataFrame:
     """(doc, label): words of three letters or more with a capital that don't begin a sentence and aren't stop words."""
-    words = sentences(docs).select("doc", F.explode(F.expr("slice(split(sentence, '\\\\s+'), 2, 1000000)")).alias("w"))
+    words = sentences(docs).select("doc", F.explode(F.expr("slice(split(sentence, '\\\\s+'), 2, greatest(size(split(sentence, '\\\\s+')) - 1, 0))")).alias("w"))
     clean = words.select("doc", F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}\p{N}]+$", "").alias("label"))
     return clean.where(F.col("label").rlike(r"^\p{Lu}[\p{L}\p{N}-]{2,}$") & ~F.lower("label").isin(*STOP)).distinct()
 
@@ -120,20 +124,33 @@ def review(staged: DataFrame, decisions: DataFrame) -> DataFrame:
 def resolve_entities(labels: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, step, similarity): labels that mean the same.
 
-    Steps: equal but for case, equal letters and digits, equal sets of words, and edit distance over the longer length among labels that
-    share their first word. Within a block each label is compared with the block's other labels only.
+    Steps: equal but for case, equal letters and digits, equal sets of words (each with the least label of its class), and edit distance over
+    the longer length. Candidates of the last step are found without misses: labels within d edits differ in at most 2 d of their pairs of
+    letters, so of each label's pairs, in a fixed order with the rarest first, the first 2 d + 1 must hold one that they share.
     """
     own = labels.select("label").distinct().withColumns(
-        {"_lower": F.lower("label"), "_plain": F.regexp_replace(F.lower("label"), r"[^\p{L}\p{N}]+", ""), "_set": F.array_join(F.array_sort(F.array_distinct(tokens("label"))), " "), "_first": F.get(tokens("label"), F.lit(0))}
+        {"_lower": F.lower("label"), "_plain": F.regexp_replace(F.lower("label"), r"[^\p{L}\p{N}]+", ""), "_set": F.array_join(F.array_sort(F.array_distinct(tokens("label"))), " ")}
     )
+    own = cut_lineage(own)
     out = None
     for number, key in enumerate(("_lower", "_plain", "_set"), 1):
         pairs = own.where(F.col(key) != "").select(F.col(key).alias("_k"), F.col("label").alias("b")).join(own.groupBy(F.col(key).alias("_k")).agg(F.min("label").alias("a")), "_k").where("a < b")
         found = pairs.select("a", "b", F.lit(number).alias("step"), F.lit(1.0).alias("similarity"))
         out = found if out is None else out.unionByName(found)
-    near = own.alias("x").join(own.alias("y"), F.expr("x._first = y._first AND x.label < y.label AND x._plain <> y._plain AND x._set <> y._set"))
-    size = F.greatest(F.length("x._lower"), F.length("y._lower"))
-    near = near.select(F.expr("x.label AS a"), F.expr("y.label AS b"), F.lit(4).alias("step"), F.round(1 - F.levenshtein("x._lower", "y._lower") / size, 4).alias("similarity")).where(F.col("similarity") >= threshold)
+    # pairs of letters, numbered where they repeat, of the label with a mark at both ends
+    grams = own.where("_lower <> ''").withColumn("_g", F.expr("transform(sequence(1, length(_lower) + 1), i -> substring(concat(chr(2), _lower, chr(3)), i, 2))"))
+    grams = grams.withColumn("_g", F.expr("transform(_g, (g, i) -> concat(g, size(filter(slice(_g, 1, i), h -> h = g))))"))
+    rare = grams.select(F.explode("_g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # edits that the longest label it may be like would allow
+    allowed = F.floor((1 - threshold) * F.length("_lower") / threshold + 1e-9).cast("int")
+    ranked = grams.select("label", "_lower", "_plain", "_set", allowed.alias("_d"), F.explode("_g").alias("g")).join(rare, "g")
+    ranked = ranked.groupBy("label", "_lower", "_plain", "_set", "_d").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("_g"))
+    first = cut_lineage(ranked.select("label", "_lower", "_plain", "_set", F.explode(F.expr("slice(_g, 1, 2 * _d + 1)")).alias("_e")).withColumn("_e", F.col("_e.g")))
+    near = first.alias("x").join(first.alias("y"), F.expr("x._e = y._e AND x.label < y.label AND x._plain <> y._plain AND x._set <> y._set"))
+    most = F.floor((1 - threshold) * F.greatest(F.length("x._lower"), F.length("y._lower")) + 1e-9)
+    near = near.where(F.abs(F.length("x._lower") - F.length("y._lower")) <= most).select(F.expr("x.label AS a"), F.expr("y.label AS b"), F.expr("x._lower AS la"), F.expr("y._lower AS lb"), most.alias("_m")).distinct()
+    size = F.greatest(F.length("la"), F.length("lb"))
+    near = near.withColumn("_l", F.levenshtein("la", "lb")).where("_l <= _m").select("a", "b", F.lit(4).alias("step"), F.round(1 - F.col("_l") / size, 4).alias("similarity"))
     every = out.unionByName(near)
     return every.groupBy("a", "b").agg(F.min("step").alias("step"), F.max("similarity").alias("similarity"))
 
@@ -160,16 +177,18 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     return content_hash(docs).groupBy("hash").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"))
 
 
+COMMON_WORDS = {
+    "de": ["der", "die", "und", "das", "ist", "nicht", "ein", "zu", "den", "mit"],
+    "en": ["the", "and", "of", "to", "in", "is", "that", "it", "for", "with"],
+    "es": ["el", "los", "que", "y", "las", "por", "una", "con", "para", "del"],
+    "fr": ["le", "les", "et", "est", "une", "dans", "qui", "pour", "pas", "du"],
+}
+
+
 def detect_language(docs: DataFrame) -> DataFrame:
     """Adds detected: the language with most of its commonest words in the text, the alphabetically first of equals."""
-    common = {
-        "de": ["der", "die", "und", "das", "ist", "nicht", "ein", "zu", "den", "mit"],
-        "en": ["the", "and", "of", "to", "in", "is", "that", "it", "for", "with"],
-        "es": ["el", "los", "que", "y", "las", "por", "una", "con", "para", "del"],
-        "fr": ["le", "les", "et", "est", "une", "dans", "qui", "pour", "pas", "du"],
-    }
     words = docs.withColumn("_w", tokens("text"))
-    votes = F.array(*[F.struct(F.expr("size(filter(_w, w -> w IN ({})))".format(", ".join(f"'{x}'" for x in ws))).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, ws) in enumerate(common.items())])
+    votes = F.array(*[F.struct(F.expr("size(filter(_w, w -> w IN ({})))".format(", ".join(f"'{x}'" for x in ws))).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, ws) in enumerate(COMMON_WORDS.items())])
     return words.withColumn("detected", F.array_max(votes)["lang"]).drop("_w")
 
 

@@ -25,7 +25,7 @@ QUESTIONS = [
     (r"search for (.+)", "search"),
 ]
 #: Relation of each verb in "X <verb> Y".
-VERBS = {"is a": "is_a", "is an": "is_a", "causes": "causes", "depends on": "depends_on", "runs on": "runs_on", "uses": "uses"}
+VERBS = {"is a": "is_a", "is an": "is_a", "causes": "causes", "depends on": "depends_on", "runs on": "runs_on", "uses": "uses", "was developed at": "developed_at"}
 
 
 def ask(g: Graph, question: str, limit: int = 10) -> tuple[str, DataFrame]:

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..graph import cut_lineage
 from ..functions.text import cosine, dot, quantized, scale_of, tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -24,22 +25,28 @@ def searchable(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("label").alias("id"), F.concat_ws(" ", "label", F.map_values("props")).alias("text"))
 
 
-def bm25(docs: DataFrame, query: str, limit: int | None = 10) -> DataFrame:
-    """(id, score) of texts that hold a word of the query, best first.
+def bm25(docs: DataFrame, query: str, limit: int | None = 10, where: Column | str | None = None) -> DataFrame:
+    """(id, score) of texts that hold a word of the query, best first; ``where`` is a condition on ``docs`` that is met before any text is read.
 
-    Only the query's words are counted, within each row; the corpus statistics are one row of sums, so no posting list is shuffled.
+    Only the query's words are counted, within each row and once; the counts are a small table, from which the corpus statistics (one
+    row of sums) and the scores are taken, so no posting list is shuffled.
     """
     words = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
-    counted = docs.withColumn("_t", tokens("text")).select("id", F.size("_t").alias("_n"), *[F.expr(f"size(filter(_t, t -> t = '{w}'))").alias(f"_f{i}") for i, w in enumerate(words)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("length"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(words))]).first()
-    if not words or not stats.n:
+    if not words:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    docs = docs if where is None else docs.where(where)
+    asked = ", ".join(f"'{w}'" for w in words)
+    counted = docs.withColumn("_t", tokens("text")).select("id", F.size("_t").alias("_n"), F.expr(f"transform(array({asked}), q -> size(filter(_t, t -> t = q)))").alias("_f"))
+    counted = cut_lineage(counted)
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("length"), *[F.count_if(F.col("_f")[i] > 0).alias(f"d{i}") for i in range(len(words))]).first()
+    if not stats.n:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     norm = K1 * (1 - B + B * F.col("_n") / F.lit(float(stats.length or 1)))
     score = F.lit(0.0)
     for i in range(len(words)):
         idf = F.ln(1 + (F.lit(float(stats.n)) - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5))
-        score = score + idf * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + norm)
-    hits = counted.withColumn("score", score).where("score > 0").select("id", F.round("score", 6).alias("score"))
+        score = score + idf * F.col("_f")[i] * (K1 + 1) / (F.col("_f")[i] + norm)
+    hits = counted.where("exists(_f, f -> f > 0)").select("id", F.round(score, 6).alias("score"))
     return hits.orderBy(F.desc("score"), "id").limit(limit) if limit else hits
 
 

@@ -79,8 +79,24 @@ def all_paths(g: Graph, start: str, end: str, max_edges: int = 5, limit: int = 1
     return paths(g, start, end, max_edges, direction).withColumn("path", F.array_join("path", " > ")).orderBy("hops", "path").limit(limit)
 
 
-def shortest_path(g: Graph, start: str, end: str, max_edges: int = 6) -> DataFrame:
-    return all_paths(g, start, end, max_edges, 1)
+def shortest_path(g: Graph, start: str, end: str, max_edges: int = 20, direction: str = "both") -> DataFrame:
+    """(path, hops, confidence) of one shortest path, the first by name of equals; a walk by levels that keeps one path for each node."""
+    moves = cut_lineage(steps(g, direction).where("a <> b").groupBy("a", "b").agg(F.max("confidence").alias("confidence")))
+    target = start_of(g, end).select(F.col("label").alias("_end"))
+    goal = target.first()
+    now = cut_lineage(start_of(g, start).select(F.col("label").alias("a"), F.col("label").alias("path"), F.lit(1.0).alias("p")))
+    seen = now.select(F.col("a").alias("b"))
+    for k in range(1, max_edges + 1):
+        if goal is None or now.where(F.col("a") == goal[0]).isEmpty() is False:
+            break
+        wide = now.join(moves, "a").join(seen, "b", "left_anti")
+        best = wide.groupBy("b").agg(F.min_by(F.struct("path", (F.col("p") * F.col("confidence")).alias("p")), "path").alias("_s"))
+        now = cut_lineage(best.select(F.col("b").alias("a"), F.concat_ws(" > ", "_s.path", "b").alias("path"), F.col("_s.p").alias("p")))
+        if now.isEmpty():
+            break
+        seen = seen.unionByName(now.select(F.col("a").alias("b")))
+    hops = F.size(F.split("path", " > ")) - 1
+    return now.join(target, F.col("a") == F.col("_end"), "left_semi").where(F.col("path").contains(" > ")).select("path", hops.alias("hops"), F.col("p").alias("confidence"))
 
 
 def influence(g: Graph, start: str, end: str, max_edges: int = 4) -> DataFrame:
@@ -174,25 +190,43 @@ def rel_types(g: Graph) -> DataFrame:
     return g.live_edges().groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 
 
-def communities(g: Graph, rounds: int = 10) -> DataFrame:
-    """(label, community): label propagation; each round a node takes the commonest label around it, the least of equals."""
-    moves = steps(g).where("a <> b").select("a", "b")
+def centrality(g: Graph) -> DataFrame:
+    """(label, degree, centrality): distinct neighbours, and their share of all other nodes."""
+    pairs = steps(g).where("a <> b").select("a", "b").distinct().groupBy(F.col("a").alias("label")).count()
+    total = g.live_nodes().agg(F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_k"))
+    own = g.live_nodes().select("label").join(pairs, "label", "left").withColumn("_k", F.lit(1)).join(total, "_k")
+    degree = F.coalesce("count", F.lit(0))
+    return own.select("label", degree.alias("degree"), F.when(F.col("_n") > 1, degree / (F.col("_n") - 1)).otherwise(0.0).alias("centrality"))
+
+
+def communities(g: Graph, max_rounds: int = 100) -> DataFrame:
+    """(label, community): label propagation until it settles.
+
+    A node takes the commonest label around it, votes of equal number going to its own label, then to the least. In each round one half of the
+    nodes moves, the halves by a hash of the label in turn, so neighbours don't swap labels for ever; it ends when neither half
+    moves. Votes are counted before they are compared, so a hub is no single task. ``max_rounds`` raises an error rather than cut.
+    """
+    moves = cut_lineage(steps(g).where("a <> b").select("a", "b"))
     now = cut_lineage(g.live_nodes().select("label", F.col("label").alias("community")))
-    for _ in range(rounds):
-        votes = moves.join(now.withColumnRenamed("label", "b"), "b").groupBy("a", "community").count()
-        best = votes.groupBy(F.col("a").alias("label")).agg(F.min_by("community", F.struct(-F.col("count"), "community")).alias("_new"))
-        new = cut_lineage(now.join(best, "label", "left").select("label", F.least(F.coalesce("_new", "community"), "community").alias("community"), (F.coalesce("_new", "community") < F.col("community")).alias("_moved")))
+    still = 0
+    for k in range(max_rounds):
+        half = moves.where(F.pmod(F.xxhash64("a"), F.lit(2)) == k % 2)
+        votes = half.join(now.withColumnRenamed("label", "b"), "b").groupBy(F.col("a").alias("label"), "community").count()
+        votes = votes.join(now.withColumnRenamed("community", "_own"), "label")
+        best = votes.groupBy("label").agg(F.min_by("community", F.struct(-F.col("count"), F.col("community") != F.col("_own"), "community")).alias("_new"))
+        new = cut_lineage(now.join(best, "label", "left").select("label", F.coalesce("_new", "community").alias("community"), (F.coalesce("_new", "community") != F.col("community")).alias("_moved")))
         now = new.drop("_moved")
-        if new.where("_moved").isEmpty():
-            break
-    return now
+        still = still + 1 if new.where("_moved").isEmpty() else 0
+        if still == 2:
+            return now
+    raise RuntimeError(f"communities haven't settled after {max_rounds} rounds")
 
 
-def components(g: Graph, max_rounds: int = 50) -> DataFrame:
+def components(g: Graph) -> DataFrame:
     """(label, component): the least label that is connected to each node."""
-    moves = steps(g).select("a", "b").distinct()
+    moves = cut_lineage(steps(g).select("a", "b").distinct())
     now = cut_lineage(g.live_nodes().select("label", F.col("label").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = moves.join(now.withColumnRenamed("label", "b"), "b").groupBy(F.col("a").alias("label")).agg(F.min("component").alias("_least"))
         hop = now.join(near, "label", "left").select("label", F.least("component", "_least").alias("component"), (F.col("_least") < F.col("component")).alias("_moved"))
         # pointer jumping: the component's own component, so that rounds grow with the logarithm of long chains
@@ -200,8 +234,7 @@ def components(g: Graph, max_rounds: int = 50) -> DataFrame:
         new = cut_lineage(jump.select("label", F.least("component", "_next").alias("component"), "_moved"))
         now = new.drop("_moved")
         if new.where("_moved").isEmpty():
-            break
-    return now
+            return now
 
 
 def clustering(g: Graph, label: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import EDGE, Graph, cut_lineage, shaped
@@ -58,6 +58,24 @@ def parse(text: str) -> list[Rule]:
     return rules
 
 
+def rule_table(spark: SparkSession, text: str) -> DataFrame:
+    """(name, place, kind, arguments): the conditions and results of a text as a table, to be stored, listed, appended to or cleared."""
+    rows = [(r.name, k, f"{word} {kind}", list(a)) for r in parse(text) for k, (word, (kind, *a)) in enumerate([*(("when", x) for x in r.body), *(("then", x) for x in r.heads)])]
+    return spark.createDataFrame(rows, "name string, place int, kind string, arguments array<string>")
+
+
+def rule_text(rules: DataFrame) -> str:
+    """The text of a stored rule table, rules in order of their names; a rule book is small."""
+    lines: list[str] = []
+    for r in sorted(rules.collect(), key=lambda r: (r.name, r.place)):
+        if not r.place:
+            lines.append(f"rule {r.name}")
+        word, kind = r.kind.split()
+        quoted = {"edge": (1,), "prop": (1, 2), "confidence": (1,), "flag": (1,)}[kind]
+        lines.append(f"{word} {kind}({', '.join(f'"{a}"' if i in quoted else a for i, a in enumerate(r.arguments))})")
+    return "\n".join(lines)
+
+
 def confidence_of(text: str | None, edges: int) -> Column:
     """min(e1, e2), product(e1, e2) or a number; without one the least of all edges' confidences."""
     names = [f"e{i + 1}" for i in range(edges)]
@@ -76,24 +94,38 @@ def confidence_of(text: str | None, edges: int) -> Column:
 
 
 def matches(rule: Rule, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All bindings of a rule's variables (columns v_X) with the confidences e1, e2, ... of its edges."""
+    """Bindings of a rule's variables (columns v_X) with the confidences e1, e2, ... of its edges, and for how many matches each stands (n).
+
+    A variable that one edge condition alone has, and no result, needs no binding of its own: such edges are counted for each
+    binding of their other end first, with the greatest confidence among them (results keep the surest match). So three conditions on
+    one hub join three rows, not the cube of its edges.
+    """
+    uses: dict[str, int] = {}
+    for kind, *a in [*rule.body, *rule.heads]:
+        for v in (a[0], a[2]) if kind == "edge" else (a[0],):
+            uses[v] = uses.get(v, 0) + 1
     out, bound, n = None, set(), 0
     for kind, *a in sorted(rule.body, key=lambda x: x[0] != "edge"):
         if kind == "edge":
             n += 1
             own = edges.where(F.col("rel") == a[1]).select(F.col("src").alias(f"v_{a[0]}"), F.col("dst").alias("_d" if a[0] == a[2] else f"v_{a[2]}"), F.col("confidence").alias(f"e{n}"))
             own = own.where(F.col(f"v_{a[0]}") == F.col("_d")).drop("_d") if a[0] == a[2] else own
+            free = [v for v in (a[2], a[0]) if uses[v] == 1 and a[0] != a[2]][:1]
+            if free:
+                kept = a[0] if free[0] == a[2] else a[2]
+                own = own.groupBy(f"v_{kept}").agg(F.max(f"e{n}").alias(f"e{n}"), F.count(F.lit(1)).alias(f"_n{n}"))
             keys = [f"v_{v}" for v in dict.fromkeys((a[0], a[2])) if v in bound]
             if out is not None and not keys:
                 raise ValueError(f"rule {rule.name}: edge({a[0]}, {a[1]}, {a[2]}) shares no variable with the ones before it")
             out = own if out is None else out.join(own, keys)
-            bound |= {a[0], a[2]}
+            bound |= {a[0], a[2]} - set(free)
         else:
             holds = F.element_at("props", F.lit(a[1])) == a[2] if kind == "prop" else F.expr(f"confidence {a[1]} {float(a[2])!r}")
             own = nodes.where(holds).select(F.col("label").alias(f"v_{a[0]}"))
             out = own if out is None else out.join(own, f"v_{a[0]}", "left_semi")
             bound.add(a[0])
-    return out
+    counts = [c for c in out.columns if c.startswith("_n")]
+    return out.withColumn("n", F.expr(" * ".join(counts) or "1L").cast("long")).drop(*counts)
 
 
 @dataclass
@@ -106,13 +138,16 @@ class Derived:
 
 
 def derive(g: Graph, text: str, max_rounds: int = 10, derived_cap: float | None = None) -> Derived:
-    """Apply all rules until nothing new comes, ``max_rounds`` at most.
+    """Apply all rules until nothing new comes, ``max_rounds`` at most; ``rounds`` equal to it says that they may have been cut.
 
     Edges, properties and flags that exist are skipped, so what an early round found stays; of equal results of one round the surest
     is kept. Each round joins all edges again: ``fired`` counts matches of all rounds, which new edges alone don't give.
     """
     spark, rules = g.spark, parse(text)
     nodes, edges = g.live_nodes().select("label", "props", "confidence"), g.live_edges().select("src", "rel", "dst", "confidence")
+    # only relations of the rules take part; they are written once, however many rounds there are
+    edges = cut_lineage(edges.where(F.col("rel").isin(*{a[1] for r in rules for kind, *a in [*r.body, *r.heads] if kind == "edge"}) if any(x[0] == "edge" for r in rules for x in r.body) else F.lit(False)))
+    nodes = cut_lineage(nodes) if any(x[0] != "edge" for r in rules for x in [*r.body, *r.heads]) else nodes
     found = spark.createDataFrame([], "src string, rel string, dst string, confidence double, derived_by string, round int")
     flags = spark.createDataFrame([], "label string, reason string, rule_no int")
     fired = done = 0
@@ -120,7 +155,7 @@ def derive(g: Graph, text: str, max_rounds: int = 10, derived_cap: float | None
         new_edges = new_flags = new_props = None
         for number, r in enumerate(rules):
             m = cut_lineage(matches(r, nodes, edges))
-            fired += m.count()
+            fired += m.agg(F.sum("n")).first()[0] or 0
             n = sum(kind == "edge" for kind, *_ in r.body)
             for kind, *a in r.heads:
                 if kind == "edge":

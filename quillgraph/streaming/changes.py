@@ -30,6 +30,25 @@ def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(RECORD).json(folder)
 
 
+def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Records of NDJSON lines from a socket, such as a bridge of web sockets writes; lines that aren't JSON have no fields."""
+    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return lines.select(F.from_json("value", RECORD).alias("r")).select("r.*")
+
+
+def answers_as_they_come(*sources: DataFrame) -> DataFrame:
+    """Streams of answers (source, gap_id, answer) as one stream."""
+    every = sources[0]
+    for s in sources[1:]:
+        every = every.unionByName(s)
+    return every
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """(batch, rows, seconds) of a stream's recent batches, the counters of a job's progress."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "seconds": p["batchDuration"] / 1000} for p in query.recentProgress]
+
+
 def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, land: Callable[[DataFrame, DataFrame, int], None]) -> StreamingQuery:
     """Hands entities and relations of each micro-batch to ``land`` with the batch's number, by which it can tell a repeated batch."""
 
