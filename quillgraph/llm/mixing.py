@@ -70,7 +70,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 class Classifier:
     """Softmax regression on the presence of hashed words and standardised shares."""
 
-    def __init__(self, domain: np.ndarray, words: list[np.ndarray], dense: np.ndarray, steps: int = 80, ridge: float = 1e-4) -> None:
+    def __init__(self, domain: np.ndarray, words: list[np.ndarray], dense: np.ndarray, steps: int = 200, ridge: float = 1e-2) -> None:
         k = len(DOMAINS)
         seen = np.bincount(domain, minlength=k) if len(domain) else np.eye(1, k)[0]
         self.prior = seen / seen.sum()
