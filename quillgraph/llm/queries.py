@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, line_dedup, mixing, pii_crf, quality_rules, sharding, simhash, site_style, suffix_dedup, window_index
+from .storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,8 +48,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeated(docs)
+    digest = found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # passages of over 50 words are often shorter than 400 bytes: they are counted, not cut
+    passages = materialize(suffix_dedup.repeated_passages(docs), "passages")
+    return digest.join(passages, "doc_id", "left").withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0).cast("long")))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

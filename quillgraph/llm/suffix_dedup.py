@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .packed import CANDIDATE, ENTRY, HIT, U64, WITNESS, Anchors, batch_of, entry_rows, grouped, mark_lists, mark_rows, parts_for, passed_marks, runs_of, unpack
-from .textkit import Rolling, covered, mixed, slices, text_bytes
+from .textkit import BLANK, Rolling, covered, mixed, slices, text_bytes
 
 WINDOW = 400
 GAP = 64
 GRAM = 16
+#: Passages of more than this many words are told apart from shorter repetitions by strings of so many bytes.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 #: Bytes of text that are hashed at once: their arrays take some 100 bytes for each.
 SLICE = 1 << 20
 #: Entries that a task holds before it sends them.
@@ -270,7 +272,7 @@ def _merge_strings(parts: int):
 
 def _cut(window: int, gap: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
         anchors = _Anchors(window, gap)
         for batch in batches:
             for part in slices(batch, limit=SLICE):
@@ -280,11 +282,14 @@ def _cut(window: int, gap: int, names: list[str]):
                     found += [unpack(b, True).astype(np.int64) + anchors.offsets[d] for b in blobs or []]
                 gone = covered(np.concatenate([*found, np.zeros(0, np.int64)]), window, len(anchors.data))
                 removed, spans, left = [], [], []
+                # words that begin before each byte
+                solid = ~BLANK[anchors.data]
+                begun = np.r_[0, np.cumsum(solid & np.r_[True, ~solid[:-1]])] if len(solid) else np.zeros(1, np.int64)
                 for a, b in zip(anchors.offsets[:-1], anchors.offsets[1:]):
                     own = gone[a:b]
                     turns = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8))).reshape(-1, 2)
                     removed.append(int(own.sum()))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in turns])
+                    spans.append([{"start": int(x), "end": int(y), "words": int(begun[a + y] - begun[a + x])} for x, y in turns])
                     left.append(anchors.data[a:b][~own].tobytes())
                 arrays = [pa.array(np.diff(anchors.offsets)), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(left, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *arrays], [*names, "n_bytes", "n_removed", "spans", "kept"])
@@ -293,7 +298,7 @@ def _cut(window: int, gap: int, names: list[str]):
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, gap: int = GAP, parts: int | None = None) -> DataFrame:
-    """``docs`` less text, with n_bytes, n_removed (long), spans (byte ranges) and kept (binary)."""
+    """``docs`` less text, with n_bytes, n_removed (long), spans (byte ranges, with the words that begin in them) and kept (binary)."""
     added = ("n_bytes", "n_removed", "spans", "kept")
     names = [c for c in docs.columns if c != "text" and c not in added]
     own = docs.select(*names, "text").withColumn("_row", F.xxhash64("doc_id", "text"))
@@ -304,7 +309,15 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gap: int = GAP, parts
     shards = texts.join(marks, "id").mapInArrow(_shards(window, gap, parts), ENTRY)
     strings = mark_lists(shards.groupBy("part").applyInArrow(_merge_strings(parts), ENTRY), "string-marks", "strings")
     marked = own.join(marks.withColumnRenamed("id", "_row"), "_row", "left").join(strings.withColumnRenamed("id", "_row"), "_row", "left")
-    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("words", T.IntegerType())]))
     kinds = [T.LongType(), T.LongType(), span, T.BinaryType()]
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, k) for c, k in zip(added, kinds))])
     return marked.select(*names, "text", "marks", "strings").mapInArrow(_cut(window, gap, names), schema)
+
+
+def repeated_passages(docs: DataFrame, more_than: int = PASSAGE_WORDS, window: int = PASSAGE_BYTES) -> DataFrame:
+    """(doc_id, n_passage_words): the words of a document in passages of more than ``more_than`` words that strings of ``window`` bytes cover which
+    also start elsewhere. Only documents that have some; rows of one id are one document, of which the greatest number counts; none for null ids."""
+    found = remove_repeated(docs.select("doc_id", "text"), window)
+    words = F.expr(f"aggregate(spans, 0L, (n, s) -> n + if(s.words > {more_than}, s.words, 0))")
+    return found.where("doc_id IS NOT NULL").select("doc_id", words.alias("w")).where("w > 0").groupBy("doc_id").agg(F.max("w").alias("n_passage_words"))

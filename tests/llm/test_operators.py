@@ -464,3 +464,10 @@ def test_whole_table_of_byte_strings_matches_brute_force(spark):
         b = t.tobytes()
         gone = covered(len(b), [s for s in range(len(b) - 399) if seen[hash(b[s : s + 400])] > 1], 400)
         assert got[i] == (len(b), int(gone.sum()), int((np.diff(np.r_[0, gone, 0]) == 1).sum()), t[~gone].tobytes())
+
+
+def test_repeated_passages_count_words(spark):
+    long_, short = " ".join(f"pa{i}" for i in range(60)), " ".join(f"sh{i}xxxx" for i in range(40))
+    rows = [(1, f"a {long_} b"), (2, f"c {long_} d"), (3, f"e {short} f"), (4, f"g {short} h"), (5, long_.replace("pa3 ", "other ")), (None, long_), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_passage_words for r in suffix_dedup.repeated_passages(docs).collect()} == {1: 60, 2: 60, 5: 56}
