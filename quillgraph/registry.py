@@ -496,7 +496,10 @@ def ner_caps(spark, sf_dir):
     return ingest.capital_entities(_docs(spark, sf_dir)).groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query()
+_FOUND = " UNION ALL ".join(f"SELECT doc, '{rel}' AS rel, unnest(regexp_extract_all(sentence, '{p}', 1)) AS src, unnest(regexp_extract_all(sentence, '{p}', 2)) AS dst FROM s" for rel, p in ingest.PATTERNS)
+
+
+@query(f"WITH {SENTENCES_SQL}, f AS ({_FOUND}) SELECT DISTINCT doc, trim(src) AS src, rel, trim(dst) AS dst FROM f WHERE trim(src) <> '' AND trim(dst) <> ''")
 def re_pattern(spark, sf_dir):
     return ingest.pattern_relations(ingest.sentences(_docs(spark, sf_dir)))
 
