@@ -144,7 +144,32 @@ def html_tables(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(parse, "page_id long, row int, cells array<string>")
 
 
-FORMATS = {"json": read_json_graph, "ndjson": read_ndjson, "jsonl": read_ndjson, "jsonld": read_jsonld}
+def read_csv_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Edges where the header has from and to, nodes otherwise."""
+    header = {c.strip().lower() for c in spark.read.csv(path, header=True).columns}
+    if {"from", "to"} <= header:
+        return spark.createDataFrame([], NODE), read_csv_edges(spark, path)
+    return read_csv_nodes(spark, path), spark.createDataFrame([], EDGE)
+
+
+def read_markdown_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A document for each file with its front matter as properties, its author as a person, and an edge between them."""
+    docs = read_markdown(spark, path)
+    props = F.map_filter(F.create_map(*[x for c in ("title", "author", "date", "excerpt") for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
+    people = docs.where("author is not null").select(F.col("author").alias("label"), F.lit("person").alias("type")).distinct()
+    nodes = shaped(docs.select(F.col("filename").alias("label"), F.lit("document").alias("type"), props.alias("props")), NODE).unionByName(shaped(people, NODE))
+    return nodes, shaped(docs.where("author is not null").select(F.col("filename").alias("src"), F.lit("authored_by").alias("rel"), F.col("author").alias("dst")), EDGE)
+
+
+def read_html_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A node for each table row of HTML files: the first cell is its label, the others are properties by their place."""
+    raw = spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("page_id"), F.col("value").alias("html"))
+    rows = html_tables(raw).where("row >= 0 AND size(cells) > 0 AND cells[0] <> ''")
+    props = F.map_from_entries(F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda x, i: F.struct(F.concat(F.lit("cell_"), (i + 2).cast("string")), x)))
+    return shaped(rows.select(F.col("cells")[0].alias("label"), F.lit("row").alias("type"), props.alias("props")), NODE), spark.createDataFrame([], EDGE)
+
+
+FORMATS = {"csv": read_csv_graph, "md": read_markdown_graph, "html": read_html_graph, "json": read_json_graph, "ndjson": read_ndjson, "jsonl": read_ndjson, "jsonld": read_jsonld}
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -182,6 +182,12 @@ def test_files(spark, tmp_path):
     (tmp_path / "n.csv").write_text("name,type,confidence,team\nA,x,bad,t\n,x,0.5,\nB,y,0.5,\n")
     rows = {r.label: r for r in files.read_csv_nodes(spark, str(tmp_path / "n.csv")).collect()}
     assert rows["A"].confidence == 0.75 and rows["A"].props == {"team": "t"} and rows["B"].props == {} and len(rows) == 2
+    assert files.read_graph(spark, str(tmp_path / "n.csv"))[0].count() == 2
+    (tmp_path / "e.csv").write_text("from,to,relationship\nA,B,r\n,B,r\n")
+    nodes, edges = files.read_graph(spark, str(tmp_path / "e.csv"))
+    assert nodes.count() == 0 and [(r.src, r.rel, r.dst, r.confidence) for r in edges.collect()] == [("A", "r", "B", 0.75)]
+    (tmp_path / "t.html").write_text("<p>x</p><table><tr><th>Name</th><th>Age</th></tr><tr><td>Ann</td><td>7</td></tr></table>")
+    assert {(r.label, r.props["cell_2"]) for r in files.read_graph(spark, str(tmp_path / "t.html"))[0].collect()} == {("Name", "Age"), ("Ann", "7")}
     (tmp_path / "g.json").write_text(json.dumps({"entities": [{"entity": "A"}, {"entity": "B"}], "relationships": [{"from": "A", "to": "B", "relationship": "r"}]}))
     nodes, edges = files.read_graph(spark, str(tmp_path / "g.json"))
     assert nodes.count() == 2 and edges.first().rel == "r"
@@ -192,6 +198,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.md").write_text("---\nauthor: Ann\n---\n# Title\n\nshort\n\nA paragraph that is long enough.\n")
     r = files.read_markdown(spark, str(tmp_path / "d.md")).first()
     assert (r.title, r.author, r.excerpt) == ("Title", "Ann", "A paragraph that is long enough.")
+    nodes, edges = files.read_graph(spark, str(tmp_path / "d.md"))
+    assert {(r.label, r.type) for r in nodes.collect()} == {("d.md", "document"), ("Ann", "person")} and edges.first().rel == "authored_by"
 
 
 def test_entities_and_resolution(spark):
