@@ -151,11 +151,18 @@ def derive(g: Graph, text: str, max_rounds: int = 10, derived_cap: float | None
     found = spark.createDataFrame([], "src string, rel string, dst string, confidence double, derived_by string, round int")
     flags = spark.createDataFrame([], "label string, reason string, rule_no int")
     fired = done = 0
+    changed: set[str] | None = None  # relations that grew in the last round, and "" for properties; None: all
+    last: dict[int, int] = {}
     for done in range(1, max_rounds + 1):
         new_edges = new_flags = new_props = None
         for number, r in enumerate(rules):
+            reads = {a[1] if kind == "edge" else "" for kind, *a in r.body}
+            if changed is not None and not reads & changed:
+                fired += last[number]  # the same matches as before, and nothing new
+                continue
             m = cut_lineage(matches(r, nodes, edges))
-            fired += m.agg(F.sum("n")).first()[0] or 0
+            last[number] = m.agg(F.sum("n")).first()[0] or 0
+            fired += last[number]
             n = sum(kind == "edge" for kind, *_ in r.body)
             for kind, *a in r.heads:
                 if kind == "edge":
@@ -169,11 +176,12 @@ def derive(g: Graph, text: str, max_rounds: int = 10, derived_cap: float | None
                 else:
                     own = m.select(F.col(f"v_{a[0]}").alias("label"), F.lit(a[1]).alias("_k"), F.lit(a[2]).alias("_v")).distinct()
                     new_props = own if new_props is None else new_props.unionByName(own)
-        grown = False
+        grown, changed = False, set()
         if new_edges is not None:
             best = new_edges.groupBy("src", "rel", "dst").agg(F.max_by(F.struct("confidence", "derived_by"), F.struct("confidence", "derived_by")).alias("_b"))
             fresh = cut_lineage(best.select("src", "rel", "dst", "_b.*").join(edges, ["src", "rel", "dst"], "left_anti").withColumn("round", F.lit(done)))
-            if not fresh.isEmpty():
+            changed = {x.rel for x in fresh.select("rel").distinct().collect()}
+            if changed:
                 grown = True
                 found = found.unionByName(fresh)
                 edges = edges.unionByName(fresh.select("src", "rel", "dst", "confidence"))
@@ -184,7 +192,9 @@ def derive(g: Graph, text: str, max_rounds: int = 10, derived_cap: float | None
         if new_props is not None:
             own = new_props.groupBy("label").agg(F.map_from_entries(F.collect_set(F.struct("_k", "_v"))).alias("_p"))
             joined = cut_lineage(nodes.join(own, "label", "left").withColumn("_new", F.coalesce(F.size(F.map_filter("_p", lambda k, v: ~F.coalesce(F.map_contains_key("props", k), F.lit(False)))), F.lit(0)) > 0))
-            grown |= not joined.where("_new").isEmpty()
+            if not joined.where("_new").isEmpty():
+                grown = True
+                changed |= {""}
             nodes = joined.withColumn("props", F.when(F.col("_new"), F.map_concat(F.map_filter("_p", lambda k, v: ~F.map_contains_key("props", k)), "props")).otherwise(F.col("props"))).drop("_p", "_new")
         if not grown:
             break
