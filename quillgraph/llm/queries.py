@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, pii_crf, quality_rules, sharding, simhash, site_style, suffix_dedup, window_index
+from . import decontaminate, divergence, line_dedup, mixing, pii_crf, quality_rules, sharding, simhash, site_style, suffix_dedup, token_align, window_index
 from .storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,15 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = token_align.align(_table(spark, sf_dir, "documents"))
+    return scored.select(F.col("doc_id").cast("long"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,6 +121,8 @@ QUERIES: dict[str, Query] = {
         op8_decontamination,
         op9_mixing,
         op10_html,
+        op11_divergence,
+        op12_token_alignment,
         pipeline,
     )
 }
@@ -121,4 +132,5 @@ SQL: dict[str, str] = {
     "op2_substring_dedup": window_index.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op8_decontamination": decontaminate.SQL,
+    "op11_divergence": divergence.SQL,
 }
