@@ -23,6 +23,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,20 +35,21 @@ MIN_DOCS = 30
 SMOOTH = 5
 SCALE = 1_000_000_000
 TOP = 50
-SLICE = 16 << 20
-#: Sources in a block, and cells (terms by sources) of a task's matrix.
-SOURCES, CELLS = 512, 1 << 21
+SLICE = 24 << 20
+#: Sources in a block, and least cells (terms by sources) of a task's matrix; it has as many terms as sources at least, for it returns every pair of sources.
+SOURCES, CELLS = 512, 1 << 16
 #: Letters lower-cased, bytes of other characters kept, all else a space.
 TERM_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-SLICES = "slice long, lang string, source string, body string, terms array<string>, n array<long>"
+SLICES = "slice long, lang string, source string, body binary, terms array<string>, n array<long>"
 
 
 def _rows(bodies: dict[tuple[str, str], list[bytes]], found: dict[str, Counter]) -> pa.RecordBatch:
     """A slice: a row for each group with its texts, and one for each language with its terms."""
     number = uuid.uuid4().int >> 65
-    rows = [(number, lang, source, b" ".join(parts).decode(), None, None) for (lang, source), parts in bodies.items()]
+    pressed = zstandard.ZstdCompressor(level=3)
+    rows = [(number, lang, source, pressed.compress(b" ".join(parts)), None, None) for (lang, source), parts in bodies.items()]
     rows += [(number, lang, None, None, [t.decode() for t in terms], list(terms.values())) for lang, terms in found.items()]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["slice", "lang", "source", "body", "terms", "n"])
 
 
@@ -83,7 +85,8 @@ def _recount(left: pa.Table, right: pa.Table) -> pa.Table:
         automaton.make_automaton()
         mine = left.filter(pa.compute.equal(left.column("lang"), lang))
         for source, body in zip(mine.column("source").to_pylist(), mine.column("body").to_pylist()):
-            times = Counter(map(itemgetter(1), automaton.iter(f" {body} ")))
+            text = zstandard.ZstdDecompressor().decompress(body).decode()
+            times = Counter(map(itemgetter(1), automaton.iter(f" {text} ")))
             out += [(lang, source, terms[i], n) for i, n in times.items()]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
     return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["lang", "source", "term", "n"])
@@ -134,7 +137,8 @@ def _differences(left: pa.Table, right: pa.Table) -> pa.Table:
 def distances(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """(lang, source, item, value): each source of a language against each other one. ``groups`` has total and v, counts too."""
     sizes = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("s"), F.first("v").alias("v"))
-    sizes = sizes.select("lang", F.ceil(F.col("s") / SOURCES).cast("int").alias("blocks"), F.ceil(F.col("v") * F.least(F.col("s"), F.lit(2 * SOURCES)) / CELLS).cast("int").alias("parts"))
+    sizes = sizes.withColumn("w", F.least("s", F.lit(2 * SOURCES)))
+    sizes = sizes.select("lang", F.ceil(F.col("s") / SOURCES).cast("int").alias("blocks"), F.ceil(F.col("v") * F.col("w") / F.greatest(F.lit(CELLS), F.col("w") * F.col("w"))).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")
     pair = F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(own, o) as low, greatest(own, o) as high))"))
 
