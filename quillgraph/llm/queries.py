@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, line_dedup, mixing, pii_crf, quality_rules, sharding, simhash, site_style, suffix_dedup, token_align, window_index
+from . import decontaminate, divergence, jaccard_join, line_dedup, mixing, pii_crf, quality_rules, sharding, simhash, site_style, suffix_dedup, token_align, window_index
 from .storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("doc_id").cast("long"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,6 +127,7 @@ QUERIES: dict[str, Query] = {
         op10_html,
         op11_divergence,
         op12_token_alignment,
+        op13_jaccard_join,
         pipeline,
     )
 }
@@ -133,4 +138,5 @@ SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op11_divergence": divergence.SQL,
+    "op13_jaccard_join": jaccard_join.SQL,
 }
