@@ -73,12 +73,13 @@ class Graph:
         ).where("label is not null and label <> ''")
         none = F.lit(None).cast(new.schema["_place"].dataType).alias("place")
         both = self.nodes.withColumn("_age", F.struct(F.lit(0).alias("new"), none)).unionByName(new.withColumn("_age", F.struct(F.lit(1).alias("new"), F.col("_place").alias("place"))).drop("_place"))
-        pairs = F.expr("flatten(transform(array_sort(collect_list(struct(_age, map_entries(props) as kv))), x -> x.kv))")
         first = [F.expr(f"min_by({c}, _age)").alias(c) for c in NODE.names if c not in ("label_key", "props", "type")]
-        # of equal keys the last pair wins
-        merged = both.groupBy("label_key").agg(*first, F.expr("min_by(type, _age) filter (where type is not null)").alias("type"), pairs.alias("_kv"))
-        last = F.expr("map_from_entries(filter(_kv, (x, i) -> not exists(slice(_kv, i + 2, size(_kv)), y -> y.key = x.key)))")
-        return replace(self, nodes=merged.withColumn("props", last).select(*NODE.names))
+        merged = both.groupBy("label_key").agg(*first, F.expr("min_by(type, _age) filter (where type is not null)").alias("type"))
+        # each property on its own first: a label with very many versions is no array of them
+        pairs = both.select("label_key", "_age", F.explode("props").alias("_k", "_v")).groupBy("label_key", "_k").agg(F.max_by("_v", "_age").alias("_v"))
+        props = pairs.groupBy("label_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("props"))
+        none = F.create_map().cast("map<string,string>")
+        return replace(self, nodes=merged.join(props, "label_key", "left").withColumn("props", F.coalesce("props", none)).select(*NODE.names))
 
     def relate(self, relations: DataFrame) -> tuple[Graph, DataFrame]:
         """Add edges (a multigraph: equal ones stay apart). Returns the graph and the rejected rows, of which an end is missing."""
@@ -90,13 +91,20 @@ class Graph:
         bad = ends.where("_a is null or _b is null").select("src", "rel", "dst", F.lit("node not found").alias("error"))
         return replace(self, edges=self.edges.unionByName(good)), bad
 
+    def batch(self, entities: DataFrame, relations: DataFrame, order_by: list[str] | None = None) -> tuple[Graph, DataFrame]:
+        """Entities and relations in one call: the graph, and the rows that it didn't take (kind, key, error). Relations may name entities of the same batch."""
+        grown, bad = self.store(entities, order_by).relate(relations)
+        nameless = shaped(entities, NODE).where("label is null or label = ''")
+        errors = nameless.select(F.lit("node").alias("kind"), F.to_json(F.struct("type", "props", "confidence")).alias("key"), F.lit("label is missing").alias("error"))
+        return grown, errors.unionByName(bad.select(F.lit("edge").alias("kind"), F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("src", "rel", "dst"))).alias("key"), "error"))
+
     def soft_delete(self, label: str) -> Graph:
         """The node stays with confidence 0 and a mark."""
         own = F.col("label_key") == label.lower()
         return replace(self, nodes=self.nodes.withColumns({"confidence": F.when(own, 0.0).otherwise(F.col("confidence")), "deleted": own | F.coalesce("deleted", F.lit(False))}))
 
     def delete_edge(self, src: str, rel: str, dst: str) -> Graph:
-        own = (F.col("src") == src) & (F.col("rel") == rel) & (F.col("dst") == dst)
+        own = (F.lower("src") == src.lower()) & (F.col("rel") == rel) & (F.lower("dst") == dst.lower())
         return replace(self, edges=self.edges.withColumn("deleted", own | F.coalesce("deleted", F.lit(False))))
 
     def patch_nodes(self, where: str, **values) -> Graph:

@@ -1,11 +1,11 @@
-"""Connected components of an edge table, as rounds of joins and aggregations."""
+"""Connected components of a table of links, as rounds of joins and aggregations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from ..shared import materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (columns a and b, bigint); root is the component's least node.
+    """(node, root) for every node of ``edges`` (columns a and b, of one type that can be ordered); root is the component's least node.
 
     Alternates two steps until nothing changes: each node hands its larger neighbours to its least
     neighbour, then its smaller ones. Either keeps the components and at most as many edges

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,12 +17,13 @@ from ..graph import cut_lineage
 
 @dataclass(frozen=True)
 class IngestConfig:
-    """What a staged ingest keeps and leaves out; ``skip`` names stages."""
+    """What a staged ingest keeps and leaves out; ``skip`` names stages, ``templates`` has relations as texts, such as {"works_at": "{head} works at {tail}"}."""
 
     min_entity_confidence: float = 0.6
     dedup_threshold: float = 0.85
-    enable_coref: bool = False
+    enable_coref: bool = True
     skip: tuple[str, ...] = ()
+    templates: dict[str, str] = field(default_factory=dict)
 
 
 #: Entity types of common taggers, and the types that are dropped.
@@ -39,16 +42,70 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("n", "sentence"))
 
 
+#: Names up to so many bytes are one automaton for every task; of more, each slice of texts gets those that can occur in it.
+AUTOMATON_BYTES = 4 << 20
+#: Bytes of text in such a slice.
+SLICE_BYTES = 16 << 20
+
+
+def _automaton(keys: list[str]):
+    """An automaton with failure links that finds whole names (words with one space between) in one pass, however long or nested they are."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for key in keys:
+        out.add_word(f" {key} ", key)
+    if keys:
+        out.make_automaton()
+    return out
+
+
+def _found_in(automaton, words: str | None) -> set[str]:
+    return {key for _, key in automaton.iter(f" {words} ")} if words and len(automaton) else set()
+
+
 def gazetteer_entities(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc, label, type): names of ``known`` (label, type) among the word n-grams of a text; a join by n-gram, not by pairs."""
-    words = docs.select("doc", tokens("text").alias("w"))
-    longest = known.agg(F.max(F.size(tokens("label")))).first()[0] or 0
-    grams = docs.select("doc", F.lit(None).cast("string").alias("key")).limit(0) if not longest else None
-    for k in range(1, longest + 1):
-        own = words.select("doc", F.explode(F.expr(f"array_distinct(CASE WHEN size(w) >= {k} THEN transform(sequence(0, size(w) - {k}), i -> array_join(slice(w, i + 1, {k}), ' ')) ELSE array() END)")).alias("key"))
-        grams = own if grams is None else grams.unionByName(own)
-    names = known.select("label", "type", F.array_join(tokens("label"), " ").alias("key")).where("key <> ''")
-    return grams.join(names, "key").select("doc", "label", "type").distinct()
+    """(doc, label, type): names of ``known`` (label, type) among the words of a text, each once for a text.
+
+    A text is read once, whatever the lengths and the number of the names. A small list of names is sent to all tasks. For a large one, each slice of texts meets the names
+    whose rarest word occurs in it, and builds its automaton of those.
+    """
+    kind = docs.schema["doc"].dataType.simpleString()
+    names = known.where("label IS NOT NULL").select("label", "type", F.array_join(tokens("label"), " ").alias("key")).where("key <> ''").distinct()
+    names = cut_lineage(names)
+    texts = docs.select("doc", F.array_join(tokens("text"), " ").alias("words"))
+    if (names.agg(F.sum(F.octet_length("key"))).first()[0] or 0) <= AUTOMATON_BYTES:
+        sent = docs.sparkSession.sparkContext.broadcast([r.key for r in names.select("key").distinct().collect()])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(sent.value)
+            for batch in batches:
+                found = [(i, key) for i, words in enumerate(batch.column("words").to_pylist()) for key in _found_in(automaton, words)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array([i for i, _ in found], pa.int64())), pa.array([k for _, k in found], pa.string())], ["doc", "key"])
+
+        hits = texts.mapInArrow(scan, f"doc {kind}, key string")
+    else:
+        hits = _sliced_hits(texts, names.select("key").distinct(), kind)
+    return hits.join(names, "key").select("doc", "label", "type").distinct()
+
+
+def _sliced_hits(texts: DataFrame, keys: DataFrame, kind: str) -> DataFrame:
+    size = texts.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
+    slices = max(1, size // SLICE_BYTES)
+    texts = texts.withColumn("slice", F.pmod(F.xxhash64(F.to_json(F.struct("doc")), "words"), F.lit(slices)))
+    held = cut_lineage(texts.select("slice", F.explode(F.array_distinct(F.split("words", " "))).alias("word")).distinct())
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("slices"))
+    # a name with a word that no text has goes here; of the others, the word that the fewest slices have stands for it
+    words = keys.select("key", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).join(often, "word", "left")
+    rarest = words.groupBy("key").agg(F.min_by("word", F.struct(F.coalesce("slices", F.lit(0)), "word")).alias("word"), F.min(F.coalesce("slices", F.lit(0))).alias("least")).where("least > 0")
+    local = cut_lineage(rarest.join(held, "word").select("slice", "key"))
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        automaton = _automaton(right.column("key").to_pylist())
+        found = [(i, key) for i, text in enumerate(left.column("words").to_pylist()) for key in _found_in(automaton, text)]
+        return pa.table({"doc": left.column("doc").take(pa.array([i for i, _ in found], pa.int64())), "key": pa.array([k for _, k in found], pa.string())})
+
+    return texts.groupBy("slice").cogroup(local.groupBy("slice")).applyInArrow(scan, f"doc {kind}, key string")
 
 
 def capital_entities(docs: DataFrame) -> DataFrame:
@@ -86,16 +143,62 @@ PATTERNS = [
 ]
 
 
-def pattern_relations(found: DataFrame) -> DataFrame:
-    """(doc, src, rel, dst) of sentences (doc, n, sentence)."""
+def template_patterns(templates: dict[str, str]) -> list[tuple[str, str]]:
+    """(relation, pattern) of templates; one without both ends, or with a name that isn't letters, digits and _, raises ValueError."""
+    ends = {"{head}": r"([\p{L}][\p{L}\p{N}_ -]{0,40}?)", "{tail}": r"([\p{L}][\p{L}\p{N}_-]*(?: [\p{Lu}][\p{L}\p{N}_-]+)*)"}
+    out = []
+    for rel, text in templates.items():
+        parts = re.split(r"(\{head\}|\{tail\})", text)
+        if not re.fullmatch(r"\w+", rel) or [p for p in parts if p in ends] != ["{head}", "{tail}"] or not parts[2].strip() or "'" in text or '"' in text:
+            raise ValueError(f"template {rel}: {text!r} needs {{head}}, words and {{tail}}, without quotes")
+        escaped = (ends.get(p) or r"\s+".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in re.split(r"\s+", p)) for p in parts)
+        out.append((rel, r"(?i)\b" + "".join(escaped)))
+    return out
+
+
+def pattern_relations(found: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+    """(doc, src, rel, dst) of sentences (doc, n, sentence), by the fixed patterns and those of ``templates``."""
     each = [
         f"zip_with(regexp_extract_all(sentence, r\"{p}\", 1), regexp_extract_all(sentence, r\"{p}\", 2), (s, o) -> named_struct('src', trim(s), 'rel', '{rel}', 'dst', trim(o)))"
-        for rel, p in PATTERNS
+        for rel, p in [*PATTERNS, *template_patterns(templates or {})]
     ]
     pairs = F.expr(f"concat({', '.join(each)})")
     return found.select("doc", F.inline(pairs)).where("src <> '' AND dst <> ''").distinct()
 
 
+#: Pronouns that a sentence may begin with, and whether they stand for persons (None: for either).
+PRONOUNS = {"He": True, "She": True, "It": False, "They": None}
+
+
+def name_pronouns(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` (doc, text) with names for the pronouns that begin sentences, and how many (pronouns).
+
+    A pronoun stands for the last entity before it in its document that may be meant: a known name (label, type), or the subject of a relation. Persons
+    answer to He and She, others to It. One that has none before it stays; so does the text of a document without any.
+    """
+    cut = cut_lineage(sentences(docs))
+    which = F.regexp_extract("sentence", rf"^({'|'.join(PRONOUNS)})\b", 1)
+    marked = cut.withColumn("pronoun", which)
+    asked = marked.where("pronoun <> ''")
+    cut = cut.join(asked.select("doc").distinct(), "doc", "left_semi")
+    own = cut.select(F.struct("doc", "n").alias("doc"), F.col("sentence").alias("text"))
+    named = gazetteer_entities(own, known).select("doc", "label", F.col("type") == "person")
+    subjects = pattern_relations(own.select("doc", F.lit(0).alias("n"), F.col("text").alias("sentence"))).select("doc", F.col("src").alias("label"), F.lit(False))
+    subjects = subjects.where(~F.col("label").isin(*PRONOUNS))
+    every = named.toDF("at", "label", "person").unionByName(subjects.toDF("at", "label", "person")).select("at.doc", "at.n", "label", "person")
+    # of a name that is both, the known one counts
+    every = every.groupBy("doc", "n", "label").agg(F.max("person").alias("person")).join(cut, ["doc", "n"])
+    rows = every.select("doc", "n", F.expr("instr(lower(sentence), lower(label))").alias("place"), "label", "person", F.lit("").alias("pronoun"))
+    rows = rows.unionByName(asked.select("doc", "n", F.lit(0).alias("place"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("person"), "pronoun"))
+    before = Window.partitionBy("doc").orderBy("n", "place", "label").rowsBetween(Window.unboundedPreceding, -1)
+    last = {p: F.last(F.when(F.lit(True) if p is None else F.col("person") == p, F.col("label")), ignorenulls=True).over(before) for p in (True, False, None)}
+    meant = F.coalesce(*(F.when(F.col("pronoun") == w, last[p]) for w, p in PRONOUNS.items()))
+    meant = rows.withColumn("meant", meant).where("pronoun <> '' AND meant IS NOT NULL").select("doc", "n", "pronoun", "meant")
+    told = marked.drop("pronoun").join(meant, ["doc", "n"], "left").withColumn("sentence", F.expr("if(meant IS NULL, sentence, concat(meant, substring(sentence, length(pronoun) + 1)))"))
+    new = told.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda x: x.sentence), " ").alias("_text"), F.count("meant").alias("pronouns"))
+    return docs.join(new, "doc", "left").select("doc", F.when(F.col("pronouns") > 0, F.col("_text")).otherwise(F.col("text")).alias("text"), F.coalesce("pronouns", F.lit(0)).alias("pronouns"))
+
+
 def co_mentions(mentions: DataFrame) -> DataFrame:
     """(a, b, n, confidence): labels in the same sentence; ``mentions`` is (doc, n, label)."""
     own = mentions.select("doc", "n", "label").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .search import bm25, searchable
+from .search import bm25, knn, searchable
 from .traverse import neighbours, node_detail, shortest_path
 
 #: (pattern, what it asks for); the first that fits is taken.
@@ -28,8 +28,8 @@ QUESTIONS = [
 VERBS = {"is a": "is_a", "is an": "is_a", "causes": "causes", "depends on": "depends_on", "runs on": "runs_on", "uses": "uses", "was developed at": "developed_at"}
 
 
-def ask(g: Graph, question: str, limit: int = 10) -> tuple[str, DataFrame]:
-    """(interpretation, results)."""
+def ask(g: Graph, question: str, limit: int = 10, vectors: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """(interpretation, results). With ``vectors`` (id: a label, embedding) things are like each other by cosine; a thing without a vector is compared by its words."""
     text = question.strip().rstrip("?.! ")
     for pattern, what in QUESTIONS:
         m = re.fullmatch(pattern, text, re.I)
@@ -43,6 +43,11 @@ def ask(g: Graph, question: str, limit: int = 10) -> tuple[str, DataFrame]:
             return kind, found.where(F.col("rel") == rel) if rel else found
         if kind == "lookup":
             return kind, node_detail(g, re.sub(r"^(?:an?|the) ", "", m[1], flags=re.I))
+        if kind == "similar" and vectors is not None:
+            own = vectors.where((F.lower("id") == m[1].lower()) & F.col("embedding").isNotNull()).first()
+            if own is not None:
+                live = vectors.join(g.live_nodes().select(F.col("label").alias("id")), "id", "left_semi").where(F.col("id") != own.id)
+                return kind, knn(live, [float(x) for x in own.embedding], limit)
         return kind, bm25(searchable(g.live_nodes()), m[1], limit)
     return "search", bm25(searchable(g.live_nodes()), text, limit)
 

@@ -14,8 +14,8 @@ from ..graph import cut_lineage
 from ..functions.text import cosine, dot, quantized, scale_of, tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
-#: So many queries are sent to the executors at once, and so many vectors meet them at once.
-QUERY_BLOCK, ROW_BLOCK = 1024, 2048
+#: Queries of a block, vectors that meet it at once, and blocks that one scan of the vectors is asked for (16,384 queries).
+QUERY_BLOCK, ROW_BLOCK, SCAN_BLOCKS = 1024, 2048, 16
 #: Parts that the neighbours of a hub are dealt to.
 SALTS = 16
 
@@ -61,26 +61,6 @@ def quantize(vectors: DataFrame) -> DataFrame:
     return vectors.withColumns({"q_scale": F.expr(scale_of("embedding")), "q": F.expr(quantized("embedding"))})
 
 
-def knn_int8(stored: DataFrame, query: list[float], limit: int = 10, widen: int = 10) -> DataFrame:
-    """Candidates by the int8 copies, then exact cosine of the best ``widen`` times ``limit``."""
-    own = stored.withColumn("_q", F.array(*map(F.lit, query))).withColumn("_qq", F.expr(quantized("_q")))
-    rough = own.withColumn("_r", F.round(F.expr(f"{dot('q', '_qq')} / sqrt({dot('q', 'q')})"), 6))
-    best = rough.orderBy(F.desc("_r"), "id").limit(limit * widen)
-    return best.select("id", F.round(F.expr(cosine("embedding", "_q")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
-
-
-def ann(vectors: DataFrame, query: list[float], limit: int = 10, buckets: float = 0.5, tables: int = 8) -> DataFrame:
-    """Approximate neighbours by random projections of unit vectors; (id, distance)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    unit = vectors.select("id", array_to_vector(F.expr(f"transform(embedding, x -> cast(x AS double) / sqrt({dot('embedding', 'embedding')}))")).alias("v"))
-    norm = sum(x * x for x in query) ** 0.5 or 1.0
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=buckets, numHashTables=tables, seed=11).fit(unit)
-    return model.approxNearestNeighbors(unit, Vectors.dense([x / norm for x in query]), limit).select("id", F.col("distCol").alias("distance"))
-
-
 def _matrix(column: pa.ListArray) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
@@ -104,40 +84,51 @@ def _best(query: np.ndarray, ids: np.ndarray, key: np.ndarray, score: np.ndarray
 def _nearest(vectors: DataFrame, queries: DataFrame, keep: int, compare) -> DataFrame:
     """(query, id, key, score): for each row of ``queries`` the ``keep`` rows of the greatest key among all of ``vectors``.
 
-    Blocks of queries are sent to every task, which returns its own best rows of each; only these are shuffled. ``compare`` takes
+    Blocks of queries are broadcast, several for one scan, and every task returns its own best rows of each; only these are shuffled. ``compare`` takes
     columns of both sides as matrices to (key, score), each queries by rows; a key of -inf is no candidate.
     """
     columns = [c for c in vectors.columns if c != "id"]
+    context = vectors.sparkSession.sparkContext
 
-    def scan(names: np.ndarray, own: dict[str, np.ndarray]):
+    def scan(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+            blocks = sent.value
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)) for _ in blocks]
             for batch in batches:
                 for at in range(0, batch.num_rows, ROW_BLOCK):
                     part = batch.slice(at, ROW_BLOCK)
                     ids = part.column("id").to_numpy(zero_copy_only=False)
-                    key, score = compare(own, {c: _matrix(part.column(c)) for c in columns})
-                    key = np.round(key, 6)
-                    n = min(keep, len(ids))
-                    least = -np.partition(-key, n - 1, axis=1)[:, n - 1 : n]
-                    q, r = np.nonzero((key >= least) & (key > -np.inf))
-                    best = _best(*(np.concatenate(x) for x in zip(best, (q, ids[r], key[q, r], np.round(score[q, r], 6)))), keep)
-            yield pa.RecordBatch.from_arrays([pa.array(names[best[0]], pa.int64()), *map(pa.array, best[1:])], ["query", "id", "key", "score"])
+                    rows = {c: _matrix(part.column(c)) for c in columns}
+                    for b, (_, own) in enumerate(blocks):
+                        key, score = compare(own, rows)
+                        key = np.round(key, 6)
+                        n = min(keep, len(ids))
+                        least = -np.partition(-key, n - 1, axis=1)[:, n - 1 : n]
+                        q, r = np.nonzero((key >= least) & (key > -np.inf))
+                        best[b] = _best(*(np.concatenate(x) for x in zip(best[b], (q, ids[r], key[q, r], np.round(score[q, r], 6)))), keep)
+            for (names, _), found in zip(blocks, best):
+                yield pa.RecordBatch.from_arrays([pa.array(names[found[0]], pa.int64()), *map(pa.array, found[1:])], ["query", "id", "key", "score"])
 
         return run
 
-    def block(rows: list) -> DataFrame:
-        own = {c: np.array([list(r[c]) for r in rows], dtype=np.float64) for c in columns}
-        return vectors.mapInArrow(scan(np.array([r.id for r in rows], dtype=np.int64), own), "query long, id long, key double, score double")
+    def scanned(blocks: list) -> DataFrame:
+        return vectors.mapInArrow(scan(context.broadcast(blocks)), "query long, id long, key double, score double")
+
+    def block(rows: list) -> tuple:
+        return np.array([r.id for r in rows], dtype=np.int64), {c: np.array([list(r[c]) for r in rows], dtype=np.float64) for c in columns}
 
-    found, rows = None, []
+    found, blocks, rows = None, [], []
     for row in queries.select("id", *columns).toLocalIterator():
         rows.append(row)
         if len(rows) == QUERY_BLOCK:
-            found, rows = block(rows) if found is None else found.unionByName(block(rows)), []
-    if rows or found is None:
-        last = block(rows) if rows else vectors.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("key"), F.lit(0.0).alias("score")).limit(0)
-        found = last if found is None else found.unionByName(last)
+            blocks, rows = [*blocks, block(rows)], []
+        if len(blocks) == SCAN_BLOCKS:
+            found, blocks = scanned(blocks) if found is None else found.unionByName(scanned(blocks)), []
+    blocks = [*blocks, block(rows)] if rows else blocks
+    if blocks:
+        found = scanned(blocks) if found is None else found.unionByName(scanned(blocks))
+    if found is None:
+        return vectors.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("key"), F.lit(0.0).alias("score")).limit(0)
     return _first(found, "key", keep)
 
 
@@ -160,33 +151,6 @@ def knn_block(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFr
     return _nearest(_usable(vectors), _usable(queries), limit, compare).select("query", "id", "score")
 
 
-def knn_int8_block(vectors: DataFrame, queries: DataFrame, limit: int = 10, widen: int = 10) -> DataFrame:
-    """(query, id, score): ``knn_int8`` for every row of ``queries`` (id, embedding); exact cosines are counted in the same scan."""
-
-    def compare(own: dict, rows: dict):
-        rough = own["q"] @ (rows["q"] / np.linalg.norm(rows["q"], axis=1, keepdims=True)).T
-        return rough, _cosines(own, rows)
-
-    stored, asked = (quantize(_usable(x).select("id", "embedding")).drop("q_scale") for x in (vectors, queries))
-    return _first(_nearest(stored, asked, limit * widen, compare), "score", limit).select("query", "id", "score")
-
-
-def ann_block(vectors: DataFrame, queries: DataFrame, limit: int = 10, buckets: float = 0.5, tables: int = 8) -> DataFrame:
-    """(query, id, distance) of unit vectors for every row of ``queries``, among the rows that share a bucket of a random projection."""
-
-    def compare(own: dict, rows: dict):
-        lines = np.random.default_rng(11).normal(size=(own["embedding"].shape[1], tables))
-        lines /= np.linalg.norm(lines, axis=0)
-        q, r = (np.floor(_unit(x["embedding"]) @ lines / buckets) for x in (own, rows))
-        shared = np.zeros((len(q), len(r)), dtype=bool)
-        for t in range(tables):
-            shared |= q[:, t, None] == r[None, :, t]
-        distance = np.sqrt(np.maximum(2 - 2 * _cosines(own, rows), 0))
-        return np.where(shared, -distance, -np.inf), distance
-
-    return _nearest(_usable(vectors), _usable(queries), limit, compare).select("query", "id", F.col("score").alias("distance"))
-
-
 def rank_fusion(*ranked: DataFrame, k: int = RRF_K, limit: int = 10) -> DataFrame:
     """(id, score): sum of 1 / (k + rank) over lists of (id, score), as from ``bm25`` and ``knn`` with a limit."""
     lists = None

@@ -21,13 +21,19 @@ def start_of(g: Graph, label: str) -> DataFrame:
     return g.live_nodes().where(F.col("label_key") == label.lower()).select("label")
 
 
-def bfs(g: Graph, start: str, depth: int = 2, direction: str = "both", min_confidence: float = 0.0, min_edge_confidence: float = 0.0) -> DataFrame:
-    """(label, depth) of all nodes within ``depth`` steps, with their least depth. Nodes below ``min_confidence`` stop the walk; the start stays."""
-    moves = cut_lineage(steps(g, direction, min_edge_confidence).select("a", "b"))
+#: Walks of so many steps at most read the graph's edges as they are, since each round's small frontier is sent to their scans; longer ones write the moves once.
+SHORT_WALK = 2
+
+
+def bfs(g: Graph, start: str, depth: int | None = 2, direction: str = "both", min_confidence: float = 0.0, min_edge_confidence: float = 0.0) -> DataFrame:
+    """(label, depth) of all nodes within ``depth`` steps (None: of all that can be reached), with their least depth. Nodes below ``min_confidence`` stop the walk; the start stays."""
+    moves = steps(g, direction, min_edge_confidence).select("a", "b")
+    moves = moves if depth is not None and depth <= SHORT_WALK else cut_lineage(moves)
     sure = g.live_nodes().where(F.col("confidence") >= min_confidence).select("label") if min_confidence > 0 else None
     seen = cut_lineage(start_of(g, start).withColumn("depth", F.lit(0)))
-    frontier = seen
-    for k in range(1, depth + 1):
+    frontier, k = seen, 0
+    while depth is None or k < depth:
+        k += 1
         near = moves.join(frontier.select(F.col("label").alias("a")), "a", "left_semi").select(F.col("b").alias("label")).distinct()
         near = near.join(seen, "label", "left_anti")
         if sure is not None:
@@ -47,8 +53,8 @@ def bfs_edges(g: Graph, found: DataFrame, depth: int) -> DataFrame:
     return near.drop("_src", "_dst")
 
 
-def reach(g: Graph, start: str, direction: str = "in", max_depth: int = 10) -> DataFrame:
-    """All that is reachable, without the start: what depends on it (in), or what it depends on (out)."""
+def reach(g: Graph, start: str, direction: str = "in", max_depth: int | None = None) -> DataFrame:
+    """All that is reachable, without the start: what depends on it (in), or what it depends on (out). ``max_depth`` is for callers who want less."""
     return bfs(g, start, max_depth, direction).where("depth > 0")
 
 
@@ -79,24 +85,24 @@ def all_paths(g: Graph, start: str, end: str, max_edges: int = 5, limit: int = 1
     return paths(g, start, end, max_edges, direction).withColumn("path", F.array_join("path", " > ")).orderBy("hops", "path").limit(limit)
 
 
-def shortest_path(g: Graph, start: str, end: str, max_edges: int = 20, direction: str = "both") -> DataFrame:
-    """(path, hops, confidence) of one shortest path, the first by name of equals; a walk by levels that keeps one path for each node."""
+def shortest_path(g: Graph, start: str, end: str, max_edges: int | None = None, direction: str = "both") -> DataFrame:
+    """(path, hops, confidence) of one shortest path, the first by name of equals; a walk by levels that keeps one path for each node, until the end or
+    all that can be reached is found (or ``max_edges`` steps, where given)."""
     moves = cut_lineage(steps(g, direction).where("a <> b").groupBy("a", "b").agg(F.max("confidence").alias("confidence")))
     target = start_of(g, end).select(F.col("label").alias("_end"))
     goal = target.first()
     now = cut_lineage(start_of(g, start).select(F.col("label").alias("a"), F.col("label").alias("path"), F.lit(1.0).alias("p")))
-    seen = now.select(F.col("a").alias("b"))
-    for k in range(1, max_edges + 1):
-        if goal is None or now.where(F.col("a") == goal[0]).isEmpty() is False:
-            break
+    seen, k = now.select(F.col("a").alias("b")), 0
+    while goal is not None and now.where(F.col("a") == goal[0]).isEmpty() and (max_edges is None or k < max_edges):
+        k += 1
         wide = now.join(moves, "a").join(seen, "b", "left_anti")
         best = wide.groupBy("b").agg(F.min_by(F.struct("path", (F.col("p") * F.col("confidence")).alias("p")), "path").alias("_s"))
         now = cut_lineage(best.select(F.col("b").alias("a"), F.concat_ws(" > ", "_s.path", "b").alias("path"), F.col("_s.p").alias("p")))
         if now.isEmpty():
             break
         seen = seen.unionByName(now.select(F.col("a").alias("b")))
-    hops = F.size(F.split("path", " > ")) - 1
-    return now.join(target, F.col("a") == F.col("_end"), "left_semi").where(F.col("path").contains(" > ")).select("path", hops.alias("hops"), F.col("p").alias("confidence"))
+    found = now.join(target, F.col("a") == F.col("_end"), "left_semi")
+    return found.select("path", F.lit(k).alias("hops"), F.col("p").alias("confidence")).where("hops > 0")
 
 
 def influence(g: Graph, start: str, end: str, max_edges: int = 4) -> DataFrame:

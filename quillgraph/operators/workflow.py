@@ -10,11 +10,13 @@ from pyspark.sql.window import Window
 
 from ..graph import DEFAULT_CONFIDENCE, Graph, cut_lineage
 from . import ingest as steps
+from .components import connected_components
 from .filters import cleared
-from .learn import contradictions
+from .learn import contradiction_witnesses
+from .similar import keep_first
 
-#: Stages of an ingest, in order; all but the first can be skipped.
-STAGES = ("dedup", "extract", "resolve", "relations", "conflicts", "store")
+#: Stages of an ingest, in order; each can be skipped, though nothing is found without ``extract``.
+STAGES = ("dedup", "coref", "extract", "resolve", "relations", "conflicts", "store")
 
 
 def analyze_text(docs: DataFrame, known: DataFrame, config: steps.IngestConfig = steps.IngestConfig()) -> tuple[DataFrame, DataFrame]:
@@ -27,38 +29,48 @@ def analyze_text(docs: DataFrame, known: DataFrame, config: steps.IngestConfig =
     spare = spare.join(known.select(F.lower("label").alias("_l")).distinct(), F.lower("label") == F.col("_l"), "left_anti")
     spare = spare.select("doc", "label", F.lit("concept").alias("type"), F.lit(0.50).alias("confidence"))
     mentions = named.unionByName(spare).where(F.col("confidence") >= config.min_entity_confidence)
-    relations = steps.pattern_relations(steps.sentences(docs)).withColumn("confidence", F.lit(0.60))
+    relations = steps.pattern_relations(steps.sentences(docs), config.templates).withColumn("confidence", F.lit(0.60))
     return mentions, relations
 
 
 def ingest_texts(g: Graph, docs: DataFrame, known: DataFrame, singular: list[str] = (), config: steps.IngestConfig = steps.IngestConfig()) -> tuple[Graph, DataFrame]:
     """The graph after texts (doc, text), and (stage, n): what each stage that wasn't skipped found.
 
-    dedup: the texts that differ; extract: mentions; resolve: labels that mean the same become one; relations: by patterns, whose ends become nodes;
-    conflicts: values of a relation in ``singular`` that contradict each other; store: nodes and edges that are new.
+    dedup: the texts that are left when copies and near-copies are gone; coref: pronouns that got their names; extract: mentions; resolve: labels that another one now stands for;
+    relations: by patterns and templates, whose ends become nodes; conflicts: values of a relation in ``singular`` that hold while another one does;
+    store: nodes and edges that the graph didn't have. A second run of the same texts adds nothing.
     """
     counts: list[DataFrame] = []
 
     def told(stage: str, df: DataFrame) -> None:
         counts.append(df.agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("n")))
 
+    docs = docs.select("doc", "text")
     if "dedup" not in config.skip:
-        docs = docs.join(steps.drop_copies(docs).select("doc"), "doc", "left_semi")
+        differ = docs.join(steps.drop_copies(docs).select("doc"), "doc", "left_semi")
+        docs = cut_lineage(keep_first(differ.withColumnRenamed("doc", "id"), config.dedup_threshold).withColumnRenamed("id", "doc"))
         told("dedup", docs)
+    if config.enable_coref and "coref" not in config.skip:
+        docs = cut_lineage(steps.name_pronouns(docs, known))
+        counts.append(docs.agg(F.lit("coref").alias("stage"), F.coalesce(F.sum("pronouns"), F.lit(0)).alias("n")))
+        docs = docs.drop("pronouns")
     mentions, relations = analyze_text(docs, known, config)
-    mentions = cut_lineage(mentions)
-    told("extract", mentions)
+    mentions = cut_lineage(mentions if "extract" not in config.skip else mentions.limit(0))
+    if "extract" not in config.skip:
+        told("extract", mentions)
+    relations = cut_lineage(relations if "relations" not in config.skip else relations.limit(0))
     if "resolve" not in config.skip:
-        same = steps.resolve_entities(mentions.select("label"), config.dedup_threshold).groupBy(F.col("b").alias("label")).agg(F.min("a").alias("_first"))
-        mentions = cut_lineage(mentions.join(same, "label", "left").withColumn("label", F.coalesce("_first", "label")).drop("_first"))
-        told("resolve", mentions.select("label").distinct())
-    relations = relations.limit(0) if "relations" in config.skip else cut_lineage(relations)
+        labels = mentions.select("label").unionByName(relations.select(F.explode(F.array("src", "dst")).alias("label"))).distinct()
+        names = cut_lineage(canonical_names(g, labels, config.dedup_threshold))
+        mentions = _renamed(mentions, names, "label")
+        relations = _renamed(_renamed(relations, names, "src"), names, "dst")
+        told("resolve", names)
     told("relations", relations)
-    edges = relations.groupBy("src", "rel", "dst").agg(F.max("confidence").alias("confidence"))
+    edges = cut_lineage(relations.groupBy("src", "rel", "dst").agg(F.max("confidence").alias("confidence")))
     if "conflicts" not in config.skip:
         none = F.lit(None).cast("timestamp")
         both = edges.select("src", "rel", "dst").unionByName(g.live_edges().select("src", "rel", "dst"))
-        told("conflicts", contradictions(both.withColumns({"valid_from": none, "valid_to": none}), list(singular)))
+        told("conflicts", contradiction_witnesses(both.withColumns({"valid_from": none, "valid_to": none}), list(singular)))
     if "store" in config.skip:
         out = g
     else:
@@ -66,14 +78,49 @@ def ingest_texts(g: Graph, docs: DataFrame, known: DataFrame, singular: list[str
         ends = edges.select(F.explode(F.array("src", "dst")).alias("label")).distinct().select("label", F.lit("concept").alias("type"), F.lit(0.50).alias("confidence"))
         grown = g.store(nodes.unionByName(ends.join(nodes.select(F.lower("label").alias("_l")), F.lower("label") == F.col("_l"), "left_anti")))
         grown = Graph(cut_lineage(grown.nodes), grown.edges)
-        out, _ = grown.relate(edges)
-        told("store", grown.nodes.join(g.nodes.select("label_key"), "label_key", "left_anti").select("label").unionByName(edges.select(F.col("src").alias("label"))))
+        held = g.live_edges().select(F.lower("src").alias("_s"), F.col("rel").alias("_r"), F.lower("dst").alias("_d")).distinct()
+        fresh = cut_lineage(edges.join(held, (F.lower("src") == F.col("_s")) & (F.col("rel") == F.col("_r")) & (F.lower("dst") == F.col("_d")), "left_anti"))
+        out, _ = grown.relate(fresh)
+        told("store", grown.nodes.join(g.nodes.select("label_key"), "label_key", "left_anti").select("label").unionByName(fresh.select(F.col("src").alias("label"))))
     every = counts[0]
     for c in counts[1:]:
         every = every.unionByName(c)
     return out, every
 
 
+def canonical_names(g: Graph, labels: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(label, name) of the labels that another one stands for: of each class of labels that mean the same, the least that the graph has, else the least."""
+    roots = connected_components(steps.resolve_entities(labels, threshold).select("a", "b"))
+    stored = g.live_nodes().select("label_key", F.col("label").alias("_stored"))
+    classed = roots.join(stored, F.lower("node") == F.col("label_key"), "left")
+    names = classed.groupBy("root").agg(F.coalesce(F.min("_stored"), F.first("root")).alias("name"))
+    return classed.join(names, "root").select(F.col("node").alias("label"), "name").where("label <> name")
+
+
+def _renamed(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    own = names.select(F.col("label").alias(column), F.col("name").alias("_name"))
+    return df.join(own, column, "left").withColumn(column, F.coalesce("_name", column)).select(*df.columns).distinct()
+
+
+def commit_review(g: Graph, staged: DataFrame, decisions: DataFrame) -> tuple[Graph, DataFrame]:
+    """The graph with the staged relations (idx, src, rel, dst, confidence) that decisions (idx, action, new_rel) accept or modify, and those that stay staged.
+
+    Ends that aren't nodes yet become concepts; an edge that the graph has is confirmed with the greater confidence, not doubled.
+    """
+    taken = cut_lineage(steps.review(staged, decisions).groupBy("src", "rel", "dst").agg(F.max("confidence").alias("confidence")))
+    ends = taken.select(F.explode(F.array("src", "dst")).alias("label")).distinct().select("label", F.lit("concept").alias("type"), F.lit(0.50).alias("confidence"))
+    grown = g.store(ends)
+    grown = Graph(cut_lineage(grown.nodes), g.edges)
+    key = [F.lower("src"), F.col("rel"), F.lower("dst")]
+    named = taken.select(*(c.alias(n) for c, n in zip(key, ("_s", "_r", "_d"))), F.col("confidence").alias("_sure")).groupBy("_s", "_r", "_d").agg(F.max("_sure").alias("_sure"))
+    own = (F.lower("src") == F.col("_s")) & (F.col("rel") == F.col("_r")) & (F.lower("dst") == F.col("_d"))
+    live = ~F.coalesce("deleted", F.lit(False))
+    kept = g.edges.join(named, own, "left").withColumn("confidence", F.when(F.col("_sure").isNotNull() & live, F.greatest("confidence", "_sure")).otherwise(F.col("confidence"))).select(*g.edges.columns)
+    held = g.live_edges().select(*(c.alias(n) for c, n in zip(key, ("_s", "_r", "_d")))).distinct()
+    out, _ = Graph(grown.nodes, cut_lineage(kept)).relate(taken.join(held, own, "left_anti"))
+    return out, staged.join(decisions.select("idx"), "idx", "left_anti")
+
+
 def coreference(mentions: DataFrame) -> DataFrame:
     """Mentions (doc, place, label, type) whose missing labels (pronouns) are the last label of the same type before them in the document."""
     before = Window.partitionBy("doc", "type").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)

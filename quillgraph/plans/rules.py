@@ -93,10 +93,17 @@ def confidence_of(text: str | None, edges: int) -> Column:
     return F.least(*cols) if len(cols) > 1 else cols[0] if cols else F.lit(1.0)
 
 
-def matches(rule: Rule, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _labels(kind: str, a: list[str], nodes: DataFrame) -> DataFrame:
+    """(v_X) of the nodes that meet a condition on properties or confidence."""
+    holds = F.element_at("props", F.lit(a[1])) == a[2] if kind == "prop" else F.expr(f"confidence {a[1]} {float(a[2])!r}")
+    return nodes.where(holds).select(F.col("label").alias(f"v_{a[0]}"))
+
+
+def matches(rule: Rule, sources: list[DataFrame], first: int = 0) -> DataFrame:
     """Bindings of a rule's variables (columns v_X) with the confidences e1, e2, ... of its edges, and for how many matches each stands (n).
 
-    A variable that one edge condition alone has, and no result, needs no binding of its own: such edges are counted for each
+    ``sources`` has a table for each condition: edges (src, rel, dst, confidence), or labels (v_X). The join begins with condition ``first`` and goes on
+    to those that share a variable. A variable that one edge condition alone has, and no result, needs no binding of its own: such edges are counted for each
     binding of their other end first, with the greatest confidence among them (results keep the surest match). So three conditions on
     one hub join three rows, not the cube of its edges.
     """
@@ -104,28 +111,66 @@ def matches(rule: Rule, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for kind, *a in [*rule.body, *rule.heads]:
         for v in (a[0], a[2]) if kind == "edge" else (a[0],):
             uses[v] = uses.get(v, 0) + 1
-    out, bound, n = None, set(), 0
-    for kind, *a in sorted(rule.body, key=lambda x: x[0] != "edge"):
-        if kind == "edge":
-            n += 1
-            own = edges.where(F.col("rel") == a[1]).select(F.col("src").alias(f"v_{a[0]}"), F.col("dst").alias("_d" if a[0] == a[2] else f"v_{a[2]}"), F.col("confidence").alias(f"e{n}"))
-            own = own.where(F.col(f"v_{a[0]}") == F.col("_d")).drop("_d") if a[0] == a[2] else own
-            free = [v for v in (a[2], a[0]) if uses[v] == 1 and a[0] != a[2]][:1]
-            if free:
-                kept = a[0] if free[0] == a[2] else a[2]
-                own = own.groupBy(f"v_{kept}").agg(F.max(f"e{n}").alias(f"e{n}"), F.count(F.lit(1)).alias(f"_n{n}"))
-            keys = [f"v_{v}" for v in dict.fromkeys((a[0], a[2])) if v in bound]
-            if out is not None and not keys:
-                raise ValueError(f"rule {rule.name}: edge({a[0]}, {a[1]}, {a[2]}) shares no variable with the ones before it")
-            out = own if out is None else out.join(own, keys)
-            bound |= {a[0], a[2]} - set(free)
-        else:
-            holds = F.element_at("props", F.lit(a[1])) == a[2] if kind == "prop" else F.expr(f"confidence {a[1]} {float(a[2])!r}")
-            own = nodes.where(holds).select(F.col("label").alias(f"v_{a[0]}"))
-            out = own if out is None else out.join(own, f"v_{a[0]}", "left_semi")
+    number = {i: k for k, i in enumerate((i for i, x in enumerate(rule.body) if x[0] == "edge"), 1)}
+    out, bound, left = None, set(), list(range(len(rule.body)))
+    while left:
+        ready = [i for i in left if out is None and i == first or out is not None and {v for v in (rule.body[i][1], *(rule.body[i][3:] if i in number else ())) if v in bound}]
+        if not ready:
+            raise ValueError(f"rule {rule.name}: {rule.body[left[0]][0]}({', '.join(rule.body[left[0]][1:])}) shares no variable with the ones before it")
+        i = min(ready, key=lambda i: (i in number, i))  # conditions on nodes leave fewer rows to join
+        left.remove(i)
+        kind, *a = rule.body[i]
+        if i not in number:
+            out = sources[i] if out is None else out.join(sources[i], f"v_{a[0]}", "left_semi")
             bound.add(a[0])
+            continue
+        e = f"e{number[i]}"
+        own = sources[i].where(F.col("rel") == a[1]).select(F.col("src").alias(f"v_{a[0]}"), F.col("dst").alias("_d" if a[0] == a[2] else f"v_{a[2]}"), F.col("confidence").alias(e))
+        own = own.where(F.col(f"v_{a[0]}") == F.col("_d")).drop("_d") if a[0] == a[2] else own
+        free = [v for v in (a[2], a[0]) if uses[v] == 1 and a[0] != a[2]][:1]
+        if free:
+            kept = a[0] if free[0] == a[2] else a[2]
+            own = own.groupBy(f"v_{kept}").agg(F.max(e).alias(e), F.count(F.lit(1)).alias(f"_n{number[i]}"))
+        keys = [f"v_{v}" for v in dict.fromkeys((a[0], a[2])) if v in bound]
+        out = own if out is None else out.join(own, keys)
+        bound |= {a[0], a[2]} - set(free)
+    columns = [*(f"v_{v}" for v in sorted(bound)), *(f"e{k}" for k in number.values())]
     counts = [c for c in out.columns if c.startswith("_n")]
-    return out.withColumn("n", F.expr(" * ".join(counts) or "1L").cast("long")).drop(*counts)
+    return out.select(*columns, F.expr(" * ".join(counts) or "1L").cast("long").alias("n"))
+
+
+@dataclass
+class _State:
+    """Nodes and edges, what they were before the last round, and what it added."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    old_nodes: DataFrame | None = None
+    old_edges: DataFrame | None = None
+    new_edges: DataFrame | None = None
+    changed: set[str] | None = None  #: relations that grew, and "" for properties; None: all is new
+
+
+def new_matches(rule: Rule, state: _State) -> DataFrame | None:
+    """Matches that hold something of the last round: for each condition that it changed, new rows there, old ones in the conditions before
+    and all in those behind it, so that no match comes twice. None: nothing that the rule reads has changed."""
+    reads = [a[1] if kind == "edge" else "" if kind == "prop" else None for kind, *a in rule.body]
+
+    def whole(i: int, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        kind, *a = rule.body[i]
+        return edges if kind == "edge" else _labels(kind, a, nodes)
+
+    if state.changed is None:
+        return matches(rule, [whole(i, state.nodes, state.edges) for i in range(len(reads))])
+    out = None
+    for i, name in enumerate(reads):
+        if name not in state.changed:
+            continue
+        sources = [whole(j, state.old_nodes if j < i else state.nodes, state.old_edges if j < i else state.edges) for j in range(len(reads))]
+        sources[i] = state.new_edges if name else sources[i].join(whole(i, state.old_nodes, state.old_edges), sources[i].columns, "left_anti")
+        part = matches(rule, sources, i)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @dataclass
@@ -141,7 +186,8 @@ def derive(g: Graph, text: str, max_rounds: int = 10, derived_cap: float | None
     """Apply all rules until nothing new comes, ``max_rounds`` at most; ``rounds`` equal to it says that they may have been cut.
 
     Edges, properties and flags that exist are skipped, so what an early round found stays; of equal results of one round the surest
-    is kept. Each round joins all edges again: ``fired`` counts matches of all rounds, which new edges alone don't give.
+    is kept. After the first round only matches that hold a new edge or property are joined (semi-naive); ``fired`` counts the matches of every
+    round, for which the old ones' number is carried on.
     """
     spark, rules = g.spark, parse(text)
     nodes, edges = g.live_nodes().select("label", "props", "confidence"), g.live_edges().select("src", "rel", "dst", "confidence")
@@ -151,18 +197,18 @@ def derive(g: Graph, text: str, max_rounds: int = 10, derived_cap: float | None
     found = spark.createDataFrame([], "src string, rel string, dst string, confidence double, derived_by string, round int")
     flags = spark.createDataFrame([], "label string, reason string, rule_no int")
     fired = done = 0
-    changed: set[str] | None = None  # relations that grew in the last round, and "" for properties; None: all
-    last: dict[int, int] = {}
+    state = _State(nodes, edges)
+    standing = [0] * len(rules)  # matches of each rule so far
     for done in range(1, max_rounds + 1):
         new_edges = new_flags = new_props = None
         for number, r in enumerate(rules):
-            reads = {a[1] if kind == "edge" else "" for kind, *a in r.body}
-            if changed is not None and not reads & changed:
-                fired += last[number]  # the same matches as before, and nothing new
+            m = new_matches(r, state)
+            if m is None:
+                fired += standing[number]
                 continue
-            m = cut_lineage(matches(r, nodes, edges))
-            last[number] = m.agg(F.sum("n")).first()[0] or 0
-            fired += last[number]
+            m = cut_lineage(m)
+            standing[number] += m.agg(F.sum("n")).first()[0] or 0
+            fired += standing[number]
             n = sum(kind == "edge" for kind, *_ in r.body)
             for kind, *a in r.heads:
                 if kind == "edge":
@@ -177,29 +223,32 @@ def derive(g: Graph, text: str, max_rounds: int = 10, derived_cap: float | None
                     own = m.select(F.col(f"v_{a[0]}").alias("label"), F.lit(a[1]).alias("_k"), F.lit(a[2]).alias("_v")).distinct()
                     new_props = own if new_props is None else new_props.unionByName(own)
         grown, changed = False, set()
+        state = _State(state.nodes, state.edges, state.nodes, state.edges)
         if new_edges is not None:
             best = new_edges.groupBy("src", "rel", "dst").agg(F.max_by(F.struct("confidence", "derived_by"), F.struct("confidence", "derived_by")).alias("_b"))
-            fresh = cut_lineage(best.select("src", "rel", "dst", "_b.*").join(edges, ["src", "rel", "dst"], "left_anti").withColumn("round", F.lit(done)))
+            fresh = cut_lineage(best.select("src", "rel", "dst", "_b.*").join(state.edges, ["src", "rel", "dst"], "left_anti").withColumn("round", F.lit(done)))
             changed = {x.rel for x in fresh.select("rel").distinct().collect()}
             if changed:
                 grown = True
                 found = found.unionByName(fresh)
-                edges = edges.unionByName(fresh.select("src", "rel", "dst", "confidence"))
+                state.new_edges = fresh.select("src", "rel", "dst", "confidence")
+                state.edges = state.edges.unionByName(state.new_edges)
         if new_flags is not None:
             fresh = cut_lineage(new_flags.join(flags, ["label", "reason", "rule_no"], "left_anti"))
             grown |= not fresh.isEmpty()
             flags = flags.unionByName(fresh)
         if new_props is not None:
             own = new_props.groupBy("label").agg(F.map_from_entries(F.collect_set(F.struct("_k", "_v"))).alias("_p"))
-            joined = cut_lineage(nodes.join(own, "label", "left").withColumn("_new", F.coalesce(F.size(F.map_filter("_p", lambda k, v: ~F.coalesce(F.map_contains_key("props", k), F.lit(False)))), F.lit(0)) > 0))
+            joined = cut_lineage(state.nodes.join(own, "label", "left").withColumn("_new", F.coalesce(F.size(F.map_filter("_p", lambda k, v: ~F.coalesce(F.map_contains_key("props", k), F.lit(False)))), F.lit(0)) > 0))
             if not joined.where("_new").isEmpty():
                 grown = True
                 changed |= {""}
-            nodes = joined.withColumn("props", F.when(F.col("_new"), F.map_concat(F.map_filter("_p", lambda k, v: ~F.map_contains_key("props", k)), "props")).otherwise(F.col("props"))).drop("_p", "_new")
+            state.nodes = joined.withColumn("props", F.when(F.col("_new"), F.map_concat(F.map_filter("_p", lambda k, v: ~F.map_contains_key("props", k)), "props")).otherwise(F.col("props"))).drop("_p", "_new")
+        state.changed = changed
         if not grown:
             break
     last = flags.groupBy("label").agg(F.max_by("reason", "rule_no").alias("_flag"))
-    kept = g.nodes.drop("props").join(nodes.select("label", "props"), "label", "left").join(last, "label", "left")
+    kept = g.nodes.drop("props").join(state.nodes.select("label", "props"), "label", "left").join(last, "label", "left")
     flagged = F.when(F.col("_flag").isNotNull(), F.map_concat(F.map_filter("props", lambda k, v: k != "_flag"), F.create_map(F.lit("_flag"), "_flag"))).otherwise(F.col("props"))
     out = Graph(kept.withColumn("props", flagged).drop("_flag").select(*g.nodes.columns), g.edges.unionByName(shaped(found.withColumns({"source": F.lit("derived"), "deleted": F.lit(False)}), EDGE)))
     return Derived(out, found, flags, fired, done)

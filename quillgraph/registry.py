@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import analyze, filters, ingest, language, learn, search, temporal, traverse
+from .functions.text import tokens
+from .operators import analyze, filters, ingest, language, learn, search, temporal, traverse, vector_index
 from .plans.rules import derive
 from .sources.files import html_tables, subgraph_json, to_jsonld
 from .sources.star import from_star, label, table
@@ -288,12 +289,16 @@ def quantize(spark, sf_dir):
 
 @query()
 def knn_int8(spark, sf_dir):
-    return search.knn_int8_block(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)).withColumn("score", F.round("score", 4))
+    """Two stages over all vectors: int8 codes alone, then the floats of the candidates."""
+    vectors = _vectors(spark, sf_dir)
+    return vector_index.search(vector_index.build(vectors, lists=1), _query_vectors(spark, sf_dir), count=1, widen=10).withColumn("score", F.round("score", 4))
 
 
 @query()
 def ann(spark, sf_dir):
-    return search.ann_block(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)).withColumn("distance", F.round("distance", 4))
+    """The inverted-file index. The tables' vectors have no clusters (the tenth neighbour's cosine is .3 to .45), so half of the lists are probed for a recall of .95."""
+    index = vector_index.build(_vectors(spark, sf_dir))
+    return vector_index.search(index, _query_vectors(spark, sf_dir), count=-(-len(index.centres) // 2)).withColumn("score", F.round("score", 4))
 
 
 @query(BM25_SQL + f""", {KNN_SQL}, r1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM scored WHERE score > 0 QUALIFY r <= 100),
@@ -405,6 +410,22 @@ def contradiction_scan(spark, sf_dir):
     return learn.contradictions(_statuses(spark, sf_dir), ["priority"])
 
 
+@query(f"""WITH {FACTS_SQL}, d AS (SELECT DISTINCT * FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY valid_from, dst, valid_to) AS n FROM d)
+SELECT x.src, x.rel, x.dst, strftime(x.valid_from, '%Y-%m-%d') AS valid_from, arg_max(y.dst, {{'e': y.valid_to, 'v': y.dst}}) AS other, strftime(max(y.valid_to), '%Y-%m-%d') AS until
+FROM o x JOIN o y ON x.src = y.src AND y.n < x.n AND y.dst <> x.dst AND y.valid_to > x.valid_from GROUP BY ALL""")
+def contradiction_witnesses(spark, sf_dir):
+    found = learn.contradiction_witnesses(_statuses(spark, sf_dir), ["priority"])
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("valid_from", "until")})
+
+
+@query(f"""WITH {FACTS_SQL}, d AS (SELECT DISTINCT * FROM f), o AS (SELECT *, max(valid_to) OVER (PARTITION BY src ORDER BY valid_from, dst, valid_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM d),
+s AS (SELECT *, sum((top IS NULL OR top <= valid_from)::INT) OVER (PARTITION BY src ORDER BY valid_from, dst, valid_to ROWS UNBOUNDED PRECEDING) AS span FROM o)
+SELECT src, rel, strftime(min(valid_from), '%Y-%m-%d') AS since, strftime(max(valid_to), '%Y-%m-%d') AS until, count(DISTINCT dst) AS values, count(*) AS rows FROM s GROUP BY src, rel, span HAVING count(DISTINCT dst) > 1""")
+def contradiction_classes(spark, sf_dir):
+    found = learn.contradiction_classes(_statuses(spark, sf_dir), ["priority"])
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("since", "until")})
+
+
 @query(f"""WITH {FACTS_SQL}, w AS (SELECT *, lag(dst) OVER (PARTITION BY src ORDER BY valid_from, dst) AS previous, lag(valid_to) OVER (PARTITION BY src ORDER BY valid_from, dst) AS ended FROM f)
 SELECT src, dst, previous, strftime(valid_from, '%Y-%m-%d') AS valid_from FROM w WHERE previous IS NOT NULL AND ended <= valid_from""")
 def succession(spark, sf_dir):
@@ -475,14 +496,13 @@ def ner_conf(spark, sf_dir):
     return ingest.mention_confidence(ingest.typed(own)).select("doc", "confidence")
 
 
-@query(r"""WITH n AS (SELECT n_name, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(n_name), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS k FROM nation),
-t AS (SELECT conv_id, turn, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text, '') || ' from ' || role), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS w FROM conversations),
-g AS (SELECT 'user' AS label, ' user ' AS k UNION ALL SELECT 'from assistant', ' from assistant ')
-SELECT label, count(*) AS n FROM t JOIN g ON contains(w, k) GROUP BY label""")
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT DISTINCT array_to_string(w[1 : 1 + doc_id % 60], ' ') AS label FROM t WHERE len(w) > 0), s AS (SELECT ' ' || array_to_string(w, ' ') || ' ' AS words FROM t)
+SELECT label, count(*) AS n FROM s JOIN k ON contains(words, ' ' || label || ' ') GROUP BY label""")
 def ner_gazetteer(spark, sf_dir):
-    docs = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), F.concat(F.coalesce("text", F.lit("")), F.lit(" from "), "role").alias("text"))
-    docs = docs.withColumn("doc", F.concat_ws(":", "doc", F.monotonically_increasing_id()))
-    known = spark.createDataFrame([("user", "role"), ("from assistant", "role")], "label string, type string")
+    """Names are the first one to sixty words of every document, found in all documents."""
+    docs = _docs(spark, sf_dir)
+    known = docs.select(F.array_join(F.slice(tokens("text"), F.lit(1), (F.col("doc") % 60 + 1).cast("int")), " ").alias("label"), F.lit("opening").alias("type")).where("label <> ''").distinct()
     return ingest.gazetteer_entities(docs, known).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .graph import Graph, empty
+from .graph import Graph, cut_lineage, empty
 from .operators import analyze, filters, ingest, language, learn, search, temporal, traverse, workflow
 from .plans.rules import derive, rule_table
 from .registry import BM25_SQL, QUERIES, SQL, _docs, _statuses, query
@@ -200,7 +200,7 @@ def ask_outgoing(spark, sf_dir):
     return language.ask(from_star(spark, sf_dir), "What does order:3 connect to?")[1].withColumn("confidence", F.round("confidence", 4))
 
 
-@query("WITH {G} SELECT x.src || ' > ' || x.dst || ' > ' || y.dst AS path, 2 AS hops FROM edges x JOIN edges y ON x.dst = y.src WHERE x.src = 'supplier:1'")
+@query("WITH {G} SELECT x.src || ' > ' || x.dst || ' > ' || y.dst AS path, 2 AS hops FROM edges x JOIN edges y ON x.dst = y.src WHERE x.src = 'supplier:1' AND x.rel = 'located_in' AND y.rel = 'in_region'")
 def ask_path(spark, sf_dir):
     row = table(spark, sf_dir, "supplier").where("s_suppkey = 1").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(label("region", "n_regionkey").alias("r")).first()
     return language.ask(from_star(spark, sf_dir), f"How are supplier:1 and {row.r if row else 'nothing'} related?")[1].select("path", "hops")
@@ -384,13 +384,35 @@ def analyze_only(spark, sf_dir):
     return mentions.select(F.lit("mention").alias("kind"), "doc", F.col("label").alias("a"), F.col("type").alias("b")).unionByName(relations.select(F.lit("relation").alias("kind"), "doc", F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query("""SELECT 'dedup' AS stage, count(*) AS n FROM supplier UNION ALL SELECT 'extract', count(*) FROM supplier UNION ALL SELECT 'relations', count(*) FROM supplier
-UNION ALL SELECT 'conflicts', 0 UNION ALL SELECT 'nodes', count(DISTINCT s_nationkey) + count(*) + 1 FROM supplier UNION ALL SELECT 'edges', count(*) FROM supplier""")
+#: Labels of the shipping texts and their classes: what means the same by letters, by words, or within .15 of its length in edits, and what such pairs join.
+_NAMES_SQL = r"""firms AS (SELECT 'Firm' || s_suppkey AS firm, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+labels AS (SELECT firm AS l FROM firms UNION SELECT nation FROM firms UNION SELECT 'carrier'),
+keyed AS (SELECT l, lower(l) AS k, regexp_replace(lower(l), '[^\p{L}\p{N}]+', '', 'g') AS p, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(l), '[^\p{L}\p{N}]+'), lambda x: x <> ''))), ' ') AS w FROM labels),
+same AS (SELECT x.l AS a, y.l AS b FROM keyed x JOIN keyed y ON x.l <> y.l AND (x.k = y.k OR x.p = y.p AND x.p <> '' OR x.w = y.w AND x.w <> ''
+  OR levenshtein(x.k, y.k) <= floor(0.15 * greatest(length(x.k), length(y.k)) + 1e-9))),
+reach AS (SELECT a, b FROM same UNION SELECT r.a, s.b FROM reach r JOIN same s ON s.a = r.b),
+names AS (SELECT l, least(l, coalesce(min(b), l)) AS name FROM labels LEFT JOIN reach ON a = l GROUP BY l),
+facts AS (SELECT DISTINCT f.name AS src, 'is_a' AS rel, c.name AS dst FROM firms JOIN names f ON f.l = firm JOIN names c ON c.l = 'carrier'
+  UNION SELECT DISTINCT f.name, 'ships_from', n.name FROM firms JOIN names f ON f.l = firm JOIN names n ON n.l = nation),
+per_doc AS (SELECT f.name AS src, 'is_a' AS rel, c.name AS dst FROM firms JOIN names f ON f.l = firm JOIN names c ON c.l = 'carrier' UNION ALL SELECT f.name, 'ships_from', n.name FROM firms JOIN names f ON f.l = firm JOIN names n ON n.l = nation),
+ends AS (SELECT src AS l FROM facts UNION SELECT dst FROM facts),
+sizes AS (SELECT (SELECT count(*) FROM ends) AS nodes, (SELECT count(*) FROM facts) AS edges, (SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM facts WHERE rel = 'ships_from' GROUP BY src)) AS conflicts)"""
+
+
+@query(f"""WITH RECURSIVE {_NAMES_SQL}, first AS (SELECT 'dedup' AS stage, (SELECT count(*) FROM firms) AS n UNION ALL SELECT 'coref', count(*) FROM firms UNION ALL SELECT 'extract', count(*) FROM firms
+UNION ALL SELECT 'resolve', count(*) FROM names WHERE l <> name UNION ALL SELECT 'relations', count(*) FROM per_doc UNION ALL SELECT 'conflicts', conflicts FROM sizes)
+SELECT 'first ' || stage AS stage, n::BIGINT AS n FROM first UNION ALL SELECT 'first store', (nodes + edges)::BIGINT FROM sizes UNION ALL SELECT 'second ' || stage, n::BIGINT FROM first UNION ALL SELECT 'second store', 0
+UNION ALL SELECT 'nodes', nodes::BIGINT FROM sizes UNION ALL SELECT 'edges', edges::BIGINT FROM sizes""")
 def ingest_staged(spark, sf_dir):
-    config = ingest.IngestConfig(skip=("resolve", "store_count"))
-    g, counts = workflow.ingest_texts(empty(spark), _shipping_texts(spark, sf_dir), _nation_names(spark, sf_dir), ["is_a"], config)
+    """All stages over all suppliers' texts, twice: the second run finds the same and stores nothing."""
+    config = ingest.IngestConfig(templates={"ships_from": "{head} ships from {tail}"})
+    g, told = empty(spark), []
+    for run in ("first", "second"):
+        g, counts = workflow.ingest_texts(g, _shipping_texts(spark, sf_dir), _nation_names(spark, sf_dir), ["ships_from"], config)
+        g = Graph(cut_lineage(g.nodes), cut_lineage(g.edges))
+        told.append(cut_lineage(counts).withColumn("stage", F.concat(F.lit(f"{run} "), "stage")))
     sizes = [df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n")) for name, df in (("nodes", g.nodes), ("edges", g.edges))]
-    return counts.where("stage <> 'store'").unionByName(sizes[0]).unionByName(sizes[1])
+    return told[0].unionByName(told[1]).unionByName(sizes[0]).unionByName(sizes[1])
 
 
 @query("""SELECT o_orderpriority AS step, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS accepted, 0::BIGINT AS modified, count(*) FILTER (o_orderstatus = 'P') AS rejected, count(*) FILTER (o_orderstatus = 'O') AS pending FROM orders GROUP BY 1""")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..graph import Graph
 from ..plans.rules import derive
@@ -49,6 +50,32 @@ def progress(query: StreamingQuery) -> list[dict]:
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "seconds": p["batchDuration"] / 1000} for p in query.recentProgress]
 
 
+class ProgressLog(StreamingQueryListener):
+    """Counters of all streams of a session while they run, the last ``keep`` of them, also of streams that ended or failed: add it by ``spark.streams.addListener``."""
+
+    def __init__(self, keep: int = 1000) -> None:
+        self.rows: deque[dict] = deque(maxlen=keep)
+
+    def _told(self, event: str, run, batch: int | None = None, rows: int | None = None, seconds: float | None = None, error: str | None = None) -> None:
+        self.rows.append({"event": event, "run": str(run), "batch": batch, "rows": rows, "seconds": seconds, "error": error})
+
+    def onQueryStarted(self, event) -> None:
+        self._told("started", event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._told("batch", p.runId, p.batchId, p.numInputRows, p.batchDuration / 1000)
+
+    def onQueryIdle(self, event) -> None:
+        self._told("idle", event.runId)
+
+    def onQueryTerminated(self, event) -> None:
+        self._told("failed" if event.exception else "ended", event.runId, error=event.exception)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.rows), "event string, run string, batch long, rows long, seconds double, error string")
+
+
 def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, land: Callable[[DataFrame, DataFrame, int], None]) -> StreamingQuery:
     """Hands entities and relations of each micro-batch to ``land`` with the batch's number, by which it can tell a repeated batch."""
 
