@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import connected_components
+from ..operators.components import connected_components
 from .storage import materialize
 from .textkit import LOWER, find_words, slices, text_bytes, tidy
 
