@@ -23,6 +23,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,12 @@ MIN_DOCS = 30
 SMOOTH = 5
 SCALE = 1_000_000_000
 TOP = 50
-SLICE = 24 << 20
+SLICE = 16 << 20
 #: Sources in a block, and least cells (terms by sources) of a task's matrix; it has as many terms as sources at least, for it returns every pair of sources.
 SOURCES, CELLS = 512, 1 << 16
 #: Letters lower-cased, bytes of other characters kept, all else a space.
 TERM_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
 SLICES = "slice long, lang string, source string, body binary, terms array<string>, n array<long>"
 
 
@@ -77,19 +79,21 @@ def _recount(left: pa.Table, right: pa.Table) -> pa.Table:
     kept: dict[str, list[str]] = {}
     for lang, term in zip(right.column("lang").to_pylist(), right.column("term").to_pylist()):
         kept.setdefault(lang, []).append(term)
-    out: list[tuple[str, str, str, int]] = []
+    parts = []
     for lang, terms in kept.items():
         automaton = ahocorasick.Automaton()
         for i, term in enumerate(terms):
             automaton.add_word(f" {term} ", i)
         automaton.make_automaton()
+        names = pa.array(terms, pa.string())
         mine = left.filter(pa.compute.equal(left.column("lang"), lang))
         for source, body in zip(mine.column("source").to_pylist(), mine.column("body").to_pylist()):
             text = zstandard.ZstdDecompressor().decompress(body).decode()
-            times = Counter(map(itemgetter(1), automaton.iter(f" {text} ")))
-            out += [(lang, source, terms[i], n) for i, n in times.items()]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
-    return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["lang", "source", "term", "n"])
+            times = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(f" {text} ")), np.int64), minlength=len(terms))
+            held = np.flatnonzero(times)
+            repeated = [pa.repeat(pa.scalar(x, pa.string()), len(held)) for x in (lang, source)]
+            parts.append(pa.table([*repeated, names.take(pa.array(held)), pa.array(times[held], pa.int64())], COUNTED.names))
+    return pa.concat_tables(parts) if parts else COUNTED.empty_table()
 
 
 def postings(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
