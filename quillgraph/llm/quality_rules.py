@@ -5,12 +5,13 @@ cutoff of the rule's grid, the labelled good documents beyond the cutoff are cou
 when the exact binomial test refutes "the rule rejects more than its part of ``max_false_rejection`` of
 the stratum's good documents": P(Bin(n, a) <= k) <= level. The level is divided by the number of
 all tests (rules, cutoffs and strata: Bonferroni), so with probability 1 - delta no cutoff in use breaks
-its limit; the limits of a stratum's rules sum up to ``max_false_rejection``. Of the cutoffs that
+its limit; the limits of a stratum's rules, PARTS of it, sum up to ``max_false_rejection``. Of the cutoffs that
 may be used, the lowest is taken; a rule that has none in a stratum is off there. Good documents are those of quality 1 that aren't toxic.
 
-One rule is the share of words that toxic documents hold and others don't. These words, TOXIC_WORDS at most, come from the first
-SAMPLE toxic and the first SAMPLE other labels by id: at least a tenth of a language's sampled toxic documents and twenty of them hold the
-word, and by share a hundred times as many as of its others; the words count in texts of that language. What they reject is certified on all labels like the rest.
+One rule is the share of words that toxic documents hold and others don't. Labels are split in two halves by a mix of the id's bits: the words are learned from one
+half, of which SAMPLE toxic and SAMPLE other labels at most are read (those of the least mix), and every cutoff is certified on the other half alone, which no word has seen.
+At least a tenth of a language's sampled toxic documents and ten of them hold a word, and by share a hundred times as many as of its others; the words count in texts of that
+language, and each language has all of its own (no more than ten times the mean number of words of a toxic document can reach the tenth).
 
 Nulls and odd rows: a null text has no words and fails the base rules; a null language is a stratum of its own; labels
 with a null id, quality or toxic count nowhere (a null toxic is no toxic document where quality is known); documents whose id has two labels, and
@@ -36,8 +37,13 @@ RULES = {
     "repeat_share": ("n_repeat_words", "n_words"),
     "toxic_share": ("n_toxic_words", "n_words"),
 }
-#: Rows of labels that toxic words are learned from, of each class; and how many words there may be.
-SAMPLE, TOXIC_WORDS = 10_000, 200
+#: Each rule's part of the false rejections that are allowed.
+PARTS = {"symbol_share": 0.1, "dup_line_share": 0.1, "repeat_share": 0.1, "toxic_share": 0.7}
+#: Rows of labels that toxic words are learned from, of each class.
+SAMPLE = 10_000
+#: SQL of a mix of an id's bits, the same in both dialects; its lowest bit deals labels to learning (0) and certifying (1).
+MIXED = "(doc_id + doc_id // 32 + doc_id // 2048 + doc_id // 131072)"
+LEARN, CERTIFY = 0, 1
 #: White space and ASCII punctuation, between the words that are compared with toxic ones.
 BETWEEN = r"[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
 ADDED = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "n_toxic_words", "base_failed", "kept")
@@ -46,18 +52,24 @@ DELTA = 0.05
 WORK = ("_w", "_h", "_k", "_s", "_t", "_lines")
 
 
+def _half(which: int) -> Column:
+    mixed = MIXED.replace("doc_id // 32", "shiftright(doc_id, 5)").replace("doc_id // 2048", "shiftright(doc_id, 11)").replace("doc_id // 131072", "shiftright(doc_id, 17)")
+    return F.expr(f"pmod({mixed}, 2) = {which}")
+
+
 def toxic_words(docs: DataFrame, labels: DataFrame) -> dict[str, list[str]]:
-    """The words of each language's toxic documents (a null language is the empty one), from a sample of bounded size; TOXIC_WORDS at most come to the driver."""
-    known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    classes = [known.where(F.col("toxic") == t).orderBy("doc_id").limit(SAMPLE) for t in (1, 0)]
+    """The words of each language's toxic documents (a null language is the empty one), from a sample of the learning half; their number is bounded by the sample."""
+    known = labels.where(F.col("doc_id").isNotNull()).where(_half(LEARN)).select("doc_id", "toxic")
+    order = F.expr("pmod(doc_id, 1009)")
+    classes = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(SAMPLE) for t in (1, 0)]
     held = F.broadcast(classes[0].unionByName(classes[1]))
     lang = F.coalesce("lang", F.lit("")).alias("lang")
     words = docs.select("doc_id", lang, "text").join(held, "doc_id").select("toxic", "lang", F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), BETWEEN)).alias("_w"))
     words = materialize(words, "labelled-words")
     t, c = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
     counts = words.select("toxic", "lang", F.explode("_w").alias("w")).where("w <> ''").groupBy("lang", "w").agg(t.alias("t"), c.alias("c"))
-    counts = counts.where("t >= 20").join(words.groupBy("lang").agg(t.alias("nt"), c.alias("nc")), "lang")
-    telling = counts.where("10 * t >= nt AND t * nc >= 100 * (c + 1) * nt").orderBy(F.desc("t"), "lang", "w").limit(TOXIC_WORDS)
+    counts = counts.where("t >= 10").join(words.groupBy("lang").agg(t.alias("nt"), c.alias("nc")), "lang")
+    telling = counts.where("10 * t >= nt AND t * nc >= 100 * (c + 1) * nt").orderBy("lang", "w")
     found: dict[str, list[str]] = {}
     for r in telling.collect():
         found.setdefault(r.lang, []).append(r.w)
@@ -143,11 +155,11 @@ def certify(
 ) -> DataFrame:
     """One row for each stratum: its certified cutoff of each rule, null where a rule is off.
 
-    ``labelled`` has the signals, the stratum, ``quality`` and ``toxic``. The grids are counted in one aggregation, so
+    ``labelled`` has doc_id, the signals, the stratum, ``quality`` and ``toxic``; only its certifying half counts. The grids are counted in one aggregation, so
     what is shuffled has a row for each stratum and task.
     """
     places = [(r, j, float(c)) for r in RULES for j, c in enumerate(grids[r])]
-    good = labelled.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1) & ~base_failed())
+    good = labelled.where(_half(CERTIFY)).where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1) & ~base_failed())
     counts = materialize(
         good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(share(r) > c).alias(f"{r}_{j}") for r, j, c in places]),
         "holdout",
@@ -155,9 +167,11 @@ def certify(
     tests = counts.select(
         "stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{j}").alias("k")) for r, j, c in places])).alias("x")
     ).select("stratum", "n", "x.*")
-    part = max_false_rejection / len(RULES)
     level = delta / (max(counts.count(), 1) * len(places))
-    passed = tests.withColumn("p", F.expr(binomial_tail("k", "n", part))).where(F.col("p") <= level)
+    chance = F.lit(1.0)
+    for rule in RULES:
+        chance = F.when(F.col("rule") == rule, F.expr(binomial_tail("k", "n", max_false_rejection * PARTS[rule]))).otherwise(chance)
+    passed = tests.where(chance <= level)
     return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
 
 
@@ -198,7 +212,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def sql(max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA, grids: dict[str, tuple] = GRIDS) -> str:
     """DuckDB SQL of the registered query; the binomial tail is a sum of terms by their logarithms."""
-    rules, part = list(RULES), max_false_rejection / len(RULES)
+    rules = list(RULES)
+    part = " ".join(f"WHEN rule = '{r}' THEN {max_false_rejection * PARTS[r]!r}" for r in rules)
     shares = {r: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END" for r, (a, b) in RULES.items()}
     tests = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {c}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER ({r} > {c}) AS k FROM good GROUP BY lang" for r in rules for c in grids[r])
     cuts = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS max_{r}" for r in rules)
@@ -214,14 +229,14 @@ repeats AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM windows), unnest([0, 1, 2]) AS r(k)
   WHERE c > 1 GROUP BY doc_id),
 labelled AS (
-  (SELECT doc_id, toxic FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL ORDER BY doc_id LIMIT {SAMPLE}) UNION ALL
-  (SELECT doc_id, toxic FROM labels WHERE toxic = 0 AND doc_id IS NOT NULL ORDER BY doc_id LIMIT {SAMPLE})),
+  (SELECT doc_id, toxic FROM labels WHERE toxic = 1 AND {MIXED} % 2 = {LEARN} ORDER BY doc_id % 1009, doc_id LIMIT {SAMPLE}) UNION ALL
+  (SELECT doc_id, toxic FROM labels WHERE toxic = 0 AND {MIXED} % 2 = {LEARN} ORDER BY doc_id % 1009, doc_id LIMIT {SAMPLE})),
 loose AS (SELECT doc_id, coalesce(lang, '') AS l, regexp_split_to_array(lower(text), '{BETWEEN}') AS lw FROM words),
 sampled AS (SELECT toxic, l, list_distinct(lw) AS lw FROM loose JOIN labelled USING (doc_id)),
 sizes AS (SELECT l, count(*) FILTER (toxic = 1) AS nt, count(*) FILTER (toxic = 0) AS nc FROM sampled GROUP BY l),
 telling AS (
   SELECT l, w FROM (SELECT l, w, count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic = 0) AS c FROM sampled, unnest(lw) AS r(w) WHERE w <> '' GROUP BY l, w) JOIN sizes USING (l)
-  WHERE t >= 20 AND 10 * t >= nt AND t * nc >= 100 * (c + 1) * nt ORDER BY t DESC, l, w LIMIT {TOXIC_WORDS}),
+  WHERE t >= 10 AND 10 * t >= nt AND t * nc >= 100 * (c + 1) * nt),
 toxic_list AS (SELECT l, list(w) AS tw FROM telling GROUP BY l),
 counted AS (
   SELECT words.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
@@ -231,12 +246,12 @@ counted AS (
   FROM words JOIN loose USING (doc_id) LEFT JOIN repeats ON words.doc_id = repeats.doc_id LEFT JOIN toxic_list ON loose.l = toxic_list.l),
 shares AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{v} AS {r}" for r, v in shares.items())} FROM counted),
-good AS (SELECT shares.* FROM shares JOIN labels USING (doc_id) WHERE quality = 1 AND coalesce(toxic, 0) <> 1 AND NOT base_failed),
-tests AS ({tests}),
+good AS (SELECT shares.* FROM shares JOIN labels USING (doc_id) WHERE quality = 1 AND coalesce(toxic, 0) <> 1 AND NOT base_failed AND {MIXED} % 2 = {CERTIFY}),
+tests AS (SELECT *, CASE {part} END AS a FROM ({tests})),
 level AS (SELECT {delta} / (count(DISTINCT coalesce(lang, '')) * {sum(len(grids[r]) for r in rules)}) AS level FROM good),
 passed AS (
   SELECT lang, rule, cutoff FROM tests, level
-  WHERE k < {part!r} * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({part!r}) + (n - i) * ln(1 - {part!r})))) <= level),
+  WHERE k < a * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a)))) <= level),
 cutoffs AS (SELECT lang AS stratum, {cuts} FROM passed GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_toxic_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
 FROM shares LEFT JOIN cutoffs ON lang IS NOT DISTINCT FROM stratum
