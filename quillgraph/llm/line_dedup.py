@@ -9,7 +9,8 @@ Shuffled are hashes and places, of which the first aggregation keeps a row for e
 task; only repeated windows are joined back, a join whose large partitions Spark can split.
 
 Defined cases: null texts have no lines and stay null; a text of fewer than three lines has no window;
-null ids count as the largest id; rows of the same id and text are one occurrence and keep each other's fate.
+null ids count as the largest id; rows of the same id and text are one occurrence and keep each other's fate. Texts of any length are
+read whole; an empty table gives no rows; columns called like working ones (``_l``, ``_id`` and so on) are kept, those called like added ones are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, put_back, set_aside
 
 LINES = 3
 BLANKS = " \t\n\x0b\x0c\r"
@@ -52,6 +53,7 @@ def marked_lines(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text of what stays, and n_lines and n_removed (long): lines with a word, and those that went."""
+    docs, aside = set_aside(docs, {"_id", "_sha", "_starts", "_l", "_b", "_gone", "_at", "_cut", "_kept"})
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*columns).withColumns(
         {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_sha": F.xxhash64("text")}
@@ -78,7 +80,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
             "text": F.expr("CASE WHEN _starts IS NULL THEN text ELSE array_join(transform(_kept, i -> get(_l, i)), '\n') END"),
         }
     )
-    return out.select(*columns, "n_lines", "n_removed")
+    return put_back(out.select(*columns, "n_lines", "n_removed"), aside)
 
 
 #: The kept text is compared by its SHA-256.

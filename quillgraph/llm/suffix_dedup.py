@@ -16,7 +16,9 @@ A string that comes back in a task is sent once from it, so a passage that a thi
 reaches its part once for each task; marks of places go back to their documents only.
 
 Defined cases: a null text is empty; texts shorter than ``window`` keep all bytes; rows with equal id and text
-repeat each other; null ids are told apart by their texts; what stays may be cut inside a character, so it is binary.
+repeat each other; null ids are told apart by their texts; what stays may be cut inside a character, so it is binary. Texts of any length are read
+whole; of equal strings all go, whatever their order; an empty table gives no rows; columns called like working ones (``marks``, ``strings``, ``_row``) are kept, those called
+like added ones are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .packed import CANDIDATE, ENTRY, HIT, U64, WITNESS, Anchors, batch_of, entry_rows, grouped, mark_lists, mark_rows, parts_for, passed_marks, runs_of, unpack
+from .storage import put_back, set_aside
 from .textkit import BLANK, Rolling, covered, mixed, slices, text_bytes
 
 WINDOW = 400
@@ -300,6 +303,7 @@ def _cut(window: int, gap: int, names: list[str]):
 def remove_repeated(docs: DataFrame, window: int = WINDOW, gap: int = GAP, parts: int | None = None) -> DataFrame:
     """``docs`` less text, with n_bytes, n_removed (long), spans (byte ranges, with the words that begin in them) and kept (binary)."""
     added = ("n_bytes", "n_removed", "spans", "kept")
+    docs, aside = set_aside(docs, {"_row", "id", "marks", "strings"})
     names = [c for c in docs.columns if c != "text" and c not in added]
     own = docs.select(*names, "text").withColumn("_row", F.xxhash64("doc_id", "text"))
     texts = own.select(F.col("_row").alias("id"), "text").where(F.octet_length("text") >= window)
@@ -312,7 +316,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gap: int = GAP, parts
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("words", T.IntegerType())]))
     kinds = [T.LongType(), T.LongType(), span, T.BinaryType()]
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, k) for c, k in zip(added, kinds))])
-    return marked.select(*names, "text", "marks", "strings").mapInArrow(_cut(window, gap, names), schema)
+    return put_back(marked.select(*names, "text", "marks", "strings").mapInArrow(_cut(window, gap, names), schema), aside)
 
 
 def repeated_passages(docs: DataFrame, more_than: int = PASSAGE_WORDS, window: int = PASSAGE_BYTES) -> DataFrame:

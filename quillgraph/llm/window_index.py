@@ -10,14 +10,15 @@ both hashes have an earlier document, all windows of the anchor are hits; where
 document of each pair is a candidate. (2) Candidates are verified: texts are read again, and the windows of
 candidate anchors are compared by two independent 64-bit hashes of all 13 words; a window that also starts in a document
 with a smaller id is a hit. (3) New pairs become a run. When there would be ``fan_out`` runs, the same merge writes
-all entries as one run instead, and the old runs are removed. Batches must come in ascending order of ids.
+all entries as one run instead, and the old runs are removed. Batches must come in ascending order of ids; one that doesn't raises ValueError.
 
 A task sends a pair, or a window, only for the least document that it has of it: other documents are settled there. So a
 passage that a third of all documents holds reaches its part once for each task.
 
 Defined cases: null texts have no words; null ids count as larger than all others (which are below 2**62), in the order of a
 hash of their texts; rows with the same id don't remove each other's words, and hits of that id hold for all its rows that have such
-places; white space between words isn't compared.
+places; white space between words isn't compared. Texts of any length are read whole; of equal windows in one document
+none removes another; an empty table gives no rows; columns called like working ones (``marks``, ``places``, ``_id``) are kept, those called like added ones are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packed import CANDIDATE, ENTRY, HIT, U64, Anchors, batch_of, entry_rows, grouped, mark_lists, mark_rows, parts_for, passed_marks, runs_of, unpack
-from .storage import new_path, remove
+from .storage import new_path, put_back, remove, set_aside
 from .textkit import Rolling, covered, find_words, mixed, slices, text_bytes
 
 WINDOW = 13
@@ -187,11 +188,17 @@ class WindowIndex:
     def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, parts: int = 64, fan_out: int = FAN_OUT) -> None:
         self.spark, self.window, self.gram, self.parts, self.fan_out = spark, window, gram, parts, fan_out
         self.runs: list[str] = []
+        self.most: int | None = None  #: the greatest id so far
 
     def add(self, docs: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
         """``docs`` less text, with n_words, n_removed, spans (word ranges) and kept_text. ``earlier`` has the documents added before."""
+        docs, aside = set_aside(docs, {"_id", "id", "marks", "places"})
         size = (self.window, self.gram, self.parts)
         keyed = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(BEYOND - 1)) + F.lit(BEYOND)))
+        least, most = keyed(docs.select("doc_id", "text")).agg(F.min("_id"), F.max("_id")).first()
+        if least is not None and self.most is not None and least < self.most:
+            raise ValueError(f"batches come in ascending order of ids: {least} after {self.most}")
+        self.most = self.most if most is None else most
         light = lambda df: keyed(df).select(F.col("_id").alias("id"), "text")
         entries = light(docs).mapInArrow(_scan(*size), ENTRY)
         for path in self.runs:
@@ -211,7 +218,7 @@ class WindowIndex:
         names = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "spans", "kept_text")]
         marked = keyed(docs).join(marks.withColumnRenamed("id", "_id"), "_id", "left").join(hits.withColumnRenamed("id", "_id"), "_id", "left")
         schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_words long, n_removed long, spans array<struct<first: int, last: int>>, kept_text string"])
-        return marked.select(*names, "text", "marks", "places").mapInArrow(_cut(self.window, self.gram, names), schema)
+        return put_back(marked.select(*names, "text", "marks", "places").mapInArrow(_cut(self.window, self.gram, names), schema), aside)
 
 
 def deduplicate(docs: DataFrame, batches: int = 2, **options) -> DataFrame:

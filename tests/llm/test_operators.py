@@ -286,12 +286,16 @@ def test_quality_rules(odd, labels):
 
 def test_certificates_reject_symbols_and_toxic_words(spark):
     good = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, f"{good} {i}", "en") for i in range(3000)] + [(10_000 + i, f"{good} nasty words {i}", "en") for i in range(300)] + [(20_000 + i, f"{good} $$$$$$$$$$$$$$$$$$$$ {i}", "en") for i in range(300)]
-    labels = [(i, 1, 0) for i in range(3000)] + [(10_000 + i, 1, 1) for i in range(200)] + [(20_000 + i, 0, 0) for i in range(200)]
+    rows = [(i, f"{good} {i}", "en") for i in range(8000)] + [(30_000 + i, f"{good} {i} unseen", "en") for i in range(2000)] + [(10_000 + i, f"{good} nasty words {i}", "en") for i in range(300)] + [(20_000 + i, f"{good} $$$$$$$$$$$$$$$$$$$$ {i}", "en") for i in range(300)]
+    labels = [(i, 1, 0) for i in range(8000)] + [(10_000 + i, 1, 1) for i in range(200)] + [(20_000 + i, 0, 0) for i in range(200)]
     docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert quality_rules.toxic_words(docs, known) == {"en": ["nasty", "words"]}
     kept = {r.doc_id for r in quality_rules.keep_good(docs, known).collect()}
-    assert kept == set(range(3000))
+    assert kept == set(range(8000)) | set(range(30_000, 32_000))
+    # words come from one half of the labels, certificates from the other
+    learned, certified = (known.where(quality_rules._half(h)) for h in (quality_rules.LEARN, quality_rules.CERTIFY))
+    assert quality_rules.toxic_words(docs, certified) == {} and quality_rules.keep_good(docs, learned).count() == len(rows)
+    assert abs(learned.count() - certified.count()) < 0.1 * known.count()
     # a hundredth of the labels certifies nothing: nobody is rejected on chance
     few = known.where("doc_id % 100 = 0")
     assert quality_rules.keep_good(docs, few).count() == len(rows)
@@ -401,6 +405,24 @@ def test_clashing_names_in_all_operators(spark, labels):
     assert [(r.page_id, r.text, r.prior) for r in site_style.extract(pages).collect()] == [(1, "x", 6)]
 
 
+@pytest.mark.parametrize("operator", [window_index.deduplicate, suffix_dedup.remove_repeated, line_dedup.drop_repeated_lines])
+def test_columns_called_like_working_ones_stay(spark, operator):
+    names = ["marks", "places", "strings", "_row", "_ID", "id", "_l", "_b", "_gone", "_at", "_cut", "_kept", "_sha", "_starts"]
+    lines = "\n".join(["first line", "second line", "third line"])
+    docs = spark.createDataFrame([(k, f"{PASSAGE} {k}\n{lines}\n{k}", *(10 * k + i for i in range(len(names)))) for k in range(4)], ["doc_id", "text", *names])
+    got = operator(docs).collect()
+    assert sorted(tuple(r[c] for c in ("doc_id", *names)) for r in got) == [(k, *(10 * k + i for i in range(len(names)))) for k in range(4)]
+    plain = operator(docs.select("doc_id", "text")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == sorted((r.doc_id, r.n_removed) for r in plain) and sum(r.n_removed for r in plain)
+
+
+def test_batches_out_of_order_are_refused(spark):
+    index = window_index.WindowIndex(spark, parts=2)
+    index.add(spark.createDataFrame([(5, PASSAGE)], "doc_id long, text string"))
+    with pytest.raises(ValueError, match="ascending"):
+        index.add(spark.createDataFrame([(4, PASSAGE)], "doc_id long, text string"))
+
+
 def test_the_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = mixing.fit(docs, labels.where("doc_id % 2 = 0"))
