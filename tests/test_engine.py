@@ -296,7 +296,7 @@ def test_staged_ingest_skips_and_stores(spark):
     assert [(r.src, r.rel, r.dst) for r in g.edges.collect()] == [("Redis", "is_a", "database")]
     n = {r.stage: r.n for r in counts.collect()}
     assert set(n) == set(workflow.STAGES) and n["dedup"] == 2
-    g, counts = workflow.ingest_texts(graph.empty(spark), docs, known, config=ingest.IngestConfig(skip=("dedup", "resolve", "relations", "conflicts", "store")))
+    g, counts = workflow.ingest_texts(graph.empty(spark), docs, known, config=ingest.IngestConfig(skip=("dedup", "coref", "resolve", "relations", "conflicts", "store")))
     assert g.nodes.count() == 0 and {r.stage for r in counts.collect()} == {"extract", "relations"}
 
 
