@@ -195,10 +195,12 @@ class WindowIndex:
         docs, aside = set_aside(docs, {"_id", "id", "marks", "places"})
         size = (self.window, self.gram, self.parts)
         keyed = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(BEYOND - 1)) + F.lit(BEYOND)))
-        least, most = keyed(docs.select("doc_id", "text")).agg(F.min("_id"), F.max("_id")).first()
-        if least is not None and self.most is not None and least < self.most:
-            raise ValueError(f"batches come in ascending order of ids: {least} after {self.most}")
-        self.most = self.most if most is None else most
+        least, most, nulls = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+        if least is not None or nulls:
+            least = BEYOND if least is None else least
+            if self.most is not None and (least < self.most or self.most == BEYOND):
+                raise ValueError(f"batches come in ascending order of ids, null ids last: {least} after {self.most}")
+            self.most = BEYOND if nulls else most
         light = lambda df: keyed(df).select(F.col("_id").alias("id"), "text")
         entries = light(docs).mapInArrow(_scan(*size), ENTRY)
         for path in self.runs:
