@@ -231,7 +231,7 @@ def _batch(found: list[tuple]) -> pa.RecordBatch:
 
 def entries(sets: DataFrame, cells: int = CELLS) -> DataFrame:
     """(key, h1, n, role) of all sets that can have a partner; the index's entries are counted before sets probe it."""
-    possible = sets.where("n > 4").select("h1", "tokens")  # smaller ones have no unequal partner
+    possible = sets.where("n > 3").select("h1", "tokens")  # smaller ones have no unequal partner; 4 of 5 shingles are one
     index = materialize(possible.mapInArrow(_entries(lambda h, t, b: [_index_rows(h, t, b)]), ENTRY), "index")
     counted = index.groupBy(F.col("key").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     costs = np.zeros(cells, np.float32)

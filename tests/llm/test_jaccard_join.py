@@ -67,6 +67,14 @@ def corpus():
     return rows
 
 
+def test_four_shingles_of_five_are_a_link(spark):
+    texts = ["a b c d e f g h", "a b c d e f g h i", "x a b c d e f g h", "p q r s t u v w", "p q r s t u v w w w"]
+    rows = list(enumerate(texts))
+    got = Counter(tuple(r) for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == grouped(rows)
+    assert {c for i, _, c in got if i < 3} == {0} and got[(3, 4, 3)] == got[(4, 6, 4)] == 1
+
+
 @pytest.mark.parametrize("cells", [jaccard_join.CELLS, 2])
 def test_components_match_all_pairs(spark, cells):
     rows = corpus()
