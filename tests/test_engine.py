@@ -316,3 +316,34 @@ def test_walks_agree_with_a_plain_search(spark, edges, start):
         level = [b for x in level for a, b in edges if a == x and b not in depth and not depth.update({b: depth[x] + 1})]
     assert {r.label: r.depth for r in traverse.bfs(g, f"n{start}", 9, "out").collect()} == {f"n{k}": v for k, v in depth.items()}
     assert {(r.path.split(" > ")[-1], r.hops) for k in (0, 3) for r in traverse.shortest_path(g, f"n{start}", f"n{k}", direction="out").collect()} == {(f"n{k}", v) for k, v in depth.items() if v and k in (0, 3)}
+
+
+def test_tables_that_are_small_in_files_alone_are_not_broadcast(spark):
+    from quillgraph.shared import materialize
+    from quillgraph.sources import star
+
+    star.from_star(spark, SMALL)
+    own = spark.range(2_000_000).select(F.concat(F.lit("order:"), "id").alias("label"), F.lit("customer:1").alias("component"))
+    once, again = materialize(own, "labels"), materialize(own, "labels")
+    joined = once.join(again.withColumnRenamed("component", "other"), "label", "left")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    few = materialize(own.limit(20), "labels")
+    assert "BroadcastHashJoin" in once.join(few.withColumnRenamed("component", "other"), "label")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffles_have_partitions_by_the_size_of_the_tables(spark, tmp_path):
+    from quillgraph.shared import PARTITION_BYTES, fit_plans
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part").write_bytes(bytes(PARTITION_BYTES) * 9)
+    try:
+        spark.conf.unset(name)
+        fit_plans(spark, [f"{tmp_path}/t"])
+        assert int(spark.conf.get(name)) == 9
+        spark.conf.set(name, 50)
+        fit_plans(spark, [f"{tmp_path}/t"])
+        assert int(spark.conf.get(name)) == 50
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
