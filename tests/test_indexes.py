@@ -17,7 +17,7 @@ from quillgraph import graph
 from quillgraph.operators import embeddings, ingest, learn, mesh_digest, search, similar, text_index, traverse, vector_index, workflow
 from quillgraph.plans import rules
 from quillgraph.registry import _query_vectors, _vectors
-from quillgraph.shared import new_path
+from quillgraph.shared import materialize, new_path
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -341,6 +341,15 @@ def test_embeddings_rank_held_out_links_above_common_neighbours(spark):
     assert np.mean([int(r.dst[1:]) // 10 == int(r.src[1:]) % 4 for r in best]) > 0.7
 
 
+def test_rounds_of_training_do_not_grow_with_its_tasks(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(embeddings, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    edges = spark.range(300).select(F.concat(F.lit("a"), F.col("id") % 40).alias("src"), F.lit("r").alias("rel"), F.concat(F.lit("b"), F.col("id") % 7).alias("dst"))
+    model = embeddings.train(edges, dim=4, epochs=2, passes=1, buckets=5)
+    assert written.count("embedding-round") == 2
+    assert model.entities.count() == 47 == model.entities.select("label").distinct().count() and model.relations.count() == 1
+
+
 # --- digests
 
 
