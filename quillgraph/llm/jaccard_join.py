@@ -47,6 +47,8 @@ CELLS = 1 << 20
 SMALL, THIN = 48, 12
 #: Longs of a set's sketches, the short one a fold of the wide one; sets below WIDE_FROM have no wide one, for they are short themselves.
 SKETCH, WIDE, WIDE_FROM = 8, 64, 96
+#: Sets from this size on bring the wide sketch to where entries meet: the short one's cells are half full of their differences alone, so it settles few of their pairs.
+WIDE_MEETS = 384
 INDEX, DELETED, PROBE, PROBE_DELETED = 1, 2, 4, 8
 ENTRY = "key long, h1 long, n int, role int"
 
@@ -291,11 +293,13 @@ def links(sets: DataFrame, cells: int = CELLS) -> DataFrame:
     labelled = every.join(roots, every.h1 == roots.node, "left").select("key", "h1", "n", "role", F.coalesce("root", "h1").alias("root"))
     labelled = materialize(labelled, "labelled-entries")
     open_ = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = materialize(labelled.join(open_, "key").join(sets.select("h1", "sketch"), "h1"), "open-entries")
-    asked, held = (open_.where(own).select("key", *(F.col(c).alias(f"{d}_{side}") for c, d in (("h1", "h1"), ("n", "n"), ("role", "role"), ("root", "root"), ("sketch", "s")))) for side, own in (("a", _asked("role")), ("b", ~_asked("role"))))
+    marks = sets.select("h1", "sketch", F.when(F.col("n") >= WIDE_MEETS, F.col("wide")).alias("wide"))
+    open_ = materialize(labelled.join(open_, "key").join(marks, "h1"), "open-entries")
+    asked, held = (open_.where(own).select("key", *(F.col(c).alias(f"{d}_{side}") for c, d in (("h1", "h1"), ("n", "n"), ("role", "role"), ("root", "root"), ("sketch", "s"), ("wide", "w")))) for side, own in (("a", _asked("role")), ("b", ~_asked("role"))))
     asked, held = asked.withColumnRenamed("h1_a", "a"), held.withColumnRenamed("h1_b", "b")
     rule = (asked.key == held.key) & (F.col("root_a") != F.col("root_b")) & (F.col("n_a") >= F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
     rule &= ~((F.col("role_a") == PROBE_DELETED) & (F.col("role_b") == DELETED)) & F.expr(_near("s_a", "s_b", "(n_a + n_b)"))
+    rule &= F.coalesce(F.expr(_near("w_a", "w_b", "(n_a + n_b)", WIDE)), F.lit(True))
     rest = _ordered(asked.join(held, rule).select("a", "n_a", "b", "n_b")).join(tried, ["a", "b"], "left_anti")
     return found.unionByName(materialize(_similar(materialize(rest, "other-pairs"), sets), "other-links"))
 

@@ -90,6 +90,19 @@ def test_components_of_the_table(spark):
     assert len({r[2] for r in got}) < len(rows)
 
 
+def test_large_sets_far_from_similar_part_where_entries_meet(spark, monkeypatch):
+    """Sets of some 2000 shingles that have half of them in common share entries, but no pair of them leaves the join."""
+    rng, made = np.random.default_rng(7), []
+    common = [f"c{i}" for i in range(1400)]
+    rows = [(k, " ".join(common + [f"own{k}x{i}" for i in range(600)])) for k in range(40)]
+    rows += [(100 + k, edited(rows[k][1].split(), rng, 4)) for k in range(40)]
+    ordered = jaccard_join._ordered
+    monkeypatch.setattr(jaccard_join, "_ordered", lambda pairs: made.append(pairs.count()) or ordered(pairs))
+    got = Counter(tuple(r) for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == grouped(rows)
+    assert made[-1] < len(rows)
+
+
 def test_empty_table(spark):
     assert jaccard_join.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
