@@ -12,11 +12,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillgraph import graph
+from quillgraph import graph, shared
 from quillgraph.operators import analyze, filters, ingest, language, learn, search, traverse, workflow
 from quillgraph.plans.rules import derive, parse, rule_table, rule_text
 from quillgraph.sources import files
-from quillgraph.sources.star import from_star
+from quillgraph.sources.star import from_star, table
 from quillgraph.streaming import changes
 
 SMALL = "/root/testdata/sf0.001"
@@ -347,3 +347,19 @@ def test_shuffles_have_partitions_by_the_size_of_the_tables(spark, tmp_path):
         assert int(spark.conf.get(name)) == 50
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def test_tasks_by_the_size_of_tables(spark, tmp_path):
+    """A task reads no more of a table than ``TASK_BYTES``, however large it is; what a session sets itself stays."""
+    spark.range(6_000_000, numPartitions=1).selectExpr("id", "xxhash64(id) AS x").write.option("parquet.block.size", 4 << 20).parquet(f"{tmp_path}/t.parquet")
+    size = sum(f.stat().st_size for f in tmp_path.glob("t.parquet/*.parquet"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.minPartitionNum", 1)
+    assert table(own, str(tmp_path), "t").rdd.getNumPartitions() >= size // shared.TASK_BYTES > 3
+    assert {own.conf.get(n) for n in names} == {f"{shared.TASK_BYTES}b"}
+    other = spark.newSession()
+    for n in names:
+        other.conf.set(n, "1m")
+    table(other, str(tmp_path), "t")
+    assert {other.conf.get(n) for n in names} == {"1m"}
