@@ -363,3 +363,14 @@ def test_tasks_by_the_size_of_tables(spark, tmp_path):
         other.conf.set(n, "1m")
     table(other, str(tmp_path), "t")
     assert {other.conf.get(n) for n in names} == {"1m"}
+
+
+def test_paths_take_moves_around_their_start(spark):
+    """Of a graph with a part far from the start, that part's edges aren't among the moves; paths are the same as without it."""
+    near, far = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], [(f"x{i}", "d") for i in range(50)]
+    edges = [{"src": a, "rel": "r", "dst": b, "confidence": 0.5} for a, b in near + far]
+    g = graph.from_rows(spark, [{"label": x} for x in sorted({x for e in near + far for x in e})], edges)
+    moves, left = traverse._ways(g, "a", "d", 3, "out", None)
+    assert sorted((r.a, r.b) for r in moves.collect()) == sorted(near)
+    assert {r.b: r._left for r in left.collect()} == {"d": 0, "c": 1, "a": 2, "b": 2}
+    assert sorted(">".join(r.path) for r in traverse.paths(g, "a", "d", 3).collect()) == ["a>b>c>d", "a>c>d"]
