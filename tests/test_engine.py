@@ -374,3 +374,9 @@ def test_paths_take_moves_around_their_start(spark):
     assert sorted((r.a, r.b) for r in moves.collect()) == sorted(near)
     assert {r.b: r._left for r in left.collect()} == {"d": 0, "c": 1, "a": 2, "b": 2}
     assert sorted(">".join(r.path) for r in traverse.paths(g, "a", "d", 3).collect()) == ["a>b>c>d", "a>c>d"]
+
+
+def test_nodes_are_numbered_in_the_order_of_their_labels(spark):
+    labels = [f"n{i * 7919 % 1000}" for i in range(1000)]
+    ids = {r.label: r.id for r in traverse._numbered(spark.createDataFrame([(x,) for x in labels], "label string").repartition(7)).collect()}
+    assert sorted(ids, key=ids.get) == sorted(labels) and sorted(ids.values()) == list(range(1, 1001))
