@@ -380,3 +380,17 @@ def test_nodes_are_numbered_in_the_order_of_their_labels(spark):
     labels = [f"n{i * 7919 % 1000}" for i in range(1000)]
     ids = {r.label: r.id for r in traverse._numbered(spark.createDataFrame([(x,) for x in labels], "label string").repartition(7)).collect()}
     assert sorted(ids, key=ids.get) == sorted(labels) and sorted(ids.values()) == list(range(1, 1001))
+
+
+def test_holes_are_not_made_by_the_largest_hub(spark, monkeypatch):
+    """Nodes that share one hub alone make no pair; those that share another one count both."""
+    rows = [(f"n{i}", "hub") for i in range(200)] + [("n0", "y"), ("n1", "y"), ("n2", "z"), ("n3", "z"), ("n2", "y")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    every, made = search.link_candidates(edges), []
+    wanted = {(r.a, r.b, r.common) for r in every.where("common >= 2").collect()}
+    cut = search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df: made.append(df.count()) or cut(df))
+    assert {(r.a, r.b, r.common) for r in search.link_candidates(edges, None, 2).collect()} == wanted
+    asked = spark.createDataFrame([("n0",), ("n3",)], "label string")
+    assert {(r.a, r.b, r.common) for r in search.link_candidates(edges, asked, 2).collect()} == {w for w in wanted if {"n0", "n3"} & set(w[:2])}
+    assert len(wanted) == 6 and made and max(made) < 450
