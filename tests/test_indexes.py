@@ -379,3 +379,34 @@ def test_new_queries_equal_their_sql(spark, name):
     want = con.execute(f"select {', '.join(f'\"{c}\"' for c in columns)} from ({entry.oracle_sql()[name]})").fetchall()
     assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(want)
     assert new_path(spark, "x")
+
+
+def _stages(spark):
+    """Of each stage so far: bytes shuffled and written, by stage and attempt."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.outputBytes() for s in map(stages.apply, range(stages.size()))}
+
+
+def _moved(spark, run):
+    """What ``run`` gives, and the bytes it shuffles and writes."""
+    before = _stages(spark)
+    out = run()
+    return out, sum(n for key, n in _stages(spark).items() if key not in before)
+
+
+def _prose(n):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(4000)]
+    return [(i, " ".join(rng.choices(words, k=300))) for i in range(n)]
+
+
+def test_an_index_moves_its_postings_once(spark):
+    rows = _prose(1500)
+    texts = materialize(spark.createDataFrame(rows, "id long, text string"), "texts")
+    index, moved = _moved(spark, lambda: text_index.build(texts, folders=2))
+    assert moved < 1.6 * sum(len(t) for _, t in rows)
+    held = index.postings(spark)
+    assert held.where("n > 1024 or size(postings) <> n").count() == 0
+    want = Counter((w, i, n) for i, t in rows for w, n in Counter(t.split()).items())
+    assert Counter(tuple(r) for r in held.select("term", F.explode("postings").alias("p")).select("term", "p.id", "p.tf").collect()) == want
