@@ -410,3 +410,16 @@ def test_an_index_moves_its_postings_once(spark):
     assert held.where("n > 1024 or size(postings) <> n").count() == 0
     want = Counter((w, i, n) for i, t in rows for w, n in Counter(t.split()).items())
     assert Counter(tuple(r) for r in held.select("term", F.explode("postings").alias("p")).select("term", "p.id", "p.tf").collect()) == want
+
+
+def test_similar_texts_move_less_than_thrice_their_size(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    classes, moved = _moved(spark, lambda: similar.dedup_semantic(texts).count())
+    assert classes == texts.count() and moved < 3 * size
+
+
+def test_a_word_of_many_sets_makes_no_pairs_that_sizes_and_places_rule_out(spark):
+    rows = [(i, f"firm{i} is a carrier it ships from nation{i % 3}") for i in range(600)]
+    got = similar.dedup_semantic(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert {(r.id, r.class_id) for r in got} == {(i, i) for i, _ in rows}
