@@ -263,11 +263,26 @@ def cross_document(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("label").agg(F.countDistinct("doc").alias("docs")).withColumn("confirmations", F.col("docs") - 1)
 
 
+#: A label's documents are dealt to so many tasks.
+SALTS = 64
+
+
 def document_links(mentions: DataFrame, least: int = 1) -> DataFrame:
-    """(doc_a, doc_b, shared): documents that share entities."""
-    own = mentions.select("doc", "label").distinct()
-    pairs = own.alias("x").join(own.alias("y"), F.expr("x.label = y.label AND x.doc < y.doc"))
-    return pairs.groupBy(F.expr("x.doc AS doc_a"), F.expr("y.doc AS doc_b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    """(doc_a, doc_b, shared): documents that share entities.
+
+    A document with one entity shares no other, so only pairs of documents with several are counted; the rest are rows of a join that holds none
+    of them. The documents of a label are dealt by salt, so that no label is a single task.
+    """
+    own = mentions.where("doc IS NOT NULL AND label IS NOT NULL").select("doc", "label").distinct()
+    several = own.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", F.lit(True).alias("several"))
+    own = cut_lineage(own.join(several, "doc", "left").withColumn("several", F.coalesce("several", F.lit(False))))
+    one = own.select(F.col("doc").alias("doc_a"), "label", F.col("several").alias("_a"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("_s"))
+    other = own.select(F.col("doc").alias("doc_b"), "label", F.col("several").alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_s"))
+    # sorted runs are read row by row: neither side is a table in memory
+    pairs = one.hint("merge").join(other, ["label", "_s"]).where("doc_a < doc_b")
+    single = pairs.where("NOT (_a AND _b)").select("doc_a", "doc_b", F.lit(1).cast("long").alias("shared")).where(F.col("shared") >= least)
+    both = one.where("_a").hint("merge").join(other.where("_b"), ["label", "_s"]).where("doc_a < doc_b")
+    return single.unionByName(both.groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least))
 
 
 def content_hash(docs: DataFrame) -> DataFrame:

@@ -423,3 +423,16 @@ def test_a_word_of_many_sets_makes_no_pairs_that_sizes_and_places_rule_out(spark
     rows = [(i, f"firm{i} is a carrier it ships from nation{i % 3}") for i in range(600)]
     got = similar.dedup_semantic(spark.createDataFrame(rows, "id long, text string")).collect()
     assert {(r.id, r.class_id) for r in got} == {(i, i) for i, _ in rows}
+
+
+def test_pairs_of_documents_with_one_entity_are_not_shuffled(spark):
+    rows = [(i, f"e{i % 2}") for i in range(2000)]
+    single = materialize(spark.createDataFrame(rows, "doc long, label string"), "mentions")
+    pairs, moved = _moved(spark, lambda: ingest.document_links(single).agg(F.count(F.lit(1)), F.sum("shared")).first())
+    assert tuple(pairs) == (1000 * 999, 1000 * 999) and moved < 3_000_000
+    rng = random.Random(5)
+    mixed = {(rng.randrange(60), f"e{rng.randrange(25)}") for _ in range(110)} | {(100, "e1"), (101, "e1"), (101, "e2"), (102, "e2"), (102, "e1")}
+    want = Counter((a, b) for a, x in mixed for b, y in mixed if x == y and a < b)
+    for least in (1, 2):
+        got = ingest.document_links(spark.createDataFrame([*mixed, (None, "e1"), (7, None)], "doc long, label string"), least).collect()
+        assert sorted(map(tuple, got)) == sorted((*p, n) for p, n in want.items() if n >= least)
