@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ast
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -336,30 +338,65 @@ def subsumed(queries: DataFrame) -> DataFrame:
     return key.join(other, "k").where("_ts < ts AND size(array_except(w, _w)) = 0").groupBy("text").agg(F.min("by").alias("by"))
 
 
+#: Characters of a Python source that are parsed at once, where its statements allow it.
+PARSED = 1 << 16
+#: Where a statement of a module may begin: no blank, comment or clause of the statement before.
+_STATEMENT = re.compile(r"^(?!(?:else|elif|except|finally)\b)[^\s#]", re.MULTILINE)
+
+
+def _pieces(text: str) -> Iterator[ast.Module]:
+    """Trees of a source's statements, some at a time, so that the memory doesn't follow the length of the file.
+
+    A piece ends before a line that may begin a statement. If it isn't whole there (an open bracket or string, a decorator alone), it goes on
+    for twice as long; an error is one only if it is left at the end of the file.
+    """
+    at, want = 0, PARSED
+    while at < len(text) or not at:
+        cut = None
+        if at + want < len(text):
+            # lines end with a line feed alone here, so what looks like a line's start is one
+            newline = text.find("\n", at + want)
+            cut = _STATEMENT.search(text, newline + 1) if newline >= 0 else None
+            while cut and text[cut.start() - 1] != "\n":
+                cut = _STATEMENT.search(text, cut.end())
+        end = cut.start() if cut else len(text)
+        try:
+            tree = ast.parse(text[at:end])
+        except (SyntaxError, ValueError):
+            if end == len(text):
+                raise
+            want *= 2
+            continue
+        yield tree
+        at, want = max(end, 1), PARSED
+
+
+def _named(path: str, text: str | None) -> pa.RecordBatch:
+    kinds, names = [["module"]], [[re.sub(r"\.py$", "", path.rsplit("/", 1)[-1])]]
+    try:
+        for tree in _pieces(text or ""):
+            found = []
+            for node in ast.walk(tree):
+                if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                    found.append(("class" if isinstance(node, ast.ClassDef) else "function", node.name))
+                elif isinstance(node, ast.Import):
+                    found += [("import", a.name) for a in node.names]
+                elif isinstance(node, ast.ImportFrom) and node.module:
+                    found.append(("import", node.module))
+            kinds.append(pa.array([k for k, _ in found], pa.string()))
+            names.append(pa.array([n for _, n in found], pa.string()))
+    except (SyntaxError, ValueError):
+        kinds, names = [["error"]], [["not Python"]]
+    kinds, names = (pa.concat_arrays([pa.array(x, pa.string()) for x in c]) for c in (kinds, names))
+    return pa.RecordBatch.from_arrays([pa.array([path], pa.string()).take(pa.array(np.zeros(len(kinds), np.int64))), kinds, names], ["path", "kind", "name"])
+
+
 def python_modules(files: DataFrame) -> DataFrame:
     """(path, kind, name): modules, classes, functions and imports of Python sources (path, text)."""
-    import ast
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, text in zip(frame["path"], frame["text"]):
-                try:
-                    tree = ast.parse(text or "")
-                except (SyntaxError, ValueError):
-                    rows.append((path, "error", "not Python"))
-                    continue
-                rows.append((path, "module", re.sub(r"\.py$", "", path.rsplit("/", 1)[-1])))
-                for node in ast.walk(tree):
-                    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                        rows.append((path, "class" if isinstance(node, ast.ClassDef) else "function", node.name))
-                    elif isinstance(node, ast.Import):
-                        rows += [(path, "import", a.name) for a in node.names]
-                    elif isinstance(node, ast.ImportFrom) and node.module:
-                        rows.append((path, "import", node.module))
-            yield pd.DataFrame(rows, columns=["path", "kind", "name"])
-
-    return files.select("path", "text").mapInPandas(parse, "path string, kind string, name string")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column("path"), batch.column("text")):
+                yield _named(path.as_py(), text.as_py())
+
+    return files.select("path", "text").mapInArrow(parse, "path string, kind string, name string")

@@ -436,3 +436,36 @@ def test_pairs_of_documents_with_one_entity_are_not_shuffled(spark):
     for least in (1, 2):
         got = ingest.document_links(spark.createDataFrame([*mixed, (None, "e1"), (7, None)], "doc long, label string"), least).collect()
         assert sorted(map(tuple, got)) == sorted((*p, n) for p, n in want.items() if n >= least)
+
+
+def test_python_sources_are_parsed_by_pieces(spark, monkeypatch):
+    import ast
+    import tracemalloc
+
+    long = "\n".join(f"import pkg.p{i}" for i in range(40_000)) + "\n\ndef run():\n    pass\n"
+    tracemalloc.start()
+    assert len(ingest._named("m", long)) == 40_002
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    ast.parse(long)
+    assert peak * 2 < tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(ingest, "PARSED", 8)
+    odd = [
+        "if a:\n    import x\nelse:\n    import y\n",
+        "try:\n    import x\nexcept E:\n    import y\nfinally:\n    import z\nimport w",
+        "@a\n@b(\n1)\ndef f():\n    class C: pass\n\nasync def g(): import q",
+        's = """\nimport no\n"""\nimport yes\n',
+        "import a\\\n, b\nfrom c import (\nd,\n)\nfrom . import e\n",
+        "import a\nimport b\nimport (\n", "import a\n'''\nimport b\n", "x = [\n1,\n\n", "import a\r\nimport b\rimport c\n\x0cimport d\n", "", None, "# import a\n",
+    ]
+    got = ingest.python_modules(spark.createDataFrame([(str(i), t) for i, t in enumerate(odd)], "path string, text string")).collect()
+    for i, text in enumerate(odd):
+        try:
+            nodes = list(ast.walk(ast.parse(text or "")))
+        except SyntaxError:
+            want = ["not Python"]
+        else:
+            want = [str(i), *(n.name for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)))]
+            want += [a.name for n in nodes if isinstance(n, ast.Import) for a in n.names] + [n.module for n in nodes if isinstance(n, ast.ImportFrom) and n.module]
+        assert sorted(r.name for r in got if r.path == str(i)) == sorted(want)
