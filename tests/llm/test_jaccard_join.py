@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -126,3 +127,21 @@ def test_every_allocation_finds_sets_within_its_units():
         asked, kinds = jaccard_join._probe_rows(r, band, costs)
         plain = set(index[roles == jaccard_join.INDEX].tolist())
         assert set(asked.tolist()) & plain or set(asked[kinds == jaccard_join.PROBE].tolist()) & set(index.tolist())
+
+
+def test_near_copies_of_one_text_meet_in_rows_by_their_number(spark, monkeypatch):
+    """Copies with an edit of their own are like the text itself and seldom like each other."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 200):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    made = []
+    ordered = jaccard_join._ordered
+    monkeypatch.setattr(jaccard_join, "_ordered", lambda pairs: made.append(pairs.count()) or ordered(pairs))
+    got = jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    # the last join is the one of all pairs that are still open
+    assert made[-1] < 40 * len(rows)
