@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,27 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Microseconds of matches that are one value of the state, and matches that are held until they are put there.
+SPAN, HELD = 600_000_000, 1 << 20
+
+
+def _least(us: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Times in order, each once with its least id."""
+    order = np.lexsort((ids, us))
+    us, ids = us[order], ids[order]
+    new = np.r_[True, us[1:] != us[:-1]][: len(us)]
+    return us[new], ids[new]
+
+
+def _unpacked(value: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(value, np.int64).reshape(2, -1))
+
+
 class Cooldown(StatefulProcessor):
     """Per key: when it fired last, and the matches that the watermark hasn't passed, the least id of each time.
 
-    Matches come out of order, so one is settled when the watermark reaches its time; what waits is bounded by the stream's lateness.
+    Matches come out of order, so one is settled when the watermark reaches its time; what waits is bounded by the stream's lateness. A span of time is
+    one value of the state, so calls of the state store follow the spans and not the matches.
     """
 
     def __init__(self, seconds: int) -> None:
@@ -25,36 +43,53 @@ class Cooldown(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "ts long")
-        self.waiting = handle.getMapState("waiting", "ts long", "id long")
+        self.waiting = handle.getMapState("waiting", "span long", "matches binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for part in rows:
-            least = part.groupby("us")["id"].min()
-            for us, i in zip(least.index.tolist(), least.tolist()):
-                held = self.waiting.getValue((us,)) if self.waiting.containsKey((us,)) else None
-                if held is None or i < held[0]:
-                    self.waiting.updateValue((us,), (i,))
+            held.append((part["us"].to_numpy(np.int64), part["id"].to_numpy(np.int64)))
+            n += len(part)
+            if n >= HELD:
+                self._put(held)
+                held, n = [], 0
+        if held:
+            self._put(held)
         yield from self._settled(key, timerValues)
 
+    def _put(self, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        us, ids = _least(*(np.concatenate(c) for c in zip(*held)))
+        spans, first = np.unique(us // SPAN, return_index=True)
+        for span, x, y in zip(spans.tolist(), np.split(us, first[1:]), np.split(ids, first[1:])):
+            if self.waiting.containsKey((span,)):
+                own = _unpacked(self.waiting.getValue((span,))[0])
+                x, y = _least(np.concatenate([own[0], x]), np.concatenate([own[1], y]))
+            self.waiting.updateValue((span,), (np.concatenate([x, y]).tobytes(),))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._settled(key, timerValues)
 
     def _settled(self, key, timer) -> Iterator[pd.DataFrame]:
         passed = timer.getCurrentWatermarkInMs()
-        waiting = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
         last = self.last.get()[0] if self.last.exists() else None
         fired = []
-        for us, i in waiting:
-            if us // 1000 >= passed:
+        for span in sorted(k[0] for k in self.waiting.keys()):
+            us, ids = _unpacked(self.waiting.getValue((span,))[0])
+            done = int(np.searchsorted(us, passed * 1000))
+            at = 0 if last is None else int(np.searchsorted(us, last + self.pause))
+            while at < done:
+                last = int(us[at])
+                fired.append((last, int(ids[at])))
+                at = max(at + 1, int(np.searchsorted(us, last + self.pause)))
+            if done < len(us):
+                if done:
+                    self.waiting.updateValue((span,), (np.concatenate([us[done:], ids[done:]]).tobytes(),))
                 # the earliest one that waits wakes the key up again
                 for other in list(self.handle.listTimers()):
                     self.handle.deleteTimer(other)
-                self.handle.registerTimer(us // 1000 + 1)
+                self.handle.registerTimer(int(us[done]) // 1000 + 1)
                 break
-            self.waiting.removeKey((us,))
-            if last is None or us - last >= self.pause:
-                last = us
-                fired.append((us, i))
+            self.waiting.removeKey((span,))
         if fired:
             self.last.update((last,))
             yield pd.DataFrame({"key": [key[0]] * len(fired), "us": [f[0] for f in fired], "id": [f[1] for f in fired]})

@@ -159,3 +159,31 @@ def test_listener_counts_batches(spark, tmp_path):
         spark.streams.removeListener(log)
     seen = log.table(spark).groupBy("event").agg(F.sum("rows").alias("rows")).collect()
     assert {r.event for r in seen} >= {"started", "batch", "ended"} and {r.event: r.rows for r in seen}["batch"] >= len(records(0))
+
+
+def test_cooldown_calls_of_the_state_follow_spans_of_time():
+    import numpy as np
+    import pandas as pd
+
+    class Held(dict):
+        calls = 0
+
+        def containsKey(self, key):
+            Held.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            Held.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):
+            Held.calls += 1
+            self[key] = value
+
+    us = np.random.default_rng(3).permutation(20_000) * 100_000
+    state = cooldown.Cooldown(60)
+    state.waiting, state._settled = Held(), lambda key, timer: iter(())
+    list(state.handleInputRows(("a",), iter(pd.DataFrame({"us": part, "id": part}) for part in np.split(us, 20)), None))
+    assert Held.calls < 100
+    times = np.concatenate([cooldown._unpacked(state.waiting[k][0])[0] for k in sorted(state.waiting)])
+    assert times.tolist() == sorted(us.tolist())
