@@ -9,7 +9,7 @@ allocation of that many units is complete, and each set takes the cheapest: cost
 
 Before that, a set goes if more than a fifth of its shingles are in no other set: it can't reach 0.8 with any. A fixed part of the universe (``SAMPLED``) is counted for that,
 and what goes by it would go by the whole as well. Equal sets are merged first. Sets that share an entry meet as stars: all with the entry's
-first set, and all with its last. Entries whose sets are in one component are then settled. The others meet again in a few rounds, in which each entry has two hubs of its own; of those that stay open every pair from two components is
+first set, and all with its last. Entries whose sets are in one component are then settled. Of the others, large ones meet again in a few rounds, in which each entry has two hubs of its own; of those that stay open every pair from two components is
 compared. A sketch of a set has the parity of its members in each of 512 cells: sketches that differ in more cells than two sets may differ in members
 settle a pair for sure (short sketches where entries meet, ones of 4096 cells for the pairs that are left), so few pairs are compared in full. Those comparisons are exact intersections of the sets' 64-bit shingle hashes. So copies and near copies cost rows in proportion to their number, and no link that joins two components is lost.
 
@@ -51,6 +51,8 @@ SKETCH, WIDE, WIDE_FROM = 8, 64, 96
 WIDE_MEETS = 384
 #: Rounds in which entries that are still open choose hubs of their own.
 TURNS = 4
+#: Entries up to so many rows are left out of these rounds: their pairs are at most eight a row, no more than two hubs in four rounds make.
+FEW = 32
 INDEX, DELETED, PROBE, PROBE_DELETED = 1, 2, 4, 8
 ENTRY = "key long, h1 long, n int, role int"
 
@@ -279,13 +281,13 @@ def _asked(role: str) -> F.Column:
     return F.col(role).bitwiseAND(PROBE | PROBE_DELETED) > 0
 
 
-def _open(every: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
-    """Entries (key, h1, n, role, root, sketch, wide) whose sets aren't all in one component yet."""
+def _open(every: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries (key, h1, n, role, root, rows) whose sets aren't all in one component yet; ``rows`` is what the entry has of them."""
     roots = connected_components(found)
-    labelled = every.join(roots, every.h1 == roots.node, "left").select("key", "h1", "n", "role", F.coalesce("root", "h1").alias("root"))
+    labelled = every.join(roots, every.h1 == roots.node, "left").select("key", "h1", "n", "role", F.coalesce(roots.root, "h1").alias("root"))
     labelled = materialize(labelled, "labelled-entries")
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    return materialize(labelled.join(open_, "key").join(marks, "h1"), "open-entries")
+    open_ = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").select("key", "rows")
+    return materialize(labelled.join(open_, "key"), "open-entries")
 
 
 def links(sets: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -301,21 +303,27 @@ def links(sets: DataFrame, cells: int = CELLS) -> DataFrame:
     tried = materialize(_ordered(met), "star-pairs")
     found = materialize(_similar(tried, sets), "star-links")
     marks = sets.select("h1", "sketch", F.when(F.col("n") >= WIDE_MEETS, F.col("wide")).alias("wide"))
-    open_ = _open(every, found, marks)
+    open_, before = _open(every, found), None
     # each entry has hubs of its own now, so a set of a large group meets many others and not the same two
     for turn in range(TURNS):
-        hubs = open_.groupBy("key").agg(*(F.min_by(F.struct("h1", "n", "root", "sketch", "wide"), F.xxhash64("h1", "key", F.lit(2 * turn + k))).alias(f"hub{k}") for k in (0, 1)))
-        met = open_.join(hubs, "key").withColumn("hub", F.explode(F.array("hub0", "hub1"))).where("root <> hub.root")
+        large = materialize(open_.where(F.col("rows") > FEW).join(marks, "h1"), "large-entries")
+        size = large.count()
+        if not size or before is not None and 10 * size > 9 * before:
+            break  # a round that settles less than a tenth isn't worth another one
+        before = size
+        hubs = large.groupBy("key").agg(*(F.min_by(F.struct("h1", "n", "root", "sketch", "wide"), F.xxhash64("h1", "key", F.lit(2 * turn + k))).alias(f"hub{k}") for k in (0, 1)))
+        met = large.join(hubs, "key").withColumn("hub", F.explode(F.array("hub0", "hub1"))).where("root <> hub.root")
         met = met.select(F.col("h1").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"), F.col("wide").alias("w_a"), F.col("hub.h1").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.sketch").alias("s_b"), F.col("hub.wide").alias("w_b"))
         met = met.where(_near("s_a", "s_b", "(n_a + n_b)")).where(F.coalesce(F.expr(_near("w_a", "w_b", "(n_a + n_b)", WIDE)), F.lit(True)))
         new = materialize(_ordered(met.select("a", "n_a", "b", "n_b")).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
         joined = materialize(_similar(new, sets), "hub-links")
-        tried, before = tried.unionByName(new), found
+        tried = tried.unionByName(new)
         if not joined.count():
             break
-        found = before.unionByName(joined)
-        open_ = _open(every, found, marks)
-    asked, held = (open_.where(own).select("key", *(F.col(c).alias(f"{d}_{side}") for c, d in (("h1", "h1"), ("n", "n"), ("role", "role"), ("root", "root"), ("sketch", "s"), ("wide", "w")))) for side, own in (("a", _asked("role")), ("b", ~_asked("role"))))
+        found = found.unionByName(joined)
+        open_ = _open(open_, found)
+    marked = materialize(open_.join(marks, "h1"), "marked-entries")
+    asked, held = (marked.where(own).select("key", *(F.col(c).alias(f"{d}_{side}") for c, d in (("h1", "h1"), ("n", "n"), ("role", "role"), ("root", "root"), ("sketch", "s"), ("wide", "w")))) for side, own in (("a", _asked("role")), ("b", ~_asked("role"))))
     asked, held = asked.withColumnRenamed("h1_a", "a"), held.withColumnRenamed("h1_b", "b")
     rule = (asked.key == held.key) & (F.col("root_a") != F.col("root_b")) & (F.col("n_a") >= F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
     rule &= ~((F.col("role_a") == PROBE_DELETED) & (F.col("role_b") == DELETED)) & F.expr(_near("s_a", "s_b", "(n_a + n_b)"))

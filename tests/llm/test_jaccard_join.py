@@ -145,3 +145,24 @@ def test_near_copies_of_one_text_meet_in_rows_by_their_number(spark, monkeypatch
     assert {r.component_id for r in got} == {0}
     # the last join is the one of all pairs that are still open
     assert made[-1] < 40 * len(rows)
+
+
+def test_entries_of_few_sets_are_left_out_of_the_rounds_of_hubs(spark, monkeypatch):
+    """Texts in fours that share half of their words leave entries open, all of them small."""
+    rows = []
+    for group in range(30):
+        common = [f"g{group}x{i}" for i in range(40)]
+        rows += [(len(rows) + k, " ".join(common + [f"o{group}x{k}x{i}" for i in range(40)])) for k in range(4)]
+    # half of a text is in no other set: a copy with another end brings it back
+    rows += [(1000 + i, text.rsplit(" ", 1)[0] + " end") for i, text in rows]
+    made, write = {}, jaccard_join.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    got = Counter(tuple(r) for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == grouped(rows)
+    assert made["open-entries"][0] > 0 and "hub-pairs" not in made
