@@ -93,6 +93,18 @@ def test_holes_of_the_star_count_all_edges(spark, monkeypatch):
     assert {r.subject for r in seen[0].collect()} == {"|".join(k) for k in want} and want
 
 
+def test_gaps_hold_the_best_holes_of_all_nodes(spark, monkeypatch):
+    """No node of these pairs is one of every hundredth."""
+    monkeypatch.setattr(search, "HEAVY", 2)
+    edges = [(f"part:{i}", f"supplier:{j}") for k, j in enumerate((101, 102, 103)) for i in range(1, 60 - 5 * k)] + [(f"part:{i}", f"supplier:{100 * (i % 3)}") for i in range(1, 12)] + [("supplier:101", "supplier:102")]
+    g = graph.from_rows(spark, [{"label": x, "confidence": 0.9} for x in sorted({x for e in edges for x in e})], [{"src": a, "rel": "r", "dst": b} for a, b in edges])
+    want = sorted(((round(1 - 1 / n, 4), f"hole:{a}|{b}") for (a, b), n in holes(edges, {x for e in edges for x in e}).items()), key=lambda x: (-x[0], x[1]))
+    for limit in (2, 5):
+        got = analyze.best_gaps(g, analyze.hole_gaps(g, 2, g.nodes.where("label like '%00'").select("label")), analyze.desert_gaps(g, 0.5), limit=limit).collect()
+        assert [(r.severity, r.gap_id) for r in got] == want[:limit]
+    assert want[0] == (0.9796, "hole:supplier:101|supplier:103")
+
+
 def test_store_folds_labels_and_keeps_confidence(spark):
     g = chain(spark)
     more = spark.createDataFrame([("WEB", "other", {"k": "1"}, 0.1), ("web", None, {"k": "2", "j": "3"}, 0.2), ("", None, {}, 0.5)], "label string, type string, props map<string,string>, confidence double")
