@@ -438,6 +438,17 @@ def test_pairs_of_documents_with_one_entity_are_not_shuffled(spark):
         assert sorted(map(tuple, got)) == sorted((*p, n) for p, n in want.items() if n >= least)
 
 
+def test_pairs_of_common_neighbours_are_not_shuffled(spark):
+    rng = random.Random(8)
+    near = {f"n{i}": {f"h{rng.randrange(20)}" for _ in range(6)} for i in range(1000)}
+    edges = materialize(spark.createDataFrame([(a, b) for a, own in near.items() for b in own], "src string, dst string"), "edges")
+    asked = spark.createDataFrame([(f"n{i}",) for i in range(0, 1000, 4)], "label string")
+    got, moved = _moved(spark, lambda: search.link_candidates(edges, asked).where("a like 'n%'").agg(F.count(F.lit(1)), F.sum("common")).first())
+    names = list(near)
+    want = [len(near[a] & near[b]) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and not (i % 4 and j % 4)]
+    assert tuple(got) == (sum(n > 0 for n in want), sum(want)) and moved < 2_000_000
+
+
 def test_python_sources_are_parsed_by_pieces(spark, monkeypatch):
     import ast
     import tracemalloc
