@@ -449,6 +449,21 @@ def test_pairs_of_common_neighbours_are_not_shuffled(spark):
     assert tuple(got) == (sum(n > 0 for n in want), sum(want)) and moved < 2_000_000
 
 
+def test_long_names_of_common_words_go_to_few_slices(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 120))) for _ in range(2000)]
+    names = sorted({" ".join(t.split()[: 1 + i % 40]) for i, t in enumerate(texts)} | {"w1 nobody", "w60"})
+    docs = materialize(spark.createDataFrame(list(enumerate(texts)), "doc long, text string"), "texts")
+    known = materialize(spark.createDataFrame([(n, "t") for n in names], "label string, type string"), "names")
+    monkeypatch.setattr(ingest, "AUTOMATON_BYTES", 0)
+    monkeypatch.setattr(ingest, "SLICE_BYTES", 3000)
+    got, moved = _moved(spark, lambda: {(r.doc, r.label) for r in ingest.gazetteer_entities(docs, known).collect()})
+    padded = [f" {t} " for t in texts]
+    assert got == {(i, n) for n in names for i, t in enumerate(padded) if f" {n} " in t}
+    assert moved < 3_000_000
+
+
 def test_python_sources_are_parsed_by_pieces(spark, monkeypatch):
     import ast
     import tracemalloc
